@@ -2,9 +2,9 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document's statistics.
 Expectation-maximisation over the histogram of vote patterns (at most 3^rules
-rows, whatever the corpus size) estimates how each rule votes on good and on bad
-documents, and the posterior probability of good replaces all-must-pass
-filtering.
+rows, whatever the corpus size) estimates how each rule votes on good documents
+and in each way of being bad, and the posterior probability of good replaces
+all-must-pass filtering.
 
 A null text has no words and fails the base test. Rows are kept one for one,
 repeated rows too; other columns are not read.
@@ -29,7 +29,7 @@ FUNCTION_WORDS = (
 
 MIN_WORDS = 50
 THRESHOLD = 0.5
-ITERATIONS = 60
+ITERATIONS = 40
 
 Rule = tuple[str, Column, Column]
 
@@ -92,34 +92,54 @@ def votes(rules: list[Rule]) -> Column:
     return F.array(*[F.when(bad, -1).when(good, 1).otherwise(0) for _, good, bad in rules])
 
 
-def fit(voted: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> dict:
-    """Prior of good and, per rule, the chance of each vote on good and on bad.
+#: Limits that keep the classes apart: a rule seldom votes bad on good documents,
+#: and a failure mode is known by the rule that finds it.
+GOOD_MOST, MODE_LEAST = 0.05, 0.9
 
-    All of it is one aggregate over the pattern histogram; the driver gets one
-    row with 6 numbers per rule.
+
+def fit(voted: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> list[dict]:
+    """The latent classes: good first, then one failure mode per rule.
+
+    Bad documents fail in different ways, so each rule has a mode of its own, in
+    which it votes bad. EM estimates each class's share ``pi`` and its chances
+    ``t[rule]`` of a bad and a good vote, where the rule votes. All of it is one
+    aggregate over the pattern histogram; the driver gets one row.
     """
     patterns = voted.groupBy("votes").count().agg(F.collect_list(F.struct(F.col("votes").alias("v"), F.col("count").cast("double").alias("n"))).alias("pats"))
     rules = f"sequence(0, {n_rules - 1})"
-    start = f"named_struct('pi', 0.8D, 'good', array_repeat(array(0.05D, 0.25D, 0.70D), {n_rules}), 'bad', array_repeat(array(0.35D, 0.25D, 0.40D), {n_rules}))"
-    log_odds = f"ln(p.pi / (1 - p.pi)) + aggregate({rules}, 0D, (s, r) -> s + ln(p.good[r][x.v[r] + 1] / p.bad[r][x.v[r] + 1]))"
-    posterior = f"transform(pats, x -> named_struct('v', x.v, 'g', x.n / (1 + exp(-greatest(-500D, least(500D, {log_odds})))), 'n', x.n))"
-    total = lambda weight, where: f"aggregate(q, 0D, (s, x) -> s + CASE WHEN {where} THEN {weight} ELSE 0D END)"
-    share = lambda weight: f"transform({rules}, r -> transform(sequence(-1, 1), k -> (1 + {total(weight, 'x.v[r] = k')}) / (3 + {total(weight, 'true')})))"
-    update = f"named_struct('pi', (8 + {total('x.g', 'true')}) / (10 + {total('x.n', 'true')}), 'good', {share('x.g')}, 'bad', {share('(x.n - x.g)')})"
-    em = f"aggregate(sequence(1, {iterations}), {start}, (p, i) -> transform(array({posterior}), q -> {update})[0])"
-    row = patterns.select(F.expr(em).alias("fit")).collect()[0]["fit"]
-    return row.asDict(recursive=True)
-
-
-def posterior(fitted: dict, rules: list[Rule]) -> Column:
-    """Probability of good given a row's votes."""
+    shape = "struct<pi: double, t: array<array<double>>>"
+    anchored = f"array({MODE_LEAST}D, {1 - MODE_LEAST:.4f}D)"
+    start = f"""transform(sequence(0, {n_rules}), k -> CAST(named_struct(
+        'pi', CASE WHEN k = 0 THEN 0.8D ELSE {0.2 / n_rules}D END,
+        't', transform({rules}, r -> CASE WHEN k = 0 THEN array(0.02D, 0.98D) WHEN r = k - 1 THEN {anchored} ELSE array(0.3D, 0.7D) END)) AS {shape}))"""
+    logs = f"transform(p, c -> ln(c.pi) + aggregate({rules}, 0D, (s, r) -> s + CASE x.v[r] WHEN -1 THEN ln(c.t[r][0]) WHEN 1 THEN ln(c.t[r][1]) ELSE 0D END))"
+    weights = f"transform(array({logs}), l -> transform(l, y -> exp(y - array_max(l))))[0]"
+    share = f"transform(array({weights}), w -> transform(w, y -> x.n * y / aggregate(w, 0D, (s, z) -> s + z)))[0]"
+    expect = f"transform(pats, x -> named_struct('v', x.v, 'n', x.n, 'g', {share}))"
+    total = "aggregate(q, 0D, (s, x) -> s + x.g[k])"
+    voting = lambda which: f"aggregate(q, 0D, (s, x) -> s + CASE WHEN x.v[r] {which} THEN x.g[k] ELSE 0D END)"
+    chance = f"(1 + {voting('= -1')}) / (2 + {voting('<> 0')})"
+    limited = f"transform(array({chance}), b -> CASE WHEN k > 0 OR b <= {GOOD_MOST}D THEN array(b, 1 - b) ELSE array({GOOD_MOST}D, {1 - GOOD_MOST}D) END)[0]"
+    update = f"""transform(sequence(0, {n_rules}), k -> named_struct(
+        'pi', (1 + {total}) / ({n_rules + 1} + aggregate(q, 0D, (s, x) -> s + x.n)),
+        't', transform({rules}, r -> CASE WHEN r = k - 1 THEN {anchored} ELSE {limited} END)))"""
+    em = f"aggregate(sequence(1, {iterations}), {start}, (p, i) -> transform(array({expect}), q -> {update})[0])"
+    row = patterns.select(F.expr(em).alias("classes")).collect()[0]["classes"]
+    return [c.asDict() for c in row]
+
+
+def posterior(classes: list[dict], rules: list[Rule]) -> Column:
+    """Probability of the good class given a row's votes."""
     import math
 
-    total = F.lit(math.log(fitted["pi"] / (1 - fitted["pi"])))
-    for r, (_, good, bad) in enumerate(rules):
-        weight = [math.log(g / b) for g, b in zip(fitted["good"][r], fitted["bad"][r], strict=True)]
-        total = total + F.when(bad, weight[0]).when(good, weight[2]).otherwise(weight[1])
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), total))))
+    odds = F.lit(1.0)
+    for c in classes[1:]:
+        ratio = F.lit(math.log(c["pi"] / classes[0]["pi"]))
+        for (_, good, bad), mine, best in zip(rules, c["t"], classes[0]["t"], strict=True):
+            w = [math.log(x / y) for x, y in zip(mine, best, strict=True)]
+            ratio = ratio + F.when(bad, w[0]).when(good, w[1]).otherwise(0.0)
+        odds = odds + F.exp(F.least(F.lit(500.0), ratio))
+    return 1 / odds
 
 
 def judge(docs: DataFrame, rules: Callable[[], list[Rule]] = default_rules, threshold: float = THRESHOLD) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality, secrets, simhash, suffixes, word_windows
+from . import language, lines, neighbours, packing, quality, secrets, simhash, suffixes, word_windows
 from .common import table, whole_text
 
 
@@ -33,6 +33,16 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return neighbours.classify(docs, neighbours.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines_removed", F.sha2(whole_text(), 256).alias("kept_sha256"))
@@ -48,7 +58,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_quality_rules, op4_suffix_array_dedup, op6_line_dedup, op9_substring_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_quality_rules, op4_suffix_array_dedup, op5_language_id, op6_line_dedup, op7_quality_classifier, op9_substring_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,15 +33,36 @@ def test_em_matches_a_plain_loop(spark):
     import math
 
     votes = [[1, 1, 0]] * 60 + [[-1, 0, 1]] * 9 + [[-1, -1, -1]] * 20 + [[1, 0, 0]] * 11
-    fitted = quality.fit(spark.createDataFrame([(v,) for v in votes], "votes array<int>"), 3, 12)
-    pi, good, bad = 0.8, [[0.05, 0.25, 0.7]] * 3, [[0.35, 0.25, 0.4]] * 3
+    got = quality.fit(spark.createDataFrame([(v,) for v in votes], "votes array<int>"), 3, 12)
+    anchor = [0.9, 0.1]
+    pi = [0.8] + [0.2 / 3] * 3
+    t = [[[0.02, 0.98]] * 3] + [[anchor if r == k else [0.3, 0.7] for r in range(3)] for k in range(3)]
     for _ in range(12):
-        g = [1 / (1 + math.exp(-(math.log(pi / (1 - pi)) + sum(math.log(good[r][v[r] + 1] / bad[r][v[r] + 1]) for r in range(3))))) for v in votes]
-        pi = (8 + sum(g)) / (10 + len(votes))
-        share = lambda w: [[(1 + sum(x for x, v in zip(w, votes, strict=True) if v[r] == k)) / (3 + sum(w)) for k in (-1, 0, 1)] for r in range(3)]
-        good, bad = share(g), share([1 - x for x in g])
-    assert abs(fitted["pi"] - pi) < 1e-9
-    assert all(abs(a - b) < 1e-9 for x, y in ((fitted["good"], good), (fitted["bad"], bad)) for p, q in zip(x, y, strict=True) for a, b in zip(p, q, strict=True))
+        g = []
+        for v in votes:
+            w = [pi[c] * math.prod(t[c][r][v[r] > 0] for r in range(3) if v[r]) for c in range(4)]
+            g.append([x / sum(w) for x in w])
+        pi = [(1 + sum(x[c] for x in g)) / (4 + len(votes)) for c in range(4)]
+        for c in range(4):
+            for r in range(3):
+                bad = sum(x[c] for x, v in zip(g, votes, strict=True) if v[r] < 0)
+                b = (1 + bad) / (2 + sum(x[c] for x, v in zip(g, votes, strict=True) if v[r]))
+                b = 0.9 if c == r + 1 else min(b, 0.05) if c == 0 else b
+                t[c] = [[b, 1 - b] if k == r else x for k, x in enumerate(t[c])]
+    for c in range(4):
+        assert abs(got[c]["pi"] - pi[c]) < 1e-9
+        assert all(abs(x - y) < 1e-9 for a, b in zip(got[c]["t"], t[c], strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_junk_is_rejected_and_prose_is_kept(spark):
+    import random
+
+    rng = random.Random(1)
+    say = lambda: " ".join(rng.choice(["the", "of", "and", "river", "stone", "green", "walk", "to", "in", "house", "light", "over", "seven", "paper"]) + ("." if i % 9 == 8 else "") for i in range(90)) + "."
+    prose = [(i, " ".join(w + str(rng.randint(0, 99)) if k % 3 == 0 else w for k, w in enumerate(say().split())) + ".", None, None, None, "", 0, "") for i in range(120)]
+    junk = [(1000 + i, " ".join(w + "###" for w in say().split()), None, None, None, "", 0, "") for i in range(12)] + [(2000 + i, say().upper().replace(" ", "!! "), None, None, None, "", 0, "") for i in range(12)]
+    out = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(prose + junk, SCHEMA)).collect()}
+    assert all(out[r[0]] for r in prose) and not any(out[r[0]] for r in junk)
 
 
 def test_lines_match_brute_force(spark):
