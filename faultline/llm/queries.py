@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, neighbours, packing, quality, secrets, simhash, suffixes, word_windows
+from . import decontaminate, language, lines, neighbours, packing, quality, secrets, simhash, suffixes, word_windows
 from .common import table, whole_text
 
 
@@ -48,6 +48,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines_removed", F.sha2(whole_text(), 256).alias("kept_sha256"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_windows.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -58,7 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_quality_rules, op4_suffix_array_dedup, op5_language_id, op6_line_dedup, op7_quality_classifier, op9_substring_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_quality_rules, op4_suffix_array_dedup, op5_language_id, op6_line_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_substring_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,19 +16,33 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def words(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """bytes, starts, ends, hashes and text index of all words."""
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(128) if not chr(c).isalnum()]] = True
+
+
+def words(texts: list[bytes], bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """bytes, starts, ends, hashes and text index of all words, ASCII case folded.
+
+    ``bare`` folds all letters and leaves up to three marks at either end of a
+    word out of its hash.
+    """
+    if bare:
+        texts = [t if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts]
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     begins = np.cumsum([len(t) + 1 for t in texts])
     start, end = word_spans(data)
-    low = _FOLD[data] if fold else data
+    low = _FOLD[data]
+    first, last = start, end
+    for _ in range(3 * bare):
+        first = first + (_MARK[data[np.minimum(first, last - 1)]] & (first < last - 1))
+        last = last - (_MARK[data[np.maximum(last - 1, first)]] & (first < last - 1))
     hashes = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(end, start[at] + (4 << 20), "right")))
-        hashes[at:to] = Rolling(_BYTE[low[start[at] : end[to - 1]]]).at(start[at:to] - start[at], end[at:to] - start[at])
+        hashes[at:to] = Rolling(_BYTE[low[start[at] : end[to - 1]]]).at(first[at:to] - start[at], last[at:to] - start[at])
         at = to
-    return data, start, end, mix(hashes ^ (end - start).astype(np.uint64)), np.searchsorted(begins, start, "right")
+    return data, start, end, mix(hashes ^ (last - first).astype(np.uint64)), np.searchsorted(begins, start, "right")
 
 
 def document_counts(docs: DataFrame, matrix, dimensions: int) -> tuple[int, np.ndarray]:
