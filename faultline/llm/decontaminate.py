@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, slices, whole_text
+from .common import CHUNK_BYTES, shuffle_parts, slices, whole_text
 from .terms import document_counts, words
 
 DIMENSIONS = 1 << 12
@@ -33,7 +33,7 @@ HALF = 16
 #: Words of a benchmark passage at most; longer items are cut.
 ITEM_WORDS = 64
 RANK, OVERSAMPLE = 128, 8
-COSINE = 0.2
+COSINE = 0.25
 #: Shares of a benchmark passage that a copy and a paraphrase keep in order.
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.8
 #: Passages under so many words must be there whole.
@@ -57,44 +57,54 @@ def present(texts: list[bytes]) -> tuple[np.ndarray, int]:
     return total, len(texts)
 
 
-def _runs(doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of runs of ``size`` words, never across texts, and each word's place in its text."""
-    at = np.arange(len(doc))
-    place = at - np.searchsorted(doc, doc, "left")
-    return np.flatnonzero(place % size == 0), place
+def _runs(doc: np.ndarray, dims: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of runs of HALF words, never across texts, and a row of terms for each.
 
+    Rows of short runs end in the term DIMENSIONS, which no text has.
+    """
+    n = np.bincount(doc, minlength=texts)
+    runs = -(-n // HALF)
+    inside = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    starts = np.repeat(np.cumsum(n) - n, runs) + inside * HALF
+    left = np.repeat(n, runs) - inside * HALF
+    at = np.minimum(starts[:, None] + np.arange(HALF), len(dims) - 1)
+    return starts, np.where(np.arange(HALF) < left[:, None], dims[at], DIMENSIONS)
 
-def _summed(table: np.ndarray, dims: np.ndarray, starts: np.ndarray, weight: np.ndarray | None = None, step: int = 2_000) -> np.ndarray:
-    """Sums of table rows over runs of words, a bounded number of runs at a time."""
-    out = np.empty((len(starts), table.shape[1]), np.float32)
-    ends = np.r_[starts[1:], len(dims)]
-    for k in range(0, len(starts), step):
-        a, b = starts[k], ends[min(k + step, len(starts)) - 1]
-        rows = table[dims[a:b]]
-        if weight is not None:
-            rows *= weight[a:b, None]
-        out[k : k + step] = np.add.reduceat(rows, starts[k : k + step] - a, axis=0)
+
+def _summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of table rows, a cache-sized block at a time."""
+    out = np.zeros((len(rows), table.shape[1]), np.float32)
+    for k in range(0, len(rows), 512):
+        part = out[k : k + 512]
+        for column in rows[k : k + 512].T:
+            part += table[column]
     return out
 
 
+def _padded(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, np.zeros((1, *table.shape[1:]), table.dtype)])
+
+
 def sketch(texts: list[bytes], idf: np.ndarray, omega: np.ndarray, into: np.ndarray) -> int:
-    """Add A^T A omega of the texts' passages to ``into``; the number of passages."""
+    """Add A^T A omega to ``into``, A the texts' runs of HALF words; the number of runs.
+
+    ``idf`` and ``omega`` are padded, and omega's rows already weighted by IDF.
+    """
     _, _, _, hashes, doc = words(texts, bare=True)
     if not len(doc):
         return 0
-    dims = _dims(hashes)
-    starts, _ = _runs(doc, 2 * HALF)
-    run = np.zeros(len(dims), np.int64)
-    run[starts[1:]] = 1
-    run = np.cumsum(run)
-    energy = np.add.reduceat(idf[dims] ** 2, starts)
-    weight = idf[dims] / np.sqrt(energy)[run]
-    y = _summed(omega, dims, starts, weight)
-    order = np.argsort(dims.astype(np.int16), kind="stable")
-    dims, run, weight = dims[order], run[order], weight[order]
-    first = np.flatnonzero(np.r_[True, dims[1:] != dims[:-1]])
-    into[dims[first]] += _summed(y, run, first, weight, 100)
-    return len(starts)
+    _, rows = _runs(doc, _dims(hashes), len(texts))
+    square = (idf[rows] ** 2).sum(1)
+    y = _summed(omega, rows) / np.maximum(square, 1e-9)[:, None]
+    flat = rows.ravel().astype(np.int16)
+    order = np.argsort(flat, kind="stable")
+    flat, run = flat[order], order // HALF
+    cuts = np.r_[np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]), len(flat)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        term = flat[a]
+        if term < DIMENSIONS:
+            into[term] += idf[term] * y[run[a:b]].sum(0)
+    return len(rows)
 
 
 class Query:
@@ -114,9 +124,15 @@ class Query:
                 self.words.append(part)
                 self.answer.append(answer)
         self.size = np.array([len(w) for w in self.words], np.int64)
-        self.terms = np.zeros((len(self.words), DIMENSIONS), bool)
+        self.terms = np.zeros((len(self.words), DIMENSIONS + 1), bool)
+        self.bits, self.count = [], []
         for k, w in enumerate(self.words):
             self.terms[k, _dims(w)] = True
+            bits: dict[int, int] = {}
+            for i, x in enumerate(w.tolist()):
+                bits[x] = bits.get(x, 0) | 1 << i
+            self.bits.append(bits)
+            self.count.append({x: v.bit_count() for x, v in bits.items()})
 
     def rows(self, idf: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.words), DIMENSIONS), np.float32)
@@ -143,12 +159,8 @@ def common_subsequence(bits: dict[int, int], n: int, other: list[int]) -> int:
     return n - v.bit_count()
 
 
-def best_overlap(passage: np.ndarray, region: list[int]) -> tuple[float, int, int]:
-    """Best share of the passage found in order within 1.5 times its length; where, how long."""
-    n = len(passage)
-    bits: dict[int, int] = {}
-    for k, w in enumerate(passage.tolist()):
-        bits[w] = bits.get(w, 0) | 1 << k
+def best_overlap(bits: dict[int, int], n: int, region: list[int]) -> tuple[float, int, int]:
+    """Best share of n words found in order within 1.5 times their length; where, how long."""
     width = n + n // 2 + 1
     best = (0.0, 0, 0)
     for a in range(0, max(1, len(region) - width + 1 + n // 4), max(1, n // 4)):
@@ -163,42 +175,45 @@ class Search:
     """What a task needs to search its documents."""
 
     def __init__(self, query: Query, idf: np.ndarray, vectors: np.ndarray) -> None:
-        self.query, self.idf = query, idf
-        self.table = (vectors * idf[:, None]).astype(np.float32)
+        self.query, self.idf = query, _padded(idf)
+        self.table = _padded((vectors * idf[:, None]).astype(np.float32))
         z = query.rows(idf) @ vectors
         self.vectors = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-    def candidates(self, dims: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def candidates(self, dims: np.ndarray, doc: np.ndarray, texts: int) -> Iterator[tuple[np.ndarray, ...]]:
         """(first word, end, passage, cosine) of pairs above the cosine that share enough terms."""
-        starts, place = _runs(doc, HALF)
-        half = _summed(self.table, dims, starts)
-        energy = np.add.reduceat(self.idf[dims] ** 2, starts)
+        starts, rows = _runs(doc, dims, texts)
+        half = _summed(self.table, rows)
+        energy = (self.idf[rows] ** 2).sum(1)
+        size = (rows < DIMENSIONS).sum(1)
         owner = doc[starts]
-        pair = np.flatnonzero(owner[1:] == owner[:-1])
-        alone = np.setdiff1d(np.flatnonzero(place[starts] == 0), pair)
-        ends = np.r_[starts[1:], len(dims)]
-        sums = np.concatenate([half[pair] + half[pair + 1], half[alone]])
-        norm = np.sqrt(np.concatenate([energy[pair] + energy[pair + 1], energy[alone]]))
-        begin, end = np.concatenate([starts[pair], starts[alone]]), np.concatenate([ends[pair + 1], ends[alone]])
-        for k in range(0, len(begin), 8_192):
-            cos = sums[k : k + 8_192] @ self.vectors.T
-            cos /= np.maximum(norm[k : k + 8_192, None], 1e-9)
-            w, p = np.nonzero(cos >= COSINE)
-            if not len(w):
+        joined = np.r_[owner[1:] == owner[:-1], False]
+        alone = ~joined & np.r_[True, owner[1:] != owner[:-1]]
+        first = np.flatnonzero(joined | alone)  # a passage is two runs, or a text's only one
+        second = np.where(joined[first], first + 1, -1)
+        half, energy, size = _padded(half), _padded(energy), _padded(size)
+        rows = np.concatenate([rows, np.full((1, HALF), DIMENSIONS)])
+        for k in range(0, len(first), 4_096):
+            a, b = first[k : k + 4_096], second[k : k + 4_096]
+            norm = np.sqrt(np.maximum(energy[a] + energy[b], 1e-9))
+            cos = ((half[a] + half[b]) / norm[:, None]) @ self.vectors.T
+            at = np.flatnonzero(cos.ravel() >= COSINE)
+            if not len(at):
                 continue
-            a, b = begin[k + w], end[k + w]
-            at = np.minimum(a[:, None] + np.arange(2 * HALF), len(dims) - 1)
-            hits = (self.query.terms[p[:, None], dims[at]] & (at < b[:, None])).sum(1)
-            enough = hits * 2 >= np.minimum(b - a, self.query.size[p])
-            yield a[enough], b[enough], p[enough], cos[w, p][enough]
+            w, p = at // cos.shape[1], at % cos.shape[1]
+            n = size[a[w]] + size[b[w]]
+            hits = self.query.terms[p[:, None], np.concatenate([rows[a[w]], rows[b[w]]], axis=1)].sum(1)
+            enough = hits * 20 >= 11 * np.minimum(n, self.query.size[p])
+            w, p, n, c = w[enough], p[enough], n[enough], cos.ravel()[at][enough]
+            yield starts[a[w]], starts[a[w]] + n, p, c
 
     def matches(self, texts: list[bytes]) -> Iterator[tuple]:
         """(text, item, first word, words, cosine, overlap, answered)."""
         _, _, _, hashes, doc = words(texts, bare=True)
         if not len(doc):
             return
-        found = [np.concatenate(x) for x in zip(*self.candidates(_dims(hashes), doc), strict=True)]
-        if not found:
+        found = [np.concatenate(x) for x in zip(*self.candidates(_dims(hashes), doc, len(texts)), strict=True)]
+        if not found or not len(found[0]):
             return
         order = np.lexsort((found[0], found[2], doc[found[0]]))
         a, b, p, cos = (x[order] for x in found)
@@ -211,7 +226,10 @@ class Search:
             size = int(self.query.size[k])
             lo, hi = max(first[d], a[s] - size), min(last[d], b[s:e].max() + size)
             region = hashes[lo:hi].tolist()
-            share, at, length = best_overlap(self.query.words[k], region)
+            count = self.query.count[k]
+            if sum(count[x] for x in count.keys() & set(region)) < PARAPHRASED * size:
+                continue  # no order of these words could be enough
+            share, at, length = best_overlap(self.query.bits[k], size, region)
             answer = self.query.answer[k]
             answered = bool(answer) and len(answer & set(region[at : at + length])) >= ANSWERED * len(answer)
             if share == 1 or size >= SHORT and (share >= COPIED or share >= PARAPHRASED and answered):
@@ -223,12 +241,13 @@ _SCHEMA = "doc_id long, item_id long, at long, n_words long, cosine double, over
 
 def _sketch_all(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> tuple[int, np.ndarray]:
     """Passages of the corpus and the summed sketch, one row per term and task shuffled."""
+    padded, weighted = _padded(idf), _padded(omega * idf[:, None])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into, n = np.zeros_like(omega), 0
         for batch in batches:
-            for _, _, texts in slices(batch, 0):
-                n += sketch(texts, idf, omega, into)
+            for _, _, texts in slices(batch, 0, 4 * CHUNK_BYTES):
+                n += sketch(texts, padded, weighted, into)
         some = np.flatnonzero(into.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([into[k].tobytes() for k in some], pa.binary())], names=["term", "row"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.float64(n).tobytes()], pa.binary())], names=["term", "row"])

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .common import slices, whole_text
 from .windows import _BYTE, Rolling, mix, word_spans
 
-_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD = np.arange(256)
 _FOLD[65:91] += 32
+_FOLDED = _BYTE[_FOLD]
 
 
 _MARK = np.zeros(256, bool)
@@ -29,20 +30,24 @@ def words(texts: list[bytes], bare: bool = False) -> tuple[np.ndarray, np.ndarra
     if bare:
         texts = [t if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts]
     data = np.frombuffer(b"\n".join(texts), np.uint8)
-    begins = np.cumsum([len(t) + 1 for t in texts])
+    begins = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
     start, end = word_spans(data)
-    low = _FOLD[data]
     first, last = start, end
-    for _ in range(3 * bare):
-        first = first + (_MARK[data[np.minimum(first, last - 1)]] & (first < last - 1))
-        last = last - (_MARK[data[np.maximum(last - 1, first)]] & (first < last - 1))
+    if bare:
+        first, last = start.copy(), end.copy()
+        for edge, step in ((first, 1), (last, -1)):
+            some = np.arange(len(edge))
+            for _ in range(3):
+                some = some[_MARK[data[edge[some] - (step < 0)]] & (last[some] - first[some] > 1)]
+                edge[some] += step
     hashes = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(end, start[at] + (4 << 20), "right")))
-        hashes[at:to] = Rolling(_BYTE[low[start[at] : end[to - 1]]]).at(first[at:to] - start[at], last[at:to] - start[at])
+        hashes[at:to] = Rolling(_FOLDED[data[start[at] : end[to - 1]]]).at(first[at:to] - start[at], last[at:to] - start[at])
         at = to
-    return data, start, end, mix(hashes ^ (last - first).astype(np.uint64)), np.searchsorted(begins, start, "right")
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, begins)))
+    return data, start, end, mix(hashes ^ (last - first).astype(np.uint64)), doc
 
 
 def document_counts(docs: DataFrame, matrix, dimensions: int) -> tuple[int, np.ndarray]:

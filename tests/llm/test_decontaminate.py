@@ -67,6 +67,19 @@ def test_planted_passages_are_found_and_clean_texts_left(spark, tmp_path):
     assert sorted(r.doc_id for r in left.collect()) == sorted({r[0] for r in rows} - {t[0] for t in truth})
 
 
+def test_candidates_without_shared_words_match_nothing():
+    query = d.Query([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")])
+    idf = np.ones(d.DIMENSIONS, np.float32)
+    search = d.Search(query, idf, np.linalg.qr(np.random.default_rng(0).standard_normal((d.DIMENSIONS, 4)))[0])
+    search.vectors[:] = 0
+    search.table[:] = 0
+    old, d.COSINE = d.COSINE, -1.0
+    try:
+        assert list(search.matches([b"one two three " * 30, b"", b"four"])) == []
+    finally:
+        d.COSINE = old
+
+
 def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b", None, None, None, "", 0, "")], SCHEMA)
     none = spark.createDataFrame([], "item_id long, text string")
