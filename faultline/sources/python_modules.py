@@ -90,9 +90,9 @@ def identities(modules: DataFrame) -> DataFrame:
     stem = F.regexp_replace("path", r"\.pyi?\z", "")
     parts = modules.select("repository_id", "path", F.split(stem, "/").alias("parts"), stem.alias("stem"))
     roots = parts.select("*", F.explode(F.array(F.lit("src"), F.lit(""))).alias("root")).where("root = '' OR (parts[0] = 'src' AND size(parts) > 1)")
-    named = roots.withColumn("names", F.when(F.col("root") == "", F.col("parts")).otherwise(F.slice("parts", F.lit(2), F.size("parts"))))
-    named = named.withColumns({"package": F.element_at("names", -1) == "__init__"})
-    named = named.withColumn("folders", F.slice("names", F.lit(1), F.size("names") - 1))
+    named = roots.withColumn("names", F.when(F.col("root") == "", F.col("parts")).otherwise(F.slice("parts", F.lit(2), F.greatest(F.size("parts"), F.lit(0)))))
+    named = named.withColumns({"package": F.try_element_at("names", F.lit(-1)) == "__init__"})
+    named = named.withColumn("folders", F.slice("names", F.lit(1), F.greatest(F.size("names") - 1, F.lit(0))))
     named = named.withColumn("identity", F.array_join(F.when(F.col("package"), F.col("folders")).otherwise(F.col("names")), "."))
     word = r"^[\p{javaUnicodeIdentifierStart}_]\p{javaUnicodeIdentifierPart}*\z"
     valid = named.where((F.col("identity") != "") & F.forall(F.split("identity", r"\."), lambda s: s.rlike(word)))
@@ -118,7 +118,7 @@ def resolve(modules: DataFrame, references: DataFrame) -> tuple[DataFrame, DataF
     issues = named.where("stems > 1").select("repository_id", F.lit("ambiguous-module").alias("kind"), F.explode("paths").alias("path"), F.col("identity").alias("specifier"))
     lost = modules.join(known.select("repository_id", "path"), ["repository_id", "path"], "left_anti").select("repository_id", F.lit("module-identity-unavailable").alias("kind"), "path", F.lit(None).cast("string").alias("specifier"))
     refs = references.join(primary, (references["path"] == primary["importer"]) & (references["repository_id"] == primary["repository_id"]), "left").drop(primary["repository_id"])
-    package = F.when(F.col("own_package"), F.split("own", r"\.")).otherwise(F.slice(F.split("own", r"\."), F.lit(1), F.size(F.split("own", r"\.")) - 1))
+    package = F.when(F.col("own_package"), F.split("own", r"\.")).otherwise(F.slice(F.split("own", r"\."), F.lit(1), F.greatest(F.size(F.split("own", r"\.")) - 1, F.lit(0))))
     usable = F.col("own").isNotNull() & (F.size(package) > 0) & (F.col("relative_level") <= F.size(package))
     above = F.slice(package, F.lit(1), F.greatest(F.size(package) - F.col("relative_level") + 1, F.lit(0)))
     joined = lambda a, b: F.concat_ws(".", F.when(a != "", a), F.when(b != "", b))

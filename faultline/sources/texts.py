@@ -30,9 +30,8 @@ Parser = Callable[..., Iterable[tuple]]
 
 def parse(artifacts: DataFrame, key: str, parser: Parser, schema: str, columns: tuple[str, ...] = ("text",), **options) -> tuple[DataFrame, DataFrame]:
     """(rows, issues) of all artifacts. ``columns`` are the parser's arguments."""
-    row_type = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else artifacts.sparkSession.createDataFrame([], schema).schema
-    names = [f.name for f in row_type.fields]
-    full = f"key string, issue string, line int, {schema}"
+    names = T.StructType.fromDDL(schema).names
+    full = f"key string, issue string, issue_line int, {schema}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -42,7 +41,7 @@ def parse(artifacts: DataFrame, key: str, parser: Parser, schema: str, columns:
                     out += [(one, None, None, *row) for row in parser(*values, **options)]
                 except ParseError as error:
                     out += [(one, kind, line, *[None] * len(names)) for kind, line in error.issues]
-            yield pd.DataFrame(out, columns=["key", "issue", "line", *names], dtype=object)
+            yield pd.DataFrame(out, columns=["key", "issue", "issue_line", *names], dtype=object)
 
     made = cut(artifacts.select(F.col(key).cast("string"), *columns).mapInPandas(run, full))
-    return made.where("issue IS NULL").drop("issue", "line"), made.where("issue IS NOT NULL").select("key", "issue", "line")
+    return made.where("issue IS NULL").drop("issue", "issue_line"), made.where("issue IS NOT NULL").select("key", "issue", F.col("issue_line").alias("line"))

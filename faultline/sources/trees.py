@@ -15,8 +15,8 @@ def discover(spark: SparkSession, root: str, language: str = "typescript", max_f
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
     inner = F.expr(f"substring(path, locate('{base}', path) + {len(base)})")
-    folders = F.slice(F.split("inner", "/"), F.lit(1), F.size(F.split("inner", "/")) - 1)
+    folders = F.slice(F.split("inner", "/"), F.lit(1), F.greatest(F.size(F.split("inner", "/")) - 1, F.lit(0)))
     found = raw.select(inner.alias("inner"), "content").where(F.col("inner").rlike(EXTENSION[language]) & ~F.exists(folders, lambda s: s.isin(*IGNORED[language])))
     count = found.select("inner").limit(max_files + 1).count()
     kept = found.orderBy("inner").limit(max_files) if count > max_files else found
-    return kept.select(F.col("inner").alias("path"), F.decode("content", F.lit("UTF-8")).alias("text")), count > max_files
+    return kept.select(F.col("inner").alias("path"), F.decode("content", "UTF-8").alias("text")), count > max_files

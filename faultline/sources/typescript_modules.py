@@ -6,6 +6,7 @@ import json
 import posixpath
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,8 +214,9 @@ def _statements(ts: list[Token]) -> list[list[Token]]:
             if block is None and t.text in _BLOCKS and t.kind == "name":
                 block = t.text
             if t.kind == "op" and t.text in _OPEN:
+                typed = k > begin and ts[k - 1].text in (":", "|", "&", "<", ",", "=>")
                 k = _match(ts, k) + 1
-                if t.text == "{" and block and ts[begin].text in _STARTS and not (k < len(ts) and ts[k].text in ("{", "|", "&", "[")):
+                if t.text == "{" and block and not typed and ts[begin].text in _STARTS and not (k < len(ts) and ts[k].text in ("{", "|", "&", "[")):
                     break
                 continue
             k += 1
@@ -403,8 +405,6 @@ def resolve(modules: DataFrame, references: DataFrame, base: str | None = None,
     Distinct (folder, specifier) pairs are opened into ordered candidates and
     joined with the modules on repository and path.
     """
-    import pandas as pd
-
     @F.pandas_udf("struct<c: array<string>, otherwise: string>")
     def opened(importer: pd.Series, specifier: pd.Series) -> pd.DataFrame:
         made = [targets(i, s, base, paths or {}) for i, s in zip(importer, specifier, strict=True)]
