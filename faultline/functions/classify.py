@@ -39,5 +39,11 @@ def normalized(path: Column) -> Column:
 def categories(path: Column | str, language: str = "typescript") -> Column:
     """Categories of a path in vocabulary order; ``other`` if there is none."""
     low = normalized(F.col(path) if isinstance(path, str) else path)
-    found = F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(c)) for c, p in tests(language).items()]))
-    return F.when(F.size(found) == 0, F.array(F.lit("other"))).otherwise(found)
+    found = F.transform(F.array(low), lambda p: F.array_compact(F.array(*[F.when(p.rlike(t), F.lit(c)) for c, t in tests(language).items()])))
+    # bound in lambdas, so that the path is folded and the tests run once
+    return F.transform(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit("other"))).otherwise(f))[0]
+
+
+def is_kind(wanted: str, *without: str) -> Column:
+    """Whether ``categories`` has ``wanted`` and none of the others, reading the column once."""
+    return F.array_intersect("categories", F.array(*map(F.lit, (wanted, *without)))) == F.array(F.lit(wanted))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.classify import is_kind
 from ..functions.stats import half_up
 
 
 def eligible(files: DataFrame) -> DataFrame:
     """Source files that are neither deleted, tests nor generated."""
-    c = F.col("categories")
-    return files.where((F.col("status") != "deleted") & F.array_contains(c, "source") & ~F.array_contains(c, "test") & ~F.array_contains(c, "generated"))
+    return files.where((F.col("status") != "deleted") & is_kind("source", "test", "generated"))
 
 
 def with_records(files: DataFrame, records: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.classify import is_kind
 from ..functions.paths import area
 from . import coverage, graph, ownership
 
@@ -143,7 +144,7 @@ def high_fan_in(facts: Facts, options: Options) -> DataFrame | None:
 
 
 def _sources(files: DataFrame) -> DataFrame:
-    return files.where(has("source") & ~has("test")).select("change_id", F.col("path").alias("source_path"))
+    return files.where(is_kind("source", "test")).select("change_id", F.col("path").alias("source_path"))
 
 
 def missing_tests(facts: Facts, options: Options) -> DataFrame | None:
