@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, neighbours, packing, quality, secrets, simhash, suffixes, word_windows
+from . import decontaminate, language, lines, neighbours, oracles, packing, quality, secrets, simhash, suffixes, word_windows
 from .common import table, whole_text
 
 
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scans": oracles.SECRETS, "op4_suffix_array_dedup": oracles.SUFFIXES, "op6_line_dedup": oracles.LINES, "op9_substring_dedup": oracles.WORD_WINDOWS}
