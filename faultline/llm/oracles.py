@@ -57,3 +57,39 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM again),
 each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
 kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) FILTER (g.i IS NULL) AS t, count(g.i) AS n FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+_FIELDS = (
+    ("word_chars * 1.0 / n < 2.2 OR word_chars * 1.0 / n > 12", "word_chars * 1.0 / n BETWEEN 3 AND 9"),
+    ("n_symbols * 8 > n", "n_symbols * 50 <= n"),
+    ("n_dup_lines * 3 > n_lines", "n_dup_lines = 0"),
+    ("n_repeat_words * 4 > n", "n_repeat_words * 10 <= n"),
+    ("n_upper * 4 > c", "n_upper * 8 <= c"),
+    ("n_exclaims * 8 > n", "n_exclaims * 50 <= n"),
+    ("n_function * 25 < n", "n_function * 10 >= n"),
+    ("n_ends * 4 < n_lines", "n_ends * 2 >= n_lines"),
+)
+_R = len(_FIELDS)
+_VOTES = "[" + ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for bad, good in _FIELDS) + "]"
+_LIKELIHOOD = f"exp(ln(c['pi']) + list_sum(list_transform(range(1, {_R + 1}), lambda r: ln(c['t'][r][CASE x['v'][r] WHEN -1 THEN 1 WHEN 1 THEN 2 ELSE 3 END]))))"
+_STEP = f"""list_transform(range(0, {_R + 1}), lambda k: {{'pi': (1 + list_sum(list_transform(q, lambda x: x['g'][k + 1]))) / ({_R + 1} + list_sum(list_transform(q, lambda x: x['n']))),
+  't': list_transform(range(1, {_R + 1}), lambda r: CASE WHEN r = k THEN [0.9::DOUBLE, 0.02::DOUBLE, 0.08::DOUBLE] ELSE list_transform([(1 + list_sum(list_transform(q, lambda x: CASE WHEN x['v'][r] = -1 THEN x['g'][k + 1] ELSE 0.0 END))) / (2 + list_sum(list_transform(q, lambda x: CASE WHEN x['v'][r] <> 0 THEN x['g'][k + 1] ELSE 0.0 END)))],
+    lambda b: CASE WHEN k = 0 AND b > 0.05 THEN [0.05::DOUBLE, 0.95::DOUBLE, 1.0::DOUBLE] ELSE [b, 1 - b, 1.0::DOUBLE] END)[1] END)}})"""
+_START = f"list_transform(range(0, {_R + 1}), lambda k: {{'pi': CASE WHEN k = 0 THEN 0.8::DOUBLE ELSE (0.2 / {_R})::DOUBLE END, 't': list_transform(range(1, {_R + 1}), lambda r: CASE WHEN k = 0 THEN [0.02::DOUBLE, 0.98::DOUBLE, 1.0::DOUBLE] WHEN r = k THEN [0.9::DOUBLE, 0.02::DOUBLE, 0.08::DOUBLE] ELSE [0.3::DOUBLE, 0.7::DOUBLE, 1.0::DOUBLE] END)}})"
+
+
+def quality(function_words: list[str], iterations: int) -> str:
+    known = ", ".join(f"'{w}'" for w in dict.fromkeys(function_words))
+    return rf"""WITH RECURSIVE {_DOCS}, w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORDS}') AS words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_WORDS}')) AS lines FROM d),
+triples AS (SELECT doc_id, i, concat_ws(' ', words[i], words[i + 1], words[i + 2]) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS k FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM triples) WHERE n > 1) GROUP BY doc_id),
+s AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(k, 0) AS n_repeat_words, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_exclaims,
+  len(list_filter(words, lambda x: lower(x) IN ({known}))) AS n_function, len(list_filter(lines, lambda l: regexp_matches(l, '[.!?"][\x20\x09-\x0D]*\z'))) AS n_ends FROM w LEFT JOIN repeats USING (doc_id)),
+voted AS (SELECT *, {_VOTES} AS v FROM (SELECT *, greatest(n_words, 1) AS n, greatest(word_chars, 1) AS c FROM s)),
+pats AS (SELECT list({{'v': v, 'n': n}}) AS pats FROM (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v)),
+em(i, p) AS (SELECT 0, {_START} UNION ALL SELECT i + 1, {_STEP} FROM (
+  SELECT i, list_transform(pats, lambda x: {{'v': x['v'], 'n': x['n'], 'g': list_transform([list_transform(p, lambda c: {_LIKELIHOOD})], lambda l: list_transform(l, lambda y: x['n'] * y / list_sum(l)))[1]}}) AS q FROM em, pats WHERE i < {iterations})),
+fitted AS (SELECT p FROM em WHERE i = {iterations}),
+scored AS (SELECT *, l[1] / list_sum(l) AS posterior FROM (SELECT *, list_transform(p, lambda c: list_transform([{{'v': v}}], lambda x: {_LIKELIHOOD})[1]) AS l FROM voted, fitted)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM scored)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept, floor(posterior * 1000000.0 + 0.5) / 1000000.0 AS posterior FROM failed"""

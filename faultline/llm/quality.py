@@ -93,8 +93,9 @@ def votes(rules: list[Rule]) -> Column:
 
 
 #: Limits that keep the classes apart: a rule seldom votes bad on good documents,
-#: and a failure mode is known by the rule that finds it.
-GOOD_MOST, MODE_LEAST = 0.05, 0.9
+#: and in a mode of failure the rule that it is named after votes bad, seldom
+#: good and seldom not at all.
+GOOD_MOST, MODE = 0.05, (0.9, 0.02, 0.08)
 
 
 def fit(voted: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> list[dict]:
@@ -102,24 +103,24 @@ def fit(voted: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> list[di
 
     Bad documents fail in different ways, so each rule has a mode of its own, in
     which it votes bad. EM estimates each class's share ``pi`` and its chances
-    ``t[rule]`` of a bad and a good vote, where the rule votes. All of it is one
+    ``t[rule]`` of a bad and a good vote (and the weight of none). All of it is one
     aggregate over the pattern histogram; the driver gets one row.
     """
     patterns = voted.groupBy("votes").count().agg(F.collect_list(F.struct(F.col("votes").alias("v"), F.col("count").cast("double").alias("n"))).alias("pats"))
     rules = f"sequence(0, {n_rules - 1})"
     shape = "struct<pi: double, t: array<array<double>>>"
-    anchored = f"array({MODE_LEAST}D, {1 - MODE_LEAST:.4f}D)"
+    anchored = f"array({MODE[0]}D, {MODE[1]}D, {MODE[2]}D)"
     start = f"""transform(sequence(0, {n_rules}), k -> CAST(named_struct(
         'pi', CASE WHEN k = 0 THEN 0.8D ELSE {0.2 / n_rules}D END,
-        't', transform({rules}, r -> CASE WHEN k = 0 THEN array(0.02D, 0.98D) WHEN r = k - 1 THEN {anchored} ELSE array(0.3D, 0.7D) END)) AS {shape}))"""
-    logs = f"transform(p, c -> ln(c.pi) + aggregate({rules}, 0D, (s, r) -> s + CASE x.v[r] WHEN -1 THEN ln(c.t[r][0]) WHEN 1 THEN ln(c.t[r][1]) ELSE 0D END))"
+        't', transform({rules}, r -> CASE WHEN k = 0 THEN array(0.02D, 0.98D, 1D) WHEN r = k - 1 THEN {anchored} ELSE array(0.3D, 0.7D, 1D) END)) AS {shape}))"""
+    logs = f"transform(p, c -> ln(c.pi) + aggregate({rules}, 0D, (s, r) -> s + ln(c.t[r][CASE x.v[r] WHEN -1 THEN 0 WHEN 1 THEN 1 ELSE 2 END])))"
     weights = f"transform(array({logs}), l -> transform(l, y -> exp(y - array_max(l))))[0]"
     share = f"transform(array({weights}), w -> transform(w, y -> x.n * y / aggregate(w, 0D, (s, z) -> s + z)))[0]"
     expect = f"transform(pats, x -> named_struct('v', x.v, 'n', x.n, 'g', {share}))"
     total = "aggregate(q, 0D, (s, x) -> s + x.g[k])"
     voting = lambda which: f"aggregate(q, 0D, (s, x) -> s + CASE WHEN x.v[r] {which} THEN x.g[k] ELSE 0D END)"
     chance = f"(1 + {voting('= -1')}) / (2 + {voting('<> 0')})"
-    limited = f"transform(array({chance}), b -> CASE WHEN k > 0 OR b <= {GOOD_MOST}D THEN array(b, 1 - b) ELSE array({GOOD_MOST}D, {1 - GOOD_MOST}D) END)[0]"
+    limited = f"transform(array({chance}), b -> CASE WHEN k > 0 OR b <= {GOOD_MOST}D THEN array(b, 1 - b, 1D) ELSE array({GOOD_MOST}D, {1 - GOOD_MOST}D, 1D) END)[0]"
     update = f"""transform(sequence(0, {n_rules}), k -> named_struct(
         'pi', (1 + {total}) / ({n_rules + 1} + aggregate(q, 0D, (s, x) -> s + x.n)),
         't', transform({rules}, r -> CASE WHEN r = k - 1 THEN {anchored} ELSE {limited} END)))"""
@@ -137,7 +138,7 @@ def posterior(classes: list[dict], rules: list[Rule]) -> Column:
         ratio = F.lit(math.log(c["pi"] / classes[0]["pi"]))
         for (_, good, bad), mine, best in zip(rules, c["t"], classes[0]["t"], strict=True):
             w = [math.log(x / y) for x, y in zip(mine, best, strict=True)]
-            ratio = ratio + F.when(bad, w[0]).when(good, w[1]).otherwise(0.0)
+            ratio = ratio + F.when(bad, w[0]).when(good, w[1]).otherwise(w[2])
         odds = odds + F.exp(F.least(F.lit(500.0), ratio))
     return 1 / odds
 

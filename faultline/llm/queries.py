@@ -26,7 +26,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", (F.floor(F.col("posterior") * 1000000.0 + 0.5) / 1000000.0).alias("posterior"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": oracles.SECRETS, "op4_suffix_array_dedup": oracles.SUFFIXES, "op6_line_dedup": oracles.LINES, "op9_substring_dedup": oracles.WORD_WINDOWS}
+    return {"op1_secret_scans": oracles.SECRETS, "op3_quality_rules": oracles.quality(quality.FUNCTION_WORDS, quality.ITERATIONS), "op4_suffix_array_dedup": oracles.SUFFIXES, "op6_line_dedup": oracles.LINES, "op9_substring_dedup": oracles.WORD_WINDOWS}

@@ -34,21 +34,21 @@ def test_em_matches_a_plain_loop(spark):
 
     votes = [[1, 1, 0]] * 60 + [[-1, 0, 1]] * 9 + [[-1, -1, -1]] * 20 + [[1, 0, 0]] * 11
     got = quality.fit(spark.createDataFrame([(v,) for v in votes], "votes array<int>"), 3, 12)
-    anchor = [0.9, 0.1]
+    anchor = [0.9, 0.02, 0.08]
     pi = [0.8] + [0.2 / 3] * 3
-    t = [[[0.02, 0.98]] * 3] + [[anchor if r == k else [0.3, 0.7] for r in range(3)] for k in range(3)]
+    t = [[[0.02, 0.98, 1.0]] * 3] + [[anchor if r == k else [0.3, 0.7, 1.0] for r in range(3)] for k in range(3)]
     for _ in range(12):
         g = []
         for v in votes:
-            w = [pi[c] * math.prod(t[c][r][v[r] > 0] for r in range(3) if v[r]) for c in range(4)]
+            w = [pi[c] * math.prod(t[c][r][{-1: 0, 1: 1, 0: 2}[v[r]]] for r in range(3)) for c in range(4)]
             g.append([x / sum(w) for x in w])
         pi = [(1 + sum(x[c] for x in g)) / (4 + len(votes)) for c in range(4)]
         for c in range(4):
             for r in range(3):
                 bad = sum(x[c] for x, v in zip(g, votes, strict=True) if v[r] < 0)
                 b = (1 + bad) / (2 + sum(x[c] for x, v in zip(g, votes, strict=True) if v[r]))
-                b = 0.9 if c == r + 1 else min(b, 0.05) if c == 0 else b
-                t[c] = [[b, 1 - b] if k == r else x for k, x in enumerate(t[c])]
+                b = min(b, 0.05) if c == 0 else b
+                t[c] = [(anchor if c == r + 1 else [b, 1 - b, 1.0]) if k == r else x for k, x in enumerate(t[c])]
     for c in range(4):
         assert abs(got[c]["pi"] - pi[c]) < 1e-9
         assert all(abs(x - y) < 1e-9 for a, b in zip(got[c]["t"], t[c], strict=True) for x, y in zip(a, b, strict=True))
