@@ -78,6 +78,15 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``ids`` (null equals null)."""
+    name = "gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = ids.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+
+
 def slices(batch: pa.RecordBatch, col: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """Split a batch into runs of rows with at most ``limit`` text bytes."""
     texts = batch.column(col).cast(pa.large_binary()).to_pylist()

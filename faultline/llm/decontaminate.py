@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, shuffle_parts, slices, whole_text
+from .common import CHUNK_BYTES, shuffle_parts, slices, whole_text, without
 from .terms import document_counts, words
 
 DIMENSIONS = 1 << 12
@@ -307,5 +307,4 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark passage."""
-    gone = find(docs, benchmark).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return without(docs, find(docs, benchmark))

@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
-
 WINDOW = 3
 _KEY = ("id", "fold")
 
@@ -49,5 +47,3 @@ def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     text = F.when(F.col("starts").isNull(), F.col("row.text")).otherwise(kept)
     return both.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.coalesce(removed, F.lit(0).cast("long")).alias("lines_removed"))
 
-
-__all__ = ["covered", "dedup", "stash", "windows"]

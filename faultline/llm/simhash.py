@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash, unstash
+from .common import slices, stash, unstash, without
 
 BUDGET = 3
 SHINGLE = 3
@@ -263,7 +263,5 @@ def keep_first(docs: DataFrame, budget: int = BUDGET, size: int = SHINGLE) -> Da
     A doc_id that occurs in several rows keeps all of its rows.
     """
     made = classes(docs, budget, size)
-    gone = made.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
-    stay = made.where("doc_id <=> component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    gone = gone.join(stay, F.col("gone_id").eqNullSafe(F.col("stay_id")), "left_anti")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    stay = made.where("doc_id <=> component_id").select("doc_id")
+    return without(docs, without(made.where("NOT (doc_id <=> component_id)"), stay))
