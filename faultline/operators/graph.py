@@ -48,9 +48,9 @@ def transitive_dependents(edges: DataFrame, seeds: DataFrame, max_depth: int = 2
     """
     if not 1 <= max_depth <= 100:
         raise ValueError("depth must be 1 to 100")
-    reverse = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
+    reverse = cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")))
     seen = cut(seeds.select(F.col("path").alias("seed"), F.col("path").alias("node"), F.lit(0).alias("distance")).distinct())
-    frontier, levels = seen, [seen]
+    frontier = seen
 
     def step(frontier: DataFrame, seen: DataFrame, distance: int) -> DataFrame:
         reached = frontier.select("seed", "node").join(reverse, "node").select("seed", F.col("next").alias("node")).distinct()
@@ -60,8 +60,7 @@ def transitive_dependents(edges: DataFrame, seeds: DataFrame, max_depth: int = 2
         frontier = cut(step(frontier, seen, distance))
         if is_empty(frontier):
             break
-        levels.append(frontier)
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # of frames that are written already
     truncated = step(frontier, seen, 0).select("seed").distinct()
     return seen.where("distance > 0").select("seed", F.col("node").alias("dependent"), "distance"), truncated
 
@@ -150,7 +149,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_dep
     for value, most in ((max_depth, 100), (max_nodes, 250), (max_edges, 1_000)):
         if not 1 <= value <= most:
             raise ValueError("blast-radius limits are out of range")
-    edges = edges.dropDuplicates(["src", "dst"])
+    edges = cut(edges.dropDuplicates(["src", "dst"]))
     reverse = edges.select(F.col("dst").alias("path"), F.col("src").alias("next"))
     unique = cut(changed.select("change_id", "path").distinct().join(nodes.select("path", F.lit(True).alias("indexed")).distinct(), "path", "left"))
     by_path = Window.partitionBy("change_id").orderBy("path")
@@ -167,7 +166,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_dep
             break
         flags.append(ranked.where(F.col("rank") + F.col("have") > max_nodes).select("change_id"))
         frontier = cut(ranked.where(F.col("rank") + F.col("have") <= max_nodes).select("change_id", "path", F.lit(distance).alias("distance")))
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
         if distance == max_depth:
             flags.append(frontier.join(reverse, "path").select("change_id", F.col("next").alias("path")).join(seen.select("change_id", "path"), ["change_id", "path"], "left_anti").select("change_id"))
     inside = seen.select("change_id", F.col("path").alias("src")).join(edges, "src").join(seen.select("change_id", F.col("path").alias("dst")), ["change_id", "dst"]).select("change_id", "src", "dst")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import is_kind
 from ..functions.paths import area
+from ..plans.cut import cut
 from . import coverage, graph, ownership
 
 
@@ -131,11 +132,12 @@ def high_fan_in(facts: Facts, options: Options) -> DataFrame | None:
     if facts.graph_nodes is None or facts.graph_edges is None:
         return None
     least, depth = integer(options, "minFanIn", 5, 1, 100_000), integer(options, "maxTraversalDepth", 20, 1, 100)
-    hot = graph.metrics(facts.graph_nodes, facts.graph_edges).where(F.col("fan_in") >= least).join(facts.files.select("path").distinct(), "path", "left_semi")
-    reached, cut = graph.transitive_dependents(facts.graph_edges, hot.select("path"), depth)
+    edges = cut(facts.graph_edges)
+    hot = cut(graph.metrics(facts.graph_nodes, edges).where(F.col("fan_in") >= least).join(facts.files.select("path").distinct(), "path", "left_semi"))
+    reached, stopped = graph.transitive_dependents(edges, hot.select("path"), depth)
     lists = reached.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("distance", "dependent"))).alias("dependents"))
     rows = facts.files.select("change_id", "path").join(hot, "path").join(lists, F.col("path") == F.col("seed"), "left").drop("seed")
-    rows = rows.join(cut.select(F.col("seed").alias("cut_seed")), F.col("path") == F.col("cut_seed"), "left")
+    rows = rows.join(stopped.select(F.col("seed").alias("cut_seed")), F.col("path") == F.col("cut_seed"), "left")
     count = F.coalesce(F.size("dependents"), F.lit(0))
     none = F.array().cast("array<string>")
     paths = F.array_sort(F.array_distinct(F.concat(F.array("path"), F.coalesce(F.transform("dependents", lambda d: d["dependent"]), none))))
