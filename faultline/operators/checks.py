@@ -72,3 +72,23 @@ def completeness(expected: DataFrame, given: DataFrame) -> DataFrame:
     """(change_id, path) sets must be equal."""
     key = ["change_id", "path"]
     return reduce(DataFrame.unionByName, [_rows(expected.join(given, key, "left_anti"), "missing", "path"), _rows(given.join(expected, key, "left_anti"), "unexpected", "path"), _repeated(given, "duplicate", *key)])
+
+
+def blast_radius(nodes: DataFrame, edges: DataFrame, totals: DataFrame) -> DataFrame:
+    """A blast radius is consistent: unique nodes, edges between them, counts that cover what is shown."""
+    inside = nodes.select("change_id", F.col("path").alias("p"))
+    ends = edges.select("change_id", F.explode(F.array("src", "dst")).alias("p"))
+    shown = nodes.groupBy("change_id").agg(F.count("*").alias("n"), F.count_if(F.col("distance") == 0).alias("seeds"))
+    drawn = edges.groupBy("change_id").agg(F.count("*").alias("e"))
+    zero = F.lit(0)
+    whole = totals.join(shown, "change_id", "left").join(drawn, "change_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("n", "seeds", "e")})
+    absent = totals.select("change_id", F.explode("unindexed").alias("p"))
+    parts = [
+        _repeated(nodes, "duplicate-node", "change_id", "path"),
+        _repeated(edges, "duplicate-edge", "change_id", "src", "dst"),
+        _rows(ends.join(inside, ["change_id", "p"], "left_anti"), "edge-without-node", "p"),
+        _rows(absent.join(inside, ["change_id", "p"], "left_semi"), "unindexed-but-shown", "p"),
+        _rows(whole.where("n > graph_nodes OR e > graph_edges"), "more-than-the-graph", "change_id"),
+        _rows(whole.where("changed < seeds + size(unindexed)"), "more-seeds-than-changes", "change_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
