@@ -33,7 +33,7 @@ HALF = 16
 #: Words of a benchmark passage at most; longer items are cut.
 ITEM_WORDS = 64
 RANK, OVERSAMPLE = 128, 8
-COSINE = 0.25
+COSINE = 0.2
 #: Shares of a benchmark passage that a copy and a paraphrase keep in order.
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.8
 #: Passages under so many words must be there whole.
@@ -124,6 +124,7 @@ class Query:
                 self.words.append(part)
                 self.answer.append(answer)
         self.size = np.array([len(w) for w in self.words], np.int64)
+        self.least = least_hits(self.size)
         self.terms = np.zeros((len(self.words), DIMENSIONS + 1), bool)
         self.bits, self.count = [], []
         for k, w in enumerate(self.words):
@@ -159,6 +160,21 @@ def common_subsequence(bits: dict[int, int], n: int, other: list[int]) -> int:
     return n - v.bit_count()
 
 
+def least_kept(size: np.ndarray) -> np.ndarray:
+    """Words of a passage of ``size`` words that are found in order at least, wherever it is accepted."""
+    return np.where(size < SHORT, size, np.ceil(PARAPHRASED * size - 1e-9)).astype(np.int64)
+
+
+def least_hits(size: np.ndarray) -> np.ndarray:
+    """Words of a passage of ``size`` words that the best of the windows over it has at least, wherever it is accepted.
+
+    It is found within 1.5 times its length. So many words touch a bounded number
+    of runs, and of the pairs of adjacent runs that cover them one has its share.
+    """
+    runs = (size + size // 2 - 1) // HALF + 2
+    return -(-least_kept(size) // -(-runs // 2))
+
+
 def best_overlap(bits: dict[int, int], n: int, region: list[int]) -> tuple[float, int, int]:
     """Best share of n words found in order within 1.5 times their length; where, how long."""
     width = n + n // 2 + 1
@@ -203,18 +219,41 @@ class Search:
             w, p = at // cos.shape[1], at % cos.shape[1]
             n = size[a[w]] + size[b[w]]
             hits = self.query.terms[p[:, None], np.concatenate([rows[a[w]], rows[b[w]]], axis=1)].sum(1)
-            enough = hits * 20 >= 11 * np.minimum(n, self.query.size[p])
+            enough = hits >= self.query.least[p]
             w, p, n, c = w[enough], p[enough], n[enough], cos.ravel()[at][enough]
             yield starts[a[w]], starts[a[w]] + n, p, c
 
+    def dense(self, a: np.ndarray, p: np.ndarray, dims: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether somewhere near the window at ``a`` 1.5 times the passage's length holds enough of its terms."""
+        out = np.zeros(len(a), bool)
+        order = np.argsort(self.query.size[p], kind="stable")
+        size = self.query.size[p[order]]
+        cuts = np.r_[np.flatnonzero(np.r_[True, size[1:] != size[:-1]]), len(size)]
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            n = int(size[s])
+            width, least = n + n // 2 + 1, int(least_kept(size[s]))
+            for k in range(s, e, 4_096):
+                some = order[k : min(e, k + 4_096)]
+                at = a[some, None] + np.arange(-width, 2 * HALF + width)
+                near = np.clip(at, 0, len(dims) - 1)
+                hits = self.query.terms[p[some, None], dims[near]] & (at == near) & (doc[near] == doc[a[some], None])
+                total = np.cumsum(hits, axis=1, dtype=np.int16)
+                out[some] = (total[:, width:] - total[:, :-width]).max(1) >= least
+        return out
+
     def matches(self, texts: list[bytes]) -> Iterator[tuple]:
         """(text, item, first word, words, cosine, overlap, answered)."""
         _, _, _, hashes, doc = words(texts, bare=True)
         if not len(doc):
             return
-        found = [np.concatenate(x) for x in zip(*self.candidates(_dims(hashes), doc, len(texts)), strict=True)]
+        dims = _dims(hashes)
+        found = [np.concatenate(x) for x in zip(*self.candidates(dims, doc, len(texts)), strict=True)]
         if not found or not len(found[0]):
             return
+        near = self.dense(found[0], found[2], dims, doc)
+        found = [x[near] for x in found]
+        if not len(found[0]):
+            return
         order = np.lexsort((found[0], found[2], doc[found[0]]))
         a, b, p, cos = (x[order] for x in found)
         owner = doc[a]
@@ -224,7 +263,8 @@ class Search:
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             d, k = int(owner[s]), int(p[s])
             size = int(self.query.size[k])
-            lo, hi = max(first[d], a[s] - size), min(last[d], b[s:e].max() + size)
+            reach = size + size // 2 + 1
+            lo, hi = max(first[d], a[s] - reach), min(last[d], b[s:e].max() + reach)
             region = hashes[lo:hi].tolist()
             count = self.query.count[k]
             if sum(count[x] for x in count.keys() & set(region)) < PARAPHRASED * size:

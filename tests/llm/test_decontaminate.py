@@ -80,6 +80,23 @@ def test_candidates_without_shared_words_match_nothing():
         d.COSINE = old
 
 
+def test_no_window_test_rejects_what_the_overlap_accepts():
+    idf = np.ones(d.DIMENSIONS, np.float32)
+    for n in (8, 20, 33, 40, 47, 64):
+        item = [f"item{k}" for k in range(n)]
+        query = d.Query([(1, " ".join(item) + ".\n" + item[-1])])
+        size = n + 1
+        search = d.Search(query, idf, np.zeros((d.DIMENSIONS, 1)))
+        search.vectors[:] = 1
+        search.table[:-1] = 0.22 / 2 / d.HALF**0.5 / 2**0.5 * 2  # cosine 0.22 of every full window
+        lost = size - int(np.ceil(d.PARAPHRASED * size))
+        gone = set(np.linspace(0, n - 2, lost).astype(int).tolist())
+        for before in range(16):
+            text = [f"a{k}" for k in range(40 + before)] + [f"b{k}" if k in gone else w for k, w in enumerate(item)] + [item[-1]] + [f"c{k}" for k in range(60)]
+            got = list(search.matches([" ".join(text).encode()]))
+            assert [(g[0], g[1]) for g in got] == [(0, 1)], (n, before)
+
+
 def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b", None, None, None, "", 0, "")], SCHEMA)
     none = spark.createDataFrame([], "item_id long, text string")
