@@ -5,7 +5,8 @@ hashed terms; the IDF counts every document. One distributed pass sums the
 sketch of a randomised SVD over all passages, together with the benchmark's own
 passages, which are weighted to carry as much of the total as the corpus. In the
 latent space every passage meets every benchmark passage in blocked products.
-Candidates above a cosine are compared word by word: the longest common
+Copies are also looked up by runs of GRAM words, so they are candidates whatever
+their cosine. All candidates are compared word by word: the longest common
 subsequence must cover most of the benchmark passage, or, for paraphrases, a
 good part of it with the words of its answer (its last line or sentence).
 
@@ -32,7 +33,10 @@ DIMENSIONS = 1 << 12
 HALF = 16
 #: Words of a benchmark passage at most; longer items are cut.
 ITEM_WORDS = 64
-RANK, OVERSAMPLE = 128, 8
+#: The rank grows with the square root of the benchmark's passages within these bounds.
+RANK, MOST_RANK, OVERSAMPLE = 128, 1024, 8
+#: Words of the runs that copies are looked up by; shorter passages are looked up whole.
+GRAM = 3
 COSINE = 0.2
 #: Shares of a benchmark passage that a copy and a paraphrase keep in order.
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.8
@@ -107,6 +111,64 @@ def sketch(texts: list[bytes], idf: np.ndarray, omega: np.ndarray, into: np.ndar
     return len(rows)
 
 
+def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of n words; runs across texts are for the caller to leave out."""
+    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
+    return out
+
+
+class Grams:
+    """Passages by their runs of n words.
+
+    A copy that lost or changed up to a share 1 - COPIED of a passage's words
+    keeps ``least`` runs. Only the rarest runs are held, so many that such a copy
+    keeps two of them, or its only one.
+    """
+
+    def __init__(self, passages: list[tuple[int, np.ndarray]], n: int) -> None:
+        self.n = n
+        made = [_grams(w, n) for _, w in passages]
+        every, count = np.unique(np.concatenate(made), return_counts=True)
+        self.need = np.zeros(1 + max(p for p, _ in passages), np.int64)
+        keys, names = [], []
+        for (p, w), g in zip(passages, made, strict=True):
+            size = len(w)
+            edits = size - int(np.ceil(COPIED * size - 1e-9)) if size >= SHORT else 0
+            least = max(1, len(g) - n * edits)
+            self.need[p] = min(2, least)
+            rarest = np.lexsort((g, count[np.searchsorted(every, g)]))[: len(g) - least + self.need[p]]
+            keys.append(np.unique(g[rarest]))
+            names.append(np.full(len(keys[-1]), p))
+        key, name = np.concatenate(keys), np.concatenate(names)
+        order = np.argsort(key, kind="stable")
+        self.passage = name[order]
+        self.keys, self.at = np.unique(key[order], return_index=True)
+        self.at = np.r_[self.at, len(key)]
+        self.shift = np.uint64(64 - min(24, max(12, int(len(self.keys) * 16).bit_length())))
+        self.seen = np.zeros(1 << 64 - int(self.shift), bool)
+        self.seen[(self.keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift] = True
+
+    def find(self, hashes: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word and passage wherever enough of a passage's runs are near each other."""
+        g = _grams(hashes, self.n)
+        at = np.flatnonzero(self.seen[(g * np.uint64(0x9E3779B97F4A7C15)) >> self.shift])
+        at = at[doc[at] == doc[at + self.n - 1]]
+        k = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
+        at, k = at[self.keys[k] == g[at]], k[self.keys[k] == g[at]]
+        many = self.at[k + 1] - self.at[k]
+        word = np.repeat(at, many)
+        p = self.passage[np.repeat(self.at[k] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        order = np.lexsort((word, p))
+        word, p = word[order], p[order]
+        after = np.minimum(np.arange(len(p)) + self.need[p] - 1, len(p) - 1)
+        reach = size[p] + size[p] // 2 + 1
+        near = (p[after] == p) & (doc[word[after]] == doc[word]) & (word[after] - word < reach)
+        near &= after == np.arange(len(p)) + self.need[p] - 1
+        return word[near], p[near]
+
+
 class Query:
     """The benchmark's passages: words, term sets and answers."""
 
@@ -135,6 +197,9 @@ class Query:
             self.bits.append(bits)
             self.count.append({x: v.bit_count() for x, v in bits.items()})
 
+        by = {n: [(k, w) for k, w in enumerate(self.words) if min(len(w), GRAM) == n] for n in range(1, GRAM + 1)}
+        self.grams = [Grams(some, n) for n, some in by.items() if some]
+
     def rows(self, idf: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.words), DIMENSIONS), np.float32)
         for k, w in enumerate(self.words):
@@ -196,8 +261,8 @@ class Search:
         z = query.rows(idf) @ vectors
         self.vectors = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-    def candidates(self, dims: np.ndarray, doc: np.ndarray, texts: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """(first word, end, passage, cosine) of pairs above the cosine that share enough terms."""
+    def candidates(self, dims: np.ndarray, hashes: np.ndarray, doc: np.ndarray, texts: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(first word, end, passage, cosine) of pairs above the cosine that share enough terms, and of copies."""
         starts, rows = _runs(doc, dims, texts)
         half = _summed(self.table, rows)
         energy = (self.idf[rows] ** 2).sum(1)
@@ -209,6 +274,7 @@ class Search:
         second = np.where(joined[first], first + 1, -1)
         half, energy, size = _padded(half), _padded(energy), _padded(size)
         rows = np.concatenate([rows, np.full((1, HALF), DIMENSIONS)])
+        terms = self.query.terms.ravel()
         for k in range(0, len(first), 4_096):
             a, b = first[k : k + 4_096], second[k : k + 4_096]
             norm = np.sqrt(np.maximum(energy[a] + energy[b], 1e-9))
@@ -218,14 +284,29 @@ class Search:
                 continue
             w, p = at // cos.shape[1], at % cos.shape[1]
             n = size[a[w]] + size[b[w]]
-            hits = self.query.terms[p[:, None], np.concatenate([rows[a[w]], rows[b[w]]], axis=1)].sum(1)
+            hits = np.zeros(len(w), np.int64)
+            for part in (a, b):
+                hits += np.count_nonzero(terms.take(rows[part[w]] + p[:, None] * (DIMENSIONS + 1)), axis=1)
             enough = hits >= self.query.least[p]
             w, p, n, c = w[enough], p[enough], n[enough], cos.ravel()[at][enough]
             yield starts[a[w]], starts[a[w]] + n, p, c
-
-    def dense(self, a: np.ndarray, p: np.ndarray, dims: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        for grams in self.query.grams:
+            word, p = grams.find(hashes, doc, self.query.size)
+            # the window whose first run has the word, or whose second where no window begins with it
+            w = np.searchsorted(first, np.searchsorted(starts, word, "right") - 1, "right") - 1
+            w, p = np.unique(np.stack([w, p], axis=1), axis=0).T if len(w) else (w, p)
+            for k in range(0, len(w), 4_096):
+                a, b, q = first[w[k : k + 4_096]], second[w[k : k + 4_096]], p[k : k + 4_096]
+                norm = np.sqrt(np.maximum(energy[a] + energy[b], 1e-9))
+                yield starts[a], starts[a] + size[a] + size[b], q, ((half[a] + half[b]) / norm[:, None] * self.vectors[q]).sum(1)
+
+    def dense(self, a: np.ndarray, p: np.ndarray, dims: np.ndarray) -> np.ndarray:
         """Whether somewhere near the window at ``a`` 1.5 times the passage's length holds enough of its terms."""
         out = np.zeros(len(a), bool)
+        margin = int(self.query.size.max()) * 2 + 2 * HALF
+        around = np.full(len(dims) + 2 * margin, DIMENSIONS, np.int32)  # words of texts before and after only let more through
+        around[margin : margin + len(dims)] = dims
+        terms = self.query.terms.ravel()
         order = np.argsort(self.query.size[p], kind="stable")
         size = self.query.size[p[order]]
         cuts = np.r_[np.flatnonzero(np.r_[True, size[1:] != size[:-1]]), len(size)]
@@ -234,9 +315,8 @@ class Search:
             width, least = n + n // 2 + 1, int(least_kept(size[s]))
             for k in range(s, e, 4_096):
                 some = order[k : min(e, k + 4_096)]
-                at = a[some, None] + np.arange(-width, 2 * HALF + width)
-                near = np.clip(at, 0, len(dims) - 1)
-                hits = self.query.terms[p[some, None], dims[near]] & (at == near) & (doc[near] == doc[a[some], None])
+                near = around[a[some, None] + np.arange(margin - width, margin + 2 * HALF + width)]
+                hits = terms.take(near + p[some, None] * (DIMENSIONS + 1))
                 total = np.cumsum(hits, axis=1, dtype=np.int16)
                 out[some] = (total[:, width:] - total[:, :-width]).max(1) >= least
         return out
@@ -247,10 +327,10 @@ class Search:
         if not len(doc):
             return
         dims = _dims(hashes)
-        found = [np.concatenate(x) for x in zip(*self.candidates(dims, doc, len(texts)), strict=True)]
+        found = [np.concatenate(x) for x in zip(*self.candidates(dims, hashes, doc, len(texts)), strict=True)]
         if not found or not len(found[0]):
             return
-        near = self.dense(found[0], found[2], dims, doc)
+        near = self.dense(found[0], found[2], dims)
         found = [x[near] for x in found]
         if not len(found[0]):
             return
@@ -324,11 +404,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return spark.createDataFrame([], _SCHEMA)
     n, df = document_counts(docs, present, DIMENSIONS)
     idf = (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)
-    omega = np.random.default_rng(0).standard_normal((DIMENSIONS, RANK + OVERSAMPLE)).astype(np.float32)
+    rank = min(MOST_RANK, max(RANK, int(4 * len(query.words) ** 0.5)))
+    omega = np.random.default_rng(0).standard_normal((DIMENSIONS, rank + OVERSAMPLE)).astype(np.float32)
     passages, sketched = _sketch_all(docs, idf, omega)
     own = query.rows(idf)
     sketched = sketched + max(passages, 1) / len(own) * (own.T @ (own @ omega))
-    search = Search(query, idf, basis(sketched, omega, RANK))
+    search = Search(query, idf, basis(sketched, omega, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

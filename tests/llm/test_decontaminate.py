@@ -97,6 +97,22 @@ def test_no_window_test_rejects_what_the_overlap_accepts():
             assert [(g[0], g[1]) for g in got] == [(0, 1)], (n, before)
 
 
+def test_copies_are_found_whatever_their_cosine():
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefghik") for _ in range(6)) for _ in range(3000)] + ["the", "of", "and"] * 300
+    sizes = [1, 2, 3, 7, 8, 10, 15, 33, 47, 64]
+    items = [[rng.choice(vocab[:3000]) for _ in range(n)] for n in sizes * 30]
+    query = d.Query([(k, " ".join(w)) for k, w in enumerate(items)])
+    search = d.Search(query, np.ones(d.DIMENSIONS, np.float32), np.zeros((d.DIMENSIONS, 1)))
+    for k, item in enumerate(items):
+        part, n = list(item), len(item)
+        if n >= d.SHORT and k >= len(sizes) * 10:  # a fifth of the words change
+            for j in rng.sample(range(n), n - int(np.ceil(d.COPIED * n))):
+                part[j] = "changed"
+        text = [rng.choice(vocab) for _ in range(rng.randint(0, 60))] + part + [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
+        assert k in {g[1] for g in search.matches([b"x y", " ".join(text).encode()]) if g[0] == 1}, (k, n)
+
+
 def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b", None, None, None, "", 0, "")], SCHEMA)
     none = spark.createDataFrame([], "item_id long, text string")
