@@ -6,7 +6,7 @@ for the training texts (Nyström), one ridge regression per language is fitted
 against the rest, and whole texts are scored by two matrix products per batch.
 
 Training rows are a bounded sample: PER_LANGUAGE rows of each of at most
-LANGUAGES languages. Everything else sees every row. Null and letterless texts
+LANGUAGES languages; more languages are an error, not left out. Everything else sees every row. Null and letterless texts
 are ``und`` with score 0. Repeated rows are scored each. Without any labelled
 row all texts are ``und``.
 """
@@ -91,6 +91,8 @@ def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: flo
 def learn(docs: DataFrame) -> Model | None:
     """A model from rows outside the held-out fold with a label."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"the documents have labels of more than {LANGUAGES} languages")
     picked = sample_rows(rows.select("doc_id", "lang", "text"), "lang", PER_LANGUAGE, LANGUAGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +102,8 @@ def learn(docs: DataFrame) -> Model | None:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(bits, pa.binary())], names=["lang", "order", "bits"])
 
     made = picked.select("lang", "order", "text").mapInArrow(run, "lang string, order long, bits binary")
-    got = first_of_each(made.orderBy("order").limit(PER_LANGUAGE * LANGUAGES).collect(), "lang", PER_LANGUAGE)
+    # the sample has about 1.2 * PER_LANGUAGE rows of a language; the limit must not cut rare ones, whose order is spread
+    got = first_of_each(made.orderBy("order").limit(2 * PER_LANGUAGE * LANGUAGES).collect(), "lang", PER_LANGUAGE)
     if not got:
         return None
     x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in got]).astype(np.float32)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from faultline.llm import language, neighbours, queries
 
 from .fixtures import SCHEMA
@@ -47,6 +48,19 @@ def test_languages_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_rare_languages_keep_their_rows(spark, monkeypatch):
+    langs = ["a"] * 400 + ["b"] * 400 + ["c"] * 400 + ["rare"] * 20
+    rows = [(i, f"text {i}", lang, None, None, "", 0, "") for i, lang in enumerate(langs)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(language, "PER_LANGUAGE", 20)
+    monkeypatch.setattr(language, "LANGUAGES", 4)
+    monkeypatch.setattr(language, "fit", lambda x, labels: labels)
+    assert language.learn(docs).count("rare") == sum(not held(i) for i, lang in enumerate(langs) if lang == "rare")
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        language.learn(docs)
+
+
 def test_presence_kernel_counts_shared_grams():
     texts = [b"abcabc", b"abd", b""]
     x = language.presence(texts)
