@@ -4,7 +4,9 @@ Each rule votes good (1), bad (-1) or abstains (0) on a document's statistics.
 Expectation-maximisation over the histogram of vote patterns (at most 3^rules
 rows, whatever the corpus size) estimates how each rule votes on good documents
 and in each way of being bad, and the posterior probability of good replaces
-all-must-pass filtering.
+all-must-pass filtering. A failure mode's chances for its own rule (MODE) are
+fixed and those of bad votes on good documents limited (GOOD_MOST): without
+labels this is what gives the classes their meaning.
 
 A null text has no words and fails the base test. Rows are kept one for one,
 repeated rows too; other columns are not read.
