@@ -1,17 +1,19 @@
 """Exact substring dedup over bytes, by two-stage suffix sorting.
 
-The corpus' repeated strings are located by sampled anchors (see windows.py);
-stretches around anchors that repeat with differing surroundings are dealt to
+The places where the corpus may repeat are located by sampled anchors (see
+windows.py); the stretches around every anchor that occurs again are dealt to
 blocks by anchor, so that equal strings meet in one block. Each block builds a
 suffix array in two stages: only suffixes smaller than their successor are
 sorted directly, all others are induced by scanning the buckets in order, and
 adjacent common prefixes then tell which strings are equal. An anchor with very
-many surroundings is split over blocks, whose first occurrences are compared
-once more by a 128-bit hash of the string.
-
-Every byte covered by a string of ``size`` bytes that also starts earlier goes.
-A null text is empty. Rows that share a doc_id are looked at apart; each loses
-the runs found under that doc_id. A null doc_id is the smallest.
+many places is split over blocks, whose first occurrences are compared once
+more by a 128-bit hash of the string.
+
+Every byte covered by a string of ``size`` bytes that also starts earlier goes:
+under a smaller doc_id, or earlier in the same row. Rows that share a doc_id
+are documents of their own, none of them earlier than the other, so of strings
+that only such rows share all stay. A null text is empty. A null doc_id is the
+smallest.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_parts, slices, stash, unstash
-from .windows import Rolling, _BYTE, byte_units, candidates, cover, finish, gone_runs, merged, mix, per_text, with_text
+from .windows import PER_BLOCK, RUNS, Rolling, _BYTE, byte_units, cover, finish, marked, merged_rows, mix, per_text, repeated, run_rows, scan, with_marks
 
 SIZE = 100
 GRAM = 28
-#: Surroundings of one anchor that one block takes.
-PER_BLOCK = 2_000
 #: Bytes that one suffix array is built over.
 ARRAY_BYTES = 1 << 20
 
@@ -85,87 +85,104 @@ def equal_neighbours(text: np.ndarray, places: np.ndarray, size: int) -> np.ndar
     return same
 
 
-def _contexts():
-    """The bytes around each representative."""
+def _contexts(size: int):
+    """The bytes around each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for a, b, texts in slices(batch, 1):
-                rows = [(m["h"], m["e"], ids[i], m["p0"], m["p1"], texts[i - a][m["p0"] : m["p1"] + SIZE]) for i in range(a, b) for m in marks[i]]
-                rows = [r for r in rows if len(r[5]) == r[4] - r[3] + SIZE]  # not of another text under this doc_id
-                if rows:
-                    h, e, d, p0, p1, ctx = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(e, pa.int64()), pa.array(d, pa.int64()), pa.array(p0, pa.int32()), pa.array(p1, pa.int32()), pa.array(ctx, pa.binary())], names=["h", "e", "id", "p0", "p1", "ctx"])
+            ids, folds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for first, texts, marks, row in marked(batch):
+                p0, p1 = marks["p0"].tolist(), marks["p1"].tolist()
+                around = [texts[i][a : b + size] for i, a, b in zip((row - first).tolist(), p0, p1, strict=True)]
+                columns = [marks["h"], marks["salt"], marks["split"], ids[row], folds[row], marks["p0"], marks["p1"]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(around, pa.binary())], names=["h", "salt", "split", "id", "fold", "p0", "p1", "around"])
 
     return run
 
 
-def compare(held: list[tuple], size: int = SIZE) -> Iterator[pa.RecordBatch]:
-    """Runs that go, and the first occurrences of split anchors, of one block."""
-    ids, p0, p1, split = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:4])
-    text = np.frombuffer(b"".join(r[4] for r in held), np.uint8)
-    n = np.array([len(r[4]) for r in held])
-    begin = np.r_[0, np.cumsum(n)[:-1]]
-    owned = np.ones(len(text), bool)
-    inside = np.arange(len(text)) - np.repeat(begin, n)
-    owned = inside <= np.repeat(p1 - p0, n)
-    row = np.repeat(np.arange(len(held)), n)
+def compare(rows: np.ndarray, around: list[bytes], size: int = SIZE) -> Iterator[pa.RecordBatch]:
+    """Runs that go, and of split anchors the occurrences that stay, of one block.
+
+    ``rows`` tell id, fold, p0, p1 and split of each stretch.
+    """
+    text = np.frombuffer(b"".join(around), np.uint8)
+    n = np.array([len(x) for x in around])
+    inside = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    owned = inside <= np.repeat(rows["p1"] - rows["p0"], n)
+    row = np.repeat(np.arange(len(rows)), n)
     order = suffix_array(text, size)
     order = order[owned[order]]
     group = np.cumsum(~equal_neighbours(text, order, size)) - 1
-    doc, start = ids[row[order]], p0[row[order]] + inside[order]
-    by = np.lexsort((start, doc, group))
-    group, doc, start, order = group[by], doc[by], start[by], order[by]
-    first = np.r_[True, group[1:] != group[:-1]][: len(group)]
-    i, a, b = merged(doc[~first], start[~first], start[~first] + size)
-    none = np.zeros(len(i), np.int64)
-    yield _out(none, none, i, a, b)
-    whole = first & (split[row[order]] > 0)
-    if whole.any():
-        at = order[whole]
+    at = row[order]
+    doc, fold, start = rows["id"][at], rows["fold"][at], rows["p0"][at] + inside[order]
+    by = np.lexsort((start, fold, doc, group))
+    group, doc, fold, start, order, at = (x[by] for x in (group, doc, fold, start, order, at))
+    first = np.r_[True, group[1:] != group[:-1]]
+    own = first | np.r_[True, (doc[1:] != doc[:-1]) | (fold[1:] != fold[:-1])]  # a row's first in its group
+    gone = (doc > doc[first][np.cumsum(first) - 1]) | (start > start[own][np.cumsum(own) - 1])
+    if gone.any():
+        i, f, a, b = merged_rows(rows[at[gone]], start[gone], start[gone] + size)
+        none = np.zeros(len(i), np.int64)
+        yield run_rows(none, none, i, f, a, b)
+    again = ~gone & (rows["split"][at] > 0)
+    if again.any():
+        where = order[again]
         roll, other = Rolling(_BYTE[text]), Rolling(mix(_BYTE[text]))
-        yield _out(roll.at(at, at + size).view(np.int64), other.at(at, at + size).view(np.int64), doc[whole], start[whole], np.full(len(at), -1))
+        yield run_rows(roll.at(where, where + size), other.at(where, where + size), doc[again], fold[again], start[again], np.full(len(where), -1))
 
 
-def _out(w1, w2, ids, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["w1", "w2", "id", "start", "end"])
+STRETCH = np.dtype([("split", "<i4"), ("id", "<i8"), ("fold", "<i8"), ("p0", "<i4"), ("p1", "<i4")])
 
 
 def _blocks(size: int):
+    """Blocks of whole anchors, of about ARRAY_BYTES, compared one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        total, key = 0, None
+        held: list[tuple[np.ndarray, list[bytes]]] = []
+        total, last = 0, None
         for batch in batches:
-            for h, salt, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (h, salt) != key:
-                    if total >= ARRAY_BYTES:
-                        yield from compare(held, size)
-                        held, total = [], 0
-                    key = (h, salt)
-                held.append(tuple(rest))
-                total += len(rest[4])
+            h, salt = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            if not len(h):
+                continue
+            rows = np.empty(len(h), STRETCH)
+            for k, name in enumerate(STRETCH.names, 2):
+                rows[name] = batch.column(k).to_numpy(zero_copy_only=False)
+            around = batch.column(7).to_pylist()
+            heads = np.flatnonzero(np.r_[(h[0], salt[0]) != last, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
+            reach = np.r_[0, np.cumsum([len(x) for x in around])]
+            at = 0
+            for k in heads.tolist():
+                if total + reach[k] - reach[at] >= ARRAY_BYTES:
+                    held.append((rows[at:k], around[at:k]))
+                    yield from compare(np.concatenate([r for r, _ in held]), [x for _, xs in held for x in xs], size)
+                    held, total, at = [], 0, k
+            held.append((rows[at:], around[at:]))
+            total += reach[-1] - reach[at]
+            last = (h[-1], salt[-1])
         if held:
-            yield from compare(held, size)
+            yield from compare(np.concatenate([r for r, _ in held]), [x for _, xs in held for x in xs], size)
 
     return run
 
 
+def meet_again(found: DataFrame, size: int) -> DataFrame:
+    """Runs that go because another block of their anchor has the string earlier."""
+    stay = found.where("end < 0").groupBy("w1", "w2", "id", "fold").agg(F.collect_set("start").alias("starts"))
+    least = stay.groupBy("w1", "w2").agg(F.min("id").alias("least"))
+    later = F.filter("starts", lambda x: (F.col("id") > F.col("least")) | (x > F.array_min("starts")))
+    each = stay.join(least, ["w1", "w2"]).select("id", "fold", F.explode(later).alias("start"))
+    return each.select("id", "fold", "start", (F.col("start") + size).alias("end"))
+
+
 def repeated_runs(docs: DataFrame, size: int = SIZE, per_block: int = PER_BLOCK) -> tuple[DataFrame, list[DataFrame]]:
-    """id, start, end of runs of bytes that occur earlier, and the stashes behind them."""
-    rows = candidates(docs, byte_units, GRAM, size, first_stays=True)
-    around = stash(with_text(docs, rows).mapInArrow(_contexts(), "h long, e long, id long, p0 int, p1 int, ctx binary"), "contexts")
-    many = around.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > per_block)
-    dealt = around.join(many, "h", "left")
-    salt = F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("e"), F.ceil(F.col("n") / per_block)))
+    """id, fold, start, end of runs of bytes that occur earlier, and the stashes behind them."""
+    marks = repeated(scan(docs, byte_units, GRAM, size, per_block), per_block)
+    around = with_marks(docs, marks).mapInArrow(_contexts(size), "h long, salt long, split int, id long, fold long, p0 int, p1 int, around binary")
     parts = shuffle_parts(docs.sparkSession) * 2
-    dealt = dealt.select("h", salt.alias("salt"), "id", "p0", "p1", F.col("n").isNotNull().cast("int").alias("split"), "ctx").repartition(parts, "h", "salt").sortWithinPartitions("h", "salt")
-    found = stash(dealt.mapInArrow(_blocks(size), "w1 long, w2 long, id long, start int, end int"), "blocks")
-    firsts = found.where("end < 0")
-    first = firsts.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
-    later = firsts.join(first, ["w1", "w2"]).where("first <> struct(id, start)").select("id", "start", (F.col("start") + size).alias("end"))
-    runs = gone_runs(rows).unionByName(found.where("end >= 0").select("id", "start", "end")).unionByName(later)
-    return runs, [rows, around, found]
+    dealt = around.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt")
+    found = stash(dealt.mapInArrow(_blocks(size), RUNS), "blocks")
+    runs = found.where("end >= 0").select("id", "fold", "start", "end").unionByName(meet_again(found, size))
+    return runs, [found]
 
 
 def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -181,7 +198,7 @@ def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
             for i0, i1, texts in slices(batch, 1):
                 out = []
                 for i, text in enumerate(texts, i0):
-                    a, b = cover(starts[i], ends[i], len(text))
+                    a, b = cover(starts[i], ends[i])
                     kept = b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)) if len(a) else text
                     out.append((kept, len(text), int((b - a).sum()), len(a)))
                 kept, n, gone, spans = zip(*out, strict=True)

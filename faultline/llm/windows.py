@@ -3,14 +3,19 @@
 Windows of ``size`` units (bytes or words) are too many to shuffle. Each window
 therefore names one anchor, the short gram inside it with the smallest hash;
 equal windows name equal anchors, and neighbouring windows mostly name the same
-one. What is shuffled is one row per anchor: its gram's hash ``h``, the span of
-window starts [p0, p1] that name it, and a hash ``e`` of all the units which
-those windows cover. Two rows with equal (h, e) hold the same windows. Rows that
-share h alone may share some of them; those few go to the operator's exact
-comparison as representatives, one for each (h, e).
-
-Copies are merged in the scanning task before anything is shuffled, so a passage
-that a third of all documents share leaves each task as one row.
+one. What is shuffled is one packed place per anchor: the row it is in and the
+span of window starts [p0, p1] that name it. Anchors that occur once drop out;
+the places of all others are dealt to blocks of at most ``per_block`` places,
+and what repeats there is for the operator's own method to decide. Nothing is
+decided by anchors.
+
+Places of one anchor leave a task as one row, and an anchor with many of them
+as full blocks of their own, so that a passage which a third of all documents
+share does not meet in one task.
+
+A row is known by its doc_id and a hash of its text. Rows equal in both have
+the same windows and lose the same ones; rows that share a doc_id only are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -19,15 +24,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, slices, stash, whole_text
+from .common import CHUNK_BYTES, shuffle_parts, slices, whole_text
 
 #: Stands for a null doc_id, which is the smallest.
 NULL_ID = -(1 << 63)
-#: Anchor rows that a scanning task merges at once.
+#: Places that a scanning task merges at once.
 MERGE_ROWS = 1_000_000
+#: Places of one anchor that one block takes.
+PER_BLOCK = 2_000
+#: A place as the scan packs it, and as the block's deal hands it to its text.
+PLACE = np.dtype([("id", "<i8"), ("fold", "<i8"), ("p0", "<i4"), ("p1", "<i4"), ("q", "<i4")])
+MARK = np.dtype([("h", "<i8"), ("salt", "<i8"), ("split", "<i4"), ("p0", "<i4"), ("p1", "<i4"), ("q", "<i4")])
 _LOW = np.uint64((1 << 24) - 1)
 _R = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -104,18 +115,17 @@ def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(units: np.ndarray, bounds: np.ndarray, gram: int, size: int) -> tuple[np.ndarray, ...]:
-    """(text, p0, p1, q, h, e) of each anchor; places count from the text's begin."""
+    """(text, p0, p1, q, h) of each anchor; places count from the text's begin."""
     longest = 1 << 22
     if len(units) >= longest + size and len(bounds) == 2:  # one very long text: by overlapping segments
         out = [anchors(units[s : s + longest + size - 1], np.array([0, min(longest + size - 1, len(units) - s)]), gram, size) for s in range(0, len(units) - size + 1, longest)]
-        moved = [(t, p0 + s * longest, p1 + s * longest, q + s * longest, h, e) for s, (t, p0, p1, q, h, e) in enumerate(out)]
+        moved = [(t, p0 + s * longest, p1 + s * longest, q + s * longest, h) for s, (t, p0, p1, q, h) in enumerate(out)]
         return tuple(np.concatenate(x) for x in zip(*moved, strict=True))
     n = len(units)
     if n < size:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
-    roll = Rolling(units)
-    key = roll.all(gram)
+        return none, none, none, none, none.view(np.uint64)
+    key = Rolling(units).all(gram)
     low = (key & ~_LOW) | np.arange(len(key), dtype=np.uint64)
     span, width = 1, size - gram + 1
     while span * 2 <= width:
@@ -128,14 +138,9 @@ def anchors(units: np.ndarray, bounds: np.ndarray, gram: int, size: int) -> tupl
     q = (low[p] & _LOW).astype(np.int64)
     new = np.r_[True, (q[1:] != q[:-1]) | (p[1:] != p[:-1] + 1)][: len(p)]
     p0, p1, q = p[new], p[np.r_[new[1:], True][: len(p)]], q[new]
-    shape = ((q - p0).astype(np.uint64) << np.uint64(32)) | (p1 - p0).astype(np.uint64)
-    e = mix(roll.at(p0, p1 + size) ^ mix(shape))
     text = text[p0].astype(np.int64)
     base = bounds[text]
-    return text, p0 - base, p1 - base, q - base, key[q], e
-
-
-ROWS = "decided boolean, h long, e long, id long, p0 int, p1 int, q int, n int"
+    return text, p0 - base, p1 - base, q - base, key[q]
 
 
 def merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,86 +158,175 @@ def merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return ids[new], start[new], reach[last]
 
 
-def _batch(decided, h, e, ids, p0, p1, q, n) -> pa.RecordBatch:
-    i32 = lambda x: pa.array(np.asarray(x).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(decided), pa.array(h.view(np.int64)), pa.array(e.view(np.int64)), pa.array(ids), i32(p0), i32(p1), i32(q), i32(n)], names=["decided", "h", "e", "id", "p0", "p1", "q", "n"])
+def merged_rows(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``merged`` for rows with an id and a fold: ids, folds, starts, ends."""
+    order = np.lexsort((rows["fold"], rows["id"]))
+    same = rows[order]
+    new = np.r_[True, (same["id"][1:] != same["id"][:-1]) | (same["fold"][1:] != same["fold"][:-1])][: len(rows)]
+    row = np.empty(len(rows), np.int64)
+    row[order] = np.cumsum(new) - 1
+    names = same[new]
+    k, a, b = merged(row, start, end)
+    return names["id"][k], names["fold"][k], a, b
+
+
+def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column of the runs of an array between ``bounds``."""
+    data = np.ascontiguousarray(data)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def doc_key() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
 
 
-def scan(docs: DataFrame, units: Callable, gram: int, size: int, first_stays: bool) -> DataFrame:
-    """Anchor rows of all texts, copies within a task merged.
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """id, fold and text of each row: what a row is known by, and whole texts."""
+    return docs.select(*more, doc_key().alias("id"), F.xxhash64(whole_text()).alias("fold"), whole_text().alias("text"))
 
-    ``decided`` rows are merged runs of units [p0, p1) already known to repeat.
+
+def scan(docs: DataFrame, units: Callable, gram: int, size: int, per_block: int = PER_BLOCK) -> DataFrame:
+    """h, salt, split, places: the packed places of each anchor within a task.
+
+    Blocks that one task fills have a salt; the rest of such an anchor, which may
+    be nothing, is ``split`` and meets that of other tasks under salt 0.
     """
 
-    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ids, p0, p1, q, h, e = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((p0, ids, e, h))
-        ids, p0, p1, q, h, e = (x[order] for x in (ids, p0, p1, q, h, e))
-        new = np.r_[True, (h[1:] != h[:-1]) | (e[1:] != e[:-1])][: len(h)]
-        at = np.flatnonzero(new)
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, places = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h, kind="stable")
+        h, places = h[order], places[order]
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         n = np.diff(np.r_[at, len(h)])
-        yield _batch(np.zeros(len(at), bool), h[at], e[at], ids[at], p0[at], p1[at], q[at], n)
-        gone = ~new if first_stays else ~new | np.repeat(n > 1, n)
-        i, a, b = merged(ids[gone], p0[gone], p1[gone] + size)
-        if len(i):
-            yield _batch(np.ones(len(i), bool), mix(i.view(np.uint64) ^ a.view(np.uint64)), i.view(np.uint64), i, a, b, a, np.ones(len(i)))
+        pieces = np.where(n > per_block, n // per_block + 1, 1)  # the rest, then full blocks
+        g = np.repeat(np.arange(len(at)), pieces)
+        j = np.arange(len(g)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = at[g] + np.where(j > 0, n[g] % per_block + (j - 1) * per_block, 0)
+        first = places[np.minimum(starts, len(places) - 1)]
+        salt = mix(first["id"].view(np.uint64) ^ mix(first["fold"].view(np.uint64) + first["p0"].astype(np.uint64))) | np.uint64(1)
+        return pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(np.where(j > 0, salt, np.uint64(0)).view(np.int64)), pa.array(pieces[g] > 1), binaries(places, np.r_[starts, len(h)])], names=["h", "salt", "split", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, texts in slices(batch, 1):
+            ids, folds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for a, b, texts in slices(batch, 2):
                 made, bounds = units(texts)
-                text, p0, p1, q, h, e = anchors(made, bounds, gram, size)
-                held.append((all_ids[a:b][text], p0, p1, q, h, e))
-                rows += len(p0)
+                text, p0, p1, q, h = anchors(made, bounds, gram, size)
+                places = np.empty(len(h), PLACE)
+                for name, x in (("id", ids[a:b][text]), ("fold", folds[a:b][text]), ("p0", p0), ("p1", p1), ("q", q)):
+                    places[name] = x
+                held.append((h, places))
+                rows += len(h)
                 if rows >= MERGE_ROWS:
-                    yield from flush(held)
+                    yield flush(held)
                     held, rows = [], 0
         if rows:
-            yield from flush(held)
-
-    return docs.select(doc_key().alias("id"), whole_text().alias("text")).mapInArrow(run, ROWS)
+            yield flush(held)
 
-
-def doc_key() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
+    return keyed(docs).mapInArrow(run, "h long, salt long, split boolean, places binary")
 
 
-def candidates(docs: DataFrame, units: Callable, gram: int, size: int, first_stays: bool) -> DataFrame:
-    """Stashed rows: ``gone`` runs of repeated units, and ``compare`` representatives.
+def repeated(rows: DataFrame, per_block: int = PER_BLOCK) -> DataFrame:
+    """id, fold, mark (packed): the places of all anchors that occur again, dealt to blocks.
 
-    A group of equal (h, e) has one representative, its first row. It is
-    compared only if its anchor occurs with other surroundings too.
+    Rows arrive sorted by anchor; of an anchor's places a task holds a few
+    blocks at most.
     """
-    made = scan(docs, units, gram, size, first_stays)
-    by_anchor = Window.partitionBy("h").orderBy("e", "id", "p0")
-    anchor = Window.partitionBy("h")
-    before, after = F.lag("e").over(by_anchor), F.lead("e").over(by_anchor)
-    again = F.coalesce(before == F.col("e"), F.lit(False))
-    follows = F.coalesce(after == F.col("e"), F.lit(False))
-    rows = made.select("*", again.alias("again"), follows.alias("follows"), (F.min("e").over(anchor) != F.max("e").over(anchor)).alias("varied"))
-    gone = F.col("decided") | F.col("again") if first_stays else F.col("decided") | F.col("again") | F.col("follows")
-    rows = rows.select(gone.alias("gone"), (~F.col("decided") & ~F.col("again") & F.col("varied")).alias("compare"), "h", "e", "id", "p0", F.when(F.col("decided"), F.col("p1")).otherwise(F.col("p1") + size).alias("end"), "p1", "q")
-    return stash(rows.where("gone OR compare"), "candidates")
-
 
-def gone_runs(rows: DataFrame) -> DataFrame:
-    return rows.where("gone").select("id", F.col("p0").alias("start"), "end")
+    def marks(h: np.ndarray, salt: np.ndarray, split: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        out = np.empty(len(places), MARK)
+        for name, x in (("h", h), ("salt", salt), ("split", split)):
+            out[name] = x
+        for name in ("p0", "p1", "q"):
+            out[name] = places[name]
+        return pa.RecordBatch.from_arrays([pa.array(places["id"]), pa.array(places["fold"]), binaries(out, np.arange(len(out) + 1))], names=["id", "fold", "mark"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, salt, split, n, places = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, PLACE)
+        dealt = 0  # places of the first group that went out already
+
+        def settle(groups: np.ndarray, upto: int) -> pa.RecordBatch | None:
+            """The first ``upto`` groups, whole."""
+            if not upto:
+                return None
+            rows = int(groups[upto])
+            total = np.add.reduceat(n[:rows], groups[:upto])
+            parted = np.logical_or.reduceat(split[:rows], groups[:upto])
+            before = np.zeros(upto, np.int64)
+            before[0] = dealt
+            parted |= (total > per_block) | (before > 0)
+            keep = (total > 1) | parted
+            of = np.repeat(np.arange(upto), total)
+            inside = np.arange(len(of)) - np.repeat(np.cumsum(total) - total, total) + before[of]
+            use = np.flatnonzero(keep[of])
+            of, inside = of[use], inside[use]
+            if not len(use):
+                return None
+            block = salt[groups[:upto]][of] + np.where(salt[groups[:upto]][of] == 0, inside // per_block, 0)
+            return marks(h[groups[:upto]][of], block, parted[of], places[: int(n[:rows].sum())][use])
 
-def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """id, text and ``marks``, the representatives that lie in each text."""
-    marks = rows.where("compare").groupBy("id").agg(F.collect_list(F.struct("h", "e", "p0", "p1", "q")).alias("marks"))
-    texts = docs.select(doc_key().alias("id"), whole_text().alias("text"))
-    return texts.join(marks.hint("shuffle_hash"), "id")
+        for batch in batches:
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            if not len(new[0]):
+                continue
+            data = batch.column(3)
+            h, salt, split = (np.concatenate(x) for x in zip((h, salt, split), new, strict=True))
+            n = np.r_[n, pc.binary_length(data).to_numpy(zero_copy_only=False) // PLACE.itemsize]
+            places = np.concatenate([places, unpacked(data, PLACE)])
+            groups = np.r_[np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]), len(h)]
+            made = settle(groups, len(groups) - 2)  # the last group may go on
+            if made is not None:
+                yield made
+            if len(groups) > 2:
+                dealt, rows = 0, int(groups[-2])
+                places = places[int(n[:rows].sum()) :]
+                h, salt, split, n = (x[rows:] for x in (h, salt, split, n))
+            if (more := len(places) // per_block * per_block) >= 4 * per_block:
+                yield marks(np.full(more, h[0]), salt[0] + (dealt + np.arange(more)) // per_block, np.ones(more, bool), places[:more])
+                dealt += more
+                h, salt, split, n, places = h[:1], salt[:1], np.ones(1, bool), np.array([len(places) - more]), places[more:]
+        if len(h):
+            made = settle(np.array([0, len(h)]), 1)
+            if made is not None:
+                yield made
+
+    parts = shuffle_parts(rows.sparkSession)
+    return rows.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(run, "id long, fold long, mark binary")
+
+
+def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """id, fold, text and ``marks``, the packed places of repeated anchors in each text that has any."""
+    lists = marks.groupBy("id", "fold").agg(F.collect_set("mark").alias("marks"))
+    return keyed(docs).join(lists.hint("shuffle_hash"), ["id", "fold"]).select("id", "fold", "text", "marks")
+
+
+def marked(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """First row, texts, marks and the row of each mark, for slices of a batch of ``with_marks``."""
+    lists = batch.column(3).to_pylist()
+    for a, b, texts in slices(batch, 2):
+        made = np.frombuffer(b"".join(x for i in range(a, b) for x in lists[i]), MARK)
+        yield a, texts, made, np.repeat(np.arange(a, b), [len(lists[i]) for i in range(a, b)])
+
+
+RUNS = "w1 long, w2 long, id long, fold long, start int, end int"
+
+
+def run_rows(w1, w2, ids, folds, start, end) -> pa.RecordBatch:
+    """A batch of runs [start, end); those of blocks that must meet again have their string's hash and end before 0."""
+    i32 = lambda x: pa.array(np.asarray(x).astype(np.int32))
+    i64 = lambda x: pa.array(np.asarray(x).view(np.int64))
+    return pa.RecordBatch.from_arrays([i64(w1), i64(w2), pa.array(ids), pa.array(folds), i32(start), i32(end)], names=["w1", "w2", "id", "fold", "start", "end"])
 
 
 def finish(docs: DataFrame, runs: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``run`` over (doc_id, text, starts, ends) batches; runs as lists, null where there are none."""
-    lists = runs.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("runs")).select("id", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends"))
-    texts = docs.select("doc_id", doc_key().alias("id"), whole_text().alias("text"))
-    joined = texts.join(lists.hint("shuffle_hash"), "id", "left")
+    lists = runs.groupBy("id", "fold").agg(F.collect_set(F.struct("start", "end")).alias("runs")).select("id", "fold", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends"))
+    joined = keyed(docs, "doc_id").join(lists.hint("shuffle_hash"), ["id", "fold"], "left")
     return joined.select("doc_id", "text", "starts", "ends").mapInArrow(run, schema)
 
 
@@ -241,9 +335,7 @@ def per_text(batch: pa.RecordBatch, col: int) -> list[np.ndarray]:
     return [np.array(x or [], np.int64) for x in batch.column(col).to_pylist()]
 
 
-def cover(starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merged runs, cut to n units."""
-    ends = np.minimum(ends, n)
-    keep = starts < ends
-    _, a, b = merged(np.zeros(int(keep.sum()), np.int64), starts[keep], ends[keep])
+def cover(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merged runs of one text."""
+    _, a, b = merged(np.zeros(len(starts), np.int64), starts, ends)
     return a, b

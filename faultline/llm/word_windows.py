@@ -1,14 +1,13 @@
 """Substring dedup over words, by level-wise doubling.
 
-Level 0 holds anchors of ``size // 4 + 1`` words (9 for 35). Only anchors that
-repeat with differing surroundings are extended to twice the length, only those
-repeated at that length are extended again, now to whole windows, and what
-repeats there goes. Anchors whose surroundings repeat as a whole need no
-extension: all of their windows repeat.
+Level 0 holds anchors of ``size // 4 + 1`` words (9 for 35). Every anchor that
+occurs again is extended to twice the length; those repeated at that length are
+extended again, now to whole windows, and what repeats there goes.
 
 Every word of every repeated window goes, its first occurrence too. A null text
-has no words. Rows that share a doc_id are looked at apart, and each loses the
-runs found under that doc_id. Level hashes have 64 bits.
+has no words. Each row is a document of its own, repeated rows and rows that
+share a doc_id too: a window that two equal rows have starts twice, so it goes
+from both. Level hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -20,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash, unstash
-from .windows import Rolling, candidates, cover, finish, gone_runs, per_text, with_text, word_units
+from .common import shuffle_parts, slices, stash, unstash
+from .windows import PER_BLOCK, RUNS, Rolling, binaries, cover, finish, marked, merged_rows, per_text, repeated, run_rows, scan, with_marks, word_units
 
 SIZE = 35
+#: Whole windows that a step of the last level holds at once, and a few more.
+AT_ONCE = 500_000
+ROW = np.dtype([("split", "?"), ("id", "<i8"), ("fold", "<i8"), ("p0", "<i4")])
 
 
 def extended(size: int, gram: int):
-    """Two windows of doubled length per representative, with the whole windows around each.
+    """Two windows of doubled length per place, with the whole windows around each.
 
     A whole window that has room to the right of its anchor belongs to the
     doubling to the right, any other to the doubling to the left.
@@ -35,44 +37,104 @@ def extended(size: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks = batch.column(2).to_pylist()
-            for a, b, texts in slices(batch, 1):
+            ids, folds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for first, texts, marks, row in marked(batch):
                 units, bounds = word_units(texts)
                 roll = Rolling(units)
-                rows = [(i, bounds[i - a] + m["p0"], bounds[i - a] + m["p1"], bounds[i - a] + m["q"], bounds[i - a + 1]) for i in range(a, b) for m in marks[i]]
-                if not rows:
-                    continue
-                doc, p0, p1, q, stop = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-                ok = p1 + size <= stop  # rows of another text under the same doc_id are passed over
-                doc, p0, p1, q = (x[ok] for x in (doc, p0, p1, q))
+                begin = bounds[row - first]
+                p0, p1, q = (begin + marks[name] for name in ("p0", "p1", "q"))
                 turn = q + 2 * gram - size  # first start with room to the right
                 sides = [(np.maximum(p0, turn), p1, q), (p0, np.minimum(p1, turn - 1), q - gram)]
                 for side, (lo, hi, at) in enumerate(sides):
-                    some = lo <= hi
-                    lo, hi, at, d = lo[some], hi[some], at[some], doc[some]
-                    if not len(lo):
+                    some = np.flatnonzero(lo <= hi)
+                    if not len(some):
                         continue
+                    lo, hi, at = lo[some], hi[some], at[some]
                     n = hi - lo + 1
-                    starts = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    whole = roll.at(starts, starts + size).view(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(whole))
+                    bound = np.r_[0, np.cumsum(n)]
+                    starts = np.repeat(lo - bound[:-1], n) + np.arange(n.sum())
                     double = roll.at(at, at + 2 * gram) ^ np.uint64(side)
-                    yield pa.RecordBatch.from_arrays([pa.array(double.view(np.int64)), pa.array(ids[d]), pa.array((lo - bounds[d - a]).astype(np.int32)), lists], names=["double", "id", "p0", "whole"])
+                    i = row[some]
+                    columns = [double.view(np.int64), marks["salt"][some], marks["split"][some] > 0, ids[i], folds[i], (lo - begin[some]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), binaries(roll.at(starts, starts + size), bound)], names=["double", "salt", "split", "id", "fold", "p0", "whole"])
 
     return run
 
 
-def repeated_runs(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, list[DataFrame]]:
-    """id, start, end of runs of repeated words, and the stashes behind them."""
+def _levels(size: int):
+    """Runs of whole windows that repeat, of doublings that repeat; rows come sorted by doubling."""
+
+    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        double, salt, rows = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
+        whole = [x for *_, xs in held for x in xs]
+        new = np.r_[True, (double[1:] != double[:-1]) | (salt[1:] != salt[:-1])]
+        of = np.cumsum(new) - 1
+        alive = np.flatnonzero((np.bincount(of) > 1)[of] | rows["split"])
+        if not len(alive):
+            return
+        of, rows = of[alive], rows[alive]
+        n = np.array([len(whole[k]) // 8 for k in alive.tolist()])
+        w = np.frombuffer(b"".join(whole[k] for k in alive.tolist()), np.uint64)
+        row = np.repeat(np.arange(len(alive)), n)
+        start = rows["p0"][row] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((w, of[row]))
+        row, start, w = row[order], start[order], w[order]
+        fresh = np.r_[True, (w[1:] != w[:-1]) | (of[row[1:]] != of[row[:-1]])]
+        same = np.diff(np.r_[np.flatnonzero(fresh), len(w)])
+        again = np.repeat(same > 1, same)
+        if again.any():
+            i, f, a, b = merged_rows(rows[row[again]], start[again], start[again] + size)
+            none = np.zeros(len(i), np.int64)
+            yield run_rows(none, none, i, f, a, b)
+        meet = np.flatnonzero(fresh & rows["split"][row])  # one of each, and whether it has others here
+        if len(meet):
+            yield run_rows(w[meet], again[meet].astype(np.int64), rows["id"][row[meet]], rows["fold"][row[meet]], start[meet], np.full(len(meet), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size_held, last = 0, None
+        for batch in batches:
+            double, salt = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            if not len(double):
+                continue
+            rows = np.empty(len(double), ROW)
+            for k, name in enumerate(ROW.names, 2):
+                rows[name] = batch.column(k).to_numpy(zero_copy_only=False)
+            whole = batch.column(6).to_pylist()
+            heads = np.flatnonzero(np.r_[(double[0], salt[0]) != last, (double[1:] != double[:-1]) | (salt[1:] != salt[:-1])])
+            reach = np.r_[0, np.cumsum([len(x) // 8 for x in whole])]
+            at = 0
+            for k in heads.tolist():
+                if size_held + reach[k] - reach[at] >= AT_ONCE:
+                    held.append((double[at:k], salt[at:k], rows[at:k], whole[at:k]))
+                    yield from settle(held)
+                    held, size_held, at = [], 0, k
+            held.append((double[at:], salt[at:], rows[at:], whole[at:]))
+            size_held += reach[-1] - reach[at]
+            last = (double[-1], salt[-1])
+        if held:
+            yield from settle(held)
+
+    return run
+
+
+def meet_again(found: DataFrame, size: int) -> DataFrame:
+    """Runs of windows that are alone in their block, but not among the blocks of their anchor."""
+    once = found.where("end < 0")
+    again = once.groupBy("w1").agg(F.count("*").alias("n")).where("n > 1").select("w1")
+    each = once.where("w2 = 0").join(again, "w1")
+    return each.select("id", "fold", "start", (F.col("start") + size).alias("end"))
+
+
+def repeated_runs(docs: DataFrame, size: int = SIZE, per_block: int = PER_BLOCK) -> tuple[DataFrame, list[DataFrame]]:
+    """id, fold, start, end of runs of repeated words, and the stashes behind them."""
     gram = size // 4 + 1
-    rows = candidates(docs, word_units, gram, size, first_stays=False)
-    level = stash(with_text(docs, rows).mapInArrow(extended(size, gram), "double long, id long, p0 int, whole array<long>"), "doubled")
-    alive = level.groupBy("double").agg(F.count("*").alias("n")).where("n > 1").select("double")
-    whole = stash(level.join(alive, "double").select("id", "p0", F.posexplode("whole").alias("k", "w")).select("id", (F.col("p0") + F.col("k")).alias("start"), "w"), "whole")
-    again = whole.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    found = whole.join(again, "w").select("id", "start", (F.col("start") + size).alias("end"))
-    return gone_runs(rows).unionByName(found), [rows, level, whole]
+    marks = repeated(scan(docs, word_units, gram, size, per_block), per_block)
+    level = with_marks(docs, marks).mapInArrow(extended(size, gram), "double long, salt long, split boolean, id long, fold long, p0 int, whole binary")
+    dealt = level.repartition(shuffle_parts(docs.sparkSession), "double", "salt").sortWithinPartitions("double", "salt")
+    found = stash(dealt.mapInArrow(_levels(size), RUNS), "doubled")
+    runs = found.where("end >= 0").select("id", "fold", "start", "end").unionByName(meet_again(found, size))
+    return runs, [found]
 
 
 def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -89,7 +151,7 @@ def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 out = []
                 for i, text in enumerate(texts, i0):
                     words = text.split()
-                    a, b = cover(starts[i], ends[i], len(words))
+                    a, b = cover(starts[i], ends[i])
                     removed = int((b - a).sum())
                     if removed:
                         words = [w for x, y in zip([0, *b.tolist()], [*a.tolist(), len(words)], strict=True) for w in words[x:y]]

@@ -96,6 +96,26 @@ def substrings(docs: dict[int, str | None], size: int = 100) -> dict[int, tuple]
     return out
 
 
+def substring_rows(rows: list[tuple], size: int = 100) -> list[tuple]:
+    """``substrings`` where rows may share a doc_id: earlier is a smaller doc_id, or earlier in the row."""
+    texts = [(-(1 << 63) if d is None else d, (x or "").encode()) for d, x in rows]
+    least: dict = {}
+    for d, b in texts:
+        for i in range(len(b) - size + 1):
+            least[b[i : i + size]] = min(d, least.get(b[i : i + size], d))
+    out = []
+    for (d, b), (shown, _) in zip(texts, rows, strict=True):
+        gone, seen = [False] * len(b), set()
+        for i in range(len(b) - size + 1):
+            w = b[i : i + size]
+            if least[w] < d or w in seen:
+                gone[i : i + size] = [True] * size
+            seen.add(w)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((shown or -1, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))))
+    return out
+
+
 def word_windows(docs: dict[int, str | None], size: int = 35) -> dict[int, tuple]:
     words = {d: WORD.findall(t or "") for d, t in docs.items()}
     at = defaultdict(list)

@@ -39,14 +39,14 @@ def test_bytes_match_brute_force(spark, tmp_path, seed):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute.substrings(docs)
 
 
-def test_split_anchors_lose_nothing(spark):
+@pytest.mark.parametrize("operator, plain", [(suffixes, brute.substrings), (word_windows, brute.word_windows)])
+def test_split_anchors_lose_nothing(spark, operator, plain):
     docs = passages(3)
-    runs, _ = suffixes.repeated_runs(frame(spark, docs), per_block=2)
+    runs, _ = operator.repeated_runs(frame(spark, docs), per_block=2)
     got: dict[int, set[int]] = {}
     for r in runs.collect():
         got.setdefault(r.id, set()).update(range(r.start, r.end))
-    want = brute.substrings(docs)
-    assert {d: len(got.get(d, ())) for d in docs} == {d: w[1] for d, w in want.items()}
+    assert {d: len(got.get(d, ())) for d in docs} == {d: w[1] for d, w in plain(docs).items()}
 
 
 def test_suffix_array_sorts():
@@ -67,11 +67,44 @@ def test_one_long_text_in_segments(monkeypatch):
     assert p0[0] == 0 and p1[-1] == len(units) - 35 and (p0[1:] == p1[:-1] + 1).all()
 
 
-def test_null_ids_and_repeated_rows(spark):
+def odd_rows() -> list[tuple]:
+    """Rows under repeated and null ids: equal, differing, and with repeats of their own."""
+    t, u, v = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, t), (5, t), (5, u), (5, v + " " + v), (5, v + " " + v), (6, "x " + u), (None, v), (None, v), (None, t[:50]), (7, v), (8, None), (8, ""), (9, t + " " + t)]
+    return [(d, x, None, None, None, "", 0, "") for d, x in rows]
+
+
+@pytest.mark.parametrize("per_block", [2, 2000])
+def test_rows_under_one_id_are_documents_of_their_own(spark, monkeypatch, per_block):
+    """Against brute force over rows; equal rows keep their text but for what is earlier than both."""
     from .fixtures import SCHEMA
 
-    t = " ".join(f"a{i}" for i in range(60))
-    rows = [(None, t, None, None, None, "", 0, ""), (5, t, None, None, None, "", 0, ""), (5, t, None, None, None, "", 0, ""), (6, None, None, None, None, "", 0, "")]
+    rows = odd_rows()
     df = spark.createDataFrame(rows, SCHEMA)
-    assert sorted((r.doc_id or -1, r.n_removed) for r in word_windows.dedup(df).collect()) == [(-1, 60), (5, 60), (5, 60), (6, 0)]
-    assert sorted((r.doc_id or -1, r.n_removed > 0) for r in suffixes.dedup(df).collect()) == [(-1, False), (5, True), (5, True), (6, False)]
+    for module in (suffixes, word_windows):
+        monkeypatch.setattr(module.repeated_runs, "__defaults__", (module.SIZE, per_block))
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in suffixes.dedup(df).collect())
+    assert got == sorted(brute.substring_rows([(d, x) for d, x, *_ in rows]))
+    alone = spark.createDataFrame(rows[:2], SCHEMA)
+    assert [r.n_removed for r in suffixes.dedup(alone).collect()] == [0, 0]
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed, brute.sha(r.kept)) for r in word_windows.dedup(df).collect())
+    texts = dict(enumerate(x for _, x, *_ in rows))
+    assert got == sorted((rows[k][0] or -1, *w) for k, w in brute.word_windows(texts).items())
+
+
+def test_empty_tables(spark):
+    from .fixtures import SCHEMA
+
+    none = spark.createDataFrame([], SCHEMA)
+    assert suffixes.dedup(none).count() == word_windows.dedup(none).count() == 0
+
+
+def test_block_sizes_do_not_change_places(spark, monkeypatch):
+    """An anchor that fills blocks in its task meets the rest of it in other tasks."""
+    monkeypatch.setattr(windows, "MERGE_ROWS", 500)
+    docs = {i: " ".join(f"s{k}" for k in range(40)) + f" {i}" for i in range(300)}
+    runs, _ = word_windows.repeated_runs(frame(spark, docs), per_block=7)
+    got: dict[int, set[int]] = {}
+    for r in runs.collect():
+        got.setdefault(r.id, set()).update(range(r.start, r.end))
+    assert {d: len(got.get(d, ())) for d in docs} == dict.fromkeys(docs, 40)
