@@ -71,10 +71,22 @@ _FIELDS = (
 _R = len(_FIELDS)
 _VOTES = "[" + ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for bad, good in _FIELDS) + "]"
 _LIKELIHOOD = f"exp(ln(c['pi']) + list_sum(list_transform(range(1, {_R + 1}), lambda r: ln(c['t'][r][CASE x['v'][r] WHEN -1 THEN 1 WHEN 1 THEN 2 ELSE 3 END]))))"
-_STEP = f"""list_transform(range(0, {_R + 1}), lambda k: {{'pi': (1 + list_sum(list_transform(q, lambda x: x['g'][k + 1]))) / ({_R + 1} + list_sum(list_transform(q, lambda x: x['n']))),
-  't': list_transform(range(1, {_R + 1}), lambda r: CASE WHEN r = k THEN [0.9::DOUBLE, 0.02::DOUBLE, 0.08::DOUBLE] ELSE list_transform([(1 + list_sum(list_transform(q, lambda x: CASE WHEN x['v'][r] = -1 THEN x['g'][k + 1] ELSE 0.0 END))) / (2 + list_sum(list_transform(q, lambda x: CASE WHEN x['v'][r] <> 0 THEN x['g'][k + 1] ELSE 0.0 END)))],
-    lambda b: CASE WHEN k = 0 AND b > 0.05 THEN [0.05::DOUBLE, 0.95::DOUBLE, 1.0::DOUBLE] ELSE [b, 1 - b, 1.0::DOUBLE] END)[1] END)}})"""
-_START = f"list_transform(range(0, {_R + 1}), lambda k: {{'pi': CASE WHEN k = 0 THEN 0.8::DOUBLE ELSE (0.2 / {_R})::DOUBLE END, 't': list_transform(range(1, {_R + 1}), lambda r: CASE WHEN k = 0 THEN [0.02::DOUBLE, 0.98::DOUBLE, 1.0::DOUBLE] WHEN r = k THEN [0.9::DOUBLE, 0.02::DOUBLE, 0.08::DOUBLE] ELSE [0.3::DOUBLE, 0.7::DOUBLE, 1.0::DOUBLE] END)}})"
+_N = "list_sum(list_transform(q, lambda x: x['n']))"
+_SHARE = f"CASE WHEN k = 0 THEN 0.8::DOUBLE ELSE (0.2 / {_R})::DOUBLE END"
+
+
+def _votes(vote: int) -> str:
+    return f"list_sum(list_transform(q, lambda x: CASE WHEN x['v'][r] = {vote} THEN x['g'][k + 1] ELSE 0.0 END))"
+
+
+def _two(weight: float, bad: float) -> str:
+    return f"list_transform([({weight * bad}::DOUBLE * {_N} + {_votes(-1)}) / ({weight}::DOUBLE * {_N} + {_votes(-1)} + {_votes(1)})], lambda b: [b, 1 - b, 1.0::DOUBLE])[1]"
+
+
+_OWN = "[" + ", ".join(f"({0.03 * x}::DOUBLE * {_N} + {_votes(v)}) / (0.03::DOUBLE * {_N} + {_votes(-1)} + {_votes(1)} + {_votes(0)})" for x, v in ((0.9, -1), (0.02, 1), (0.08, 0))) + "]"
+_STEP = f"""list_transform(range(0, {_R + 1}), lambda k: {{'pi': (0.01::DOUBLE * {_N} * {_SHARE} + list_sum(list_transform(q, lambda x: x['g'][k + 1]))) / (1.01::DOUBLE * {_N}),
+  't': list_transform(range(1, {_R + 1}), lambda r: CASE WHEN k = 0 THEN {_two(0.1, 0.02)} WHEN r = k THEN {_OWN} ELSE {_two(0.001, 0.3)} END)}})"""
+_START = f"list_transform(range(0, {_R + 1}), lambda k: {{'pi': {_SHARE}, 't': list_transform(range(1, {_R + 1}), lambda r: CASE WHEN k = 0 THEN [0.02::DOUBLE, 0.98::DOUBLE, 1.0::DOUBLE] WHEN r = k THEN [0.9::DOUBLE, 0.02::DOUBLE, 0.08::DOUBLE] ELSE [0.3::DOUBLE, 0.7::DOUBLE, 1.0::DOUBLE] END)}})"
 
 
 def quality(function_words: list[str], iterations: int) -> str:

@@ -7,7 +7,8 @@ documents of their loose bins to an exchange, which is packed again in fewer
 partitions, until no partition has a gap or one partition is left.
 
 Null texts count as empty; an empty text is a piece of one separator token.
-Repeated rows are packed as often as they occur. Ties in length go by doc_id.
+Repeated rows are packed as often as they occur. Ties in length go by the order
+of the rows. Very long texts are tokenised whole, one at a time.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,51 +142,48 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return bins, offsets, np.array(left, np.int64)
 
 
-def _pack_group(size: int, stride: int, first: int, last: bool):
-    """Packs one partition; a partition above its bound gives up its loose bins."""
+def _pack_group(size: int, parts: int, rounds: int, number: int):
+    """Packs one partition; a partition above its bound gives up its loose bins, but not in the last round."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets, left = best_fit_decreasing(pdf["length"].to_numpy(), size)
-        bound = lower_bound(np.bincount(pdf["length"].to_numpy(), minlength=size + 1), size)
-        loose = np.zeros(len(left), bool) if last or len(left) <= bound else left > 0
-        taken = loose[bins]
-        return pdf.assign(sequence_id=np.where(taken, -1, first + key[0] * stride + bins), offset=np.where(taken, -1, offsets), bins=len(left), bound=bound)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        length, row = (table.column(c).to_numpy() for c in ("length", "row"))
+        order = np.lexsort((row, -length))
+        bins, offsets = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+        bins[order], offsets[order], left = best_fit_decreasing(length[order], size)
+        bound = lower_bound(np.bincount(length, minlength=size + 1), size)
+        last = parts == 1 or number == rounds - 1
+        taken = (np.zeros(len(left), bool) if last or len(left) <= bound else left > 0)[bins]
+        sequence = (bins * parts + key[0].as_py()) * rounds + number  # apart from all other partitions' and rounds'
+        made = {"round": np.full(len(length), number, np.int32), "sequence_id": np.where(taken, -1, sequence), "offset": np.where(taken, -1, offsets), "bins": np.full(len(length), len(left)), "bound": np.full(len(length), bound)}
+        for name, x in made.items():
+            table = table.append_column(name, pa.array(x))
+        return table
 
     return run
 
 
-_GROUP = PIECES + ", part int, sequence_id long, offset long, bins long, bound long"
+_PACKED = "row long, " + PIECES + ", part int, round int, sequence_id long, offset long, bins long, bound long"
 
 
 def pack(docs: DataFrame, size: int = SEQUENCE, per_partition: int = PIECES_PER_PARTITION, rounds: int = ROUNDS, paths: tuple[str, str, str] | None = None) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``.
 
-    ``bins`` and ``bound`` tell, per row, the bin count of the partition it was
-    packed in and the lower bound that certifies it.
+    ``round`` and ``part`` tell the partition that a row was packed in, ``bins``
+    its bin count and ``bound`` the lower bound that certifies it. Pieces are
+    dealt by their row, so rows that share a doc_id do not meet.
     """
-    todo = made = stash(pieces(docs, size, paths), "pieces")
-    done, first = [], 0
-    for salt in range(rounds):
+    made = stash(pieces(docs, size, paths).select(F.monotonically_increasing_id().alias("row"), "*"), "pieces")
+    todo, out = made, None
+    for number in range(rounds):
         n = todo.count()
-        if not n:
-            break
-        parts = -(-n // per_partition)
-        stride = per_partition * 8 + n // max(1, parts)
-        part = F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(parts)).cast("int")
-        groups = todo.select("doc_id", "piece", "start", "length", "ids_crc32", part.alias("part"))
-        packed = stash(groups.groupBy("part").applyInPandas(_pack_group(size, stride, first, parts == 1 or salt == rounds - 1), _GROUP), "packed")
-        done.append(packed.where("sequence_id >= 0"))
+        parts = max(1, -(-n // per_partition))
+        part = F.pmod(F.xxhash64("row", F.lit(number)), F.lit(parts)).cast("int")
+        groups = todo.select("row", "doc_id", "piece", "start", "length", "ids_crc32", part.alias("part"))
+        packed = stash(groups.groupBy("part").applyInArrow(_pack_group(size, parts, rounds, number), _PACKED), "packed")
+        done = packed.where("sequence_id >= 0").drop("row")
+        out = done if out is None else out.unionByName(done)
         todo = packed.where("sequence_id < 0")
-        first += stride * parts
         if parts == 1:
             break
     unstash(made)
-    out = done[0] if done else packed_nothing(docs)
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.drop("part")
-
-
-def packed_nothing(docs: DataFrame) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], _GROUP)
+    return out

@@ -2,14 +2,19 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document's statistics.
 Expectation-maximisation over the histogram of vote patterns (at most 3^rules
-rows, whatever the corpus size) estimates how each rule votes on good documents
-and in each way of being bad, and the posterior probability of good replaces
-all-must-pass filtering. A failure mode's chances for its own rule (MODE) are
-fixed and those of bad votes on good documents limited (GOOD_MOST): without
-labels this is what gives the classes their meaning.
+rows, whatever the corpus size) estimates how accurately each rule votes on good
+documents and in each way of being bad, and the posterior probability of good
+replaces all-must-pass filtering. All chances are estimated. There are no
+labels, so priors, which weigh as a fixed share of the corpus, give the classes
+their meaning: a rule seldom votes bad on good documents, and a failure mode has
+the bad votes of the rule that it is named after. An abstention says nothing,
+but for a mode's own rule. A bad vote that stands alone where its mode has other
+marks is outvoted. One rule's bad votes alone on very many documents that all
+other rules vote good on may be read either way.
 
 A null text has no words and fails the base test. Rows are kept one for one,
-repeated rows too; other columns are not read.
+repeated rows too; other columns are not read. Very long texts are read whole;
+a row's words and its windows' hashes are held at once.
 """
 
 from __future__ import annotations
@@ -94,38 +99,42 @@ def votes(rules: list[Rule]) -> Column:
     return F.array(*[F.when(bad, -1).when(good, 1).otherwise(0) for _, good, bad in rules])
 
 
-#: Limits that keep the classes apart: a rule seldom votes bad on good documents,
-#: and in a mode of failure the rule that it is named after votes bad, seldom
-#: good and seldom not at all.
-GOOD_MOST, MODE = 0.05, (0.9, 0.02, 0.08)
+#: Priors of the classes' shares (good, all modes together), of a bad and a good
+#: vote in the good class and of a mode's other rules, and of a bad, a good and no
+#: vote of a mode's own rule. Each weighs as much as that share of the documents.
+SHARES, SHARES_WEIGHT = (0.8, 0.2), 0.01
+GOOD, GOOD_WEIGHT = (0.02, 0.98), 0.1
+OWN, OWN_WEIGHT = (0.9, 0.02, 0.08), 0.03
+OTHER, OTHER_WEIGHT = (0.3, 0.7), 0.001
 
 
 def fit(voted: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> list[dict]:
     """The latent classes: good first, then one failure mode per rule.
 
-    Bad documents fail in different ways, so each rule has a mode of its own, in
-    which it votes bad. EM estimates each class's share ``pi`` and its chances
-    ``t[rule]`` of a bad and a good vote (and the weight of none). All of it is one
-    aggregate over the pattern histogram; the driver gets one row.
+    Bad documents fail in different ways, so each rule has a mode of its own.
+    EM estimates each class's share ``pi`` and its chances ``t[rule]`` of a bad
+    and a good vote, and of none in a mode's own rule. All of it is one aggregate
+    over the pattern histogram; the driver gets one row.
     """
     patterns = voted.groupBy("votes").count().agg(F.collect_list(F.struct(F.col("votes").alias("v"), F.col("count").cast("double").alias("n"))).alias("pats"))
     rules = f"sequence(0, {n_rules - 1})"
     shape = "struct<pi: double, t: array<array<double>>>"
-    anchored = f"array({MODE[0]}D, {MODE[1]}D, {MODE[2]}D)"
-    start = f"""transform(sequence(0, {n_rules}), k -> CAST(named_struct(
-        'pi', CASE WHEN k = 0 THEN 0.8D ELSE {0.2 / n_rules}D END,
-        't', transform({rules}, r -> CASE WHEN k = 0 THEN array(0.02D, 0.98D, 1D) WHEN r = k - 1 THEN {anchored} ELSE array(0.3D, 0.7D, 1D) END)) AS {shape}))"""
+    numbers = lambda xs: "array(" + ", ".join(f"{x}D" for x in xs) + ")"
+    share = f"CASE WHEN k = 0 THEN {SHARES[0]}D ELSE {SHARES[1] / n_rules}D END"
+    start = f"""transform(sequence(0, {n_rules}), k -> CAST(named_struct('pi', {share},
+        't', transform({rules}, r -> CASE WHEN k = 0 THEN {numbers([*GOOD, 1])} WHEN r = k - 1 THEN {numbers(OWN)} ELSE {numbers([*OTHER, 1])} END)) AS {shape}))"""
     logs = f"transform(p, c -> ln(c.pi) + aggregate({rules}, 0D, (s, r) -> s + ln(c.t[r][CASE x.v[r] WHEN -1 THEN 0 WHEN 1 THEN 1 ELSE 2 END])))"
     weights = f"transform(array({logs}), l -> transform(l, y -> exp(y - array_max(l))))[0]"
-    share = f"transform(array({weights}), w -> transform(w, y -> x.n * y / aggregate(w, 0D, (s, z) -> s + z)))[0]"
-    expect = f"transform(pats, x -> named_struct('v', x.v, 'n', x.n, 'g', {share}))"
+    shares = f"transform(array({weights}), w -> transform(w, y -> x.n * y / aggregate(w, 0D, (s, z) -> s + z)))[0]"
+    expect = f"transform(pats, x -> named_struct('v', x.v, 'n', x.n, 'g', {shares}))"
+    documents = "greatest(1D, aggregate(pats, 0D, (s, x) -> s + x.n))"
     total = "aggregate(q, 0D, (s, x) -> s + x.g[k])"
-    voting = lambda which: f"aggregate(q, 0D, (s, x) -> s + CASE WHEN x.v[r] {which} THEN x.g[k] ELSE 0D END)"
-    chance = f"(1 + {voting('= -1')}) / (2 + {voting('<> 0')})"
-    limited = f"transform(array({chance}), b -> CASE WHEN k > 0 OR b <= {GOOD_MOST}D THEN array(b, 1 - b, 1D) ELSE array({GOOD_MOST}D, {1 - GOOD_MOST}D, 1D) END)[0]"
+    votes = "transform(array(-1, 1, 0), vote -> aggregate(q, 0D, (s, x) -> s + CASE WHEN x.v[r] = vote THEN x.g[k] ELSE 0D END))"
+    own = "array(" + ", ".join(f"({OWN_WEIGHT * x}D * {documents} + c[{i}]) / ({OWN_WEIGHT}D * {documents} + c[0] + c[1] + c[2])" for i, x in enumerate(OWN)) + ")"
+    two = lambda weight, prior: f"transform(array(({weight * prior[0]}D * {documents} + c[0]) / ({weight}D * {documents} + c[0] + c[1])), b -> array(b, 1 - b, 1D))[0]"
     update = f"""transform(sequence(0, {n_rules}), k -> named_struct(
-        'pi', (1 + {total}) / ({n_rules + 1} + aggregate(q, 0D, (s, x) -> s + x.n)),
-        't', transform({rules}, r -> CASE WHEN r = k - 1 THEN {anchored} ELSE {limited} END)))"""
+        'pi', ({SHARES_WEIGHT}D * {documents} * {share} + {total}) / ({1 + SHARES_WEIGHT}D * {documents}),
+        't', transform({rules}, r -> transform(array({votes}), c -> CASE WHEN k = 0 THEN {two(GOOD_WEIGHT, GOOD)} WHEN r = k - 1 THEN {own} ELSE {two(OTHER_WEIGHT, OTHER)} END)[0])))"""
     em = f"aggregate(sequence(1, {iterations}), {start}, (p, i) -> transform(array({expect}), q -> {update})[0])"
     row = patterns.select(F.expr(em).alias("classes")).collect()[0]["classes"]
     return [c.asDict() for c in row]

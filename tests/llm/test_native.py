@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from faultline.llm import lines, queries, quality, secrets
+from pyspark.sql import functions as F
 
 from . import brute
 from .fixtures import SCHEMA, frame, save, texts
@@ -34,26 +35,44 @@ def test_em_matches_a_plain_loop(spark):
 
     votes = [[1, 1, 0]] * 60 + [[-1, 0, 1]] * 9 + [[-1, -1, -1]] * 20 + [[1, 0, 0]] * 11
     got = quality.fit(spark.createDataFrame([(v,) for v in votes], "votes array<int>"), 3, 12)
-    anchor = [0.9, 0.02, 0.08]
-    pi = [0.8] + [0.2 / 3] * 3
-    t = [[[0.02, 0.98, 1.0]] * 3] + [[anchor if r == k else [0.3, 0.7, 1.0] for r in range(3)] for k in range(3)]
+    n = len(votes)
+    place = {-1: 0, 1: 1, 0: 2}
+    share = [0.8] + [0.2 / 3] * 3
+    pi = list(share)
+    t = [[[0.02, 0.98, 1.0]] * 3] + [[[0.9, 0.02, 0.08] if r == k else [0.3, 0.7, 1.0] for r in range(3)] for k in range(3)]
     for _ in range(12):
         g = []
         for v in votes:
-            w = [pi[c] * math.prod(t[c][r][{-1: 0, 1: 1, 0: 2}[v[r]]] for r in range(3)) for c in range(4)]
+            w = [pi[c] * math.prod(t[c][r][place[v[r]]] for r in range(3)) for c in range(4)]
             g.append([x / sum(w) for x in w])
-        pi = [(1 + sum(x[c] for x in g)) / (4 + len(votes)) for c in range(4)]
+        pi = [(0.01 * n * share[c] + sum(x[c] for x in g)) / (1.01 * n) for c in range(4)]
         for c in range(4):
             for r in range(3):
-                bad = sum(x[c] for x, v in zip(g, votes, strict=True) if v[r] < 0)
-                b = (1 + bad) / (2 + sum(x[c] for x, v in zip(g, votes, strict=True) if v[r]))
-                b = min(b, 0.05) if c == 0 else b
-                t[c] = [(anchor if c == r + 1 else [b, 1 - b, 1.0]) if k == r else x for k, x in enumerate(t[c])]
+                bad, good, none = (sum(x[c] for x, v in zip(g, votes, strict=True) if v[r] == vote) for vote in (-1, 1, 0))
+                if c == r + 1:
+                    made = [(0.03 * n * m + x) / (0.03 * n + bad + good + none) for m, x in zip((0.9, 0.02, 0.08), (bad, good, none), strict=True)]
+                else:
+                    weight, prior = (0.1, 0.02) if c == 0 else (0.001, 0.3)
+                    chance = (weight * n * prior + bad) / (weight * n + bad + good)
+                    made = [chance, 1 - chance, 1.0]
+                t[c] = [made if k == r else x for k, x in enumerate(t[c])]
     for c in range(4):
         assert abs(got[c]["pi"] - pi[c]) < 1e-9
         assert all(abs(x - y) < 1e-9 for a, b in zip(got[c]["t"], t[c], strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_rules_that_conflict_are_weighed(spark):
+    """A bad vote goes by what the rule's bad votes usually come with, not by all-must-pass."""
+    clean, junk = [1] * 8, [1, -1, 1, 1, 1, 1, -1, 1]
+    alone, foreign = [1, -1, 1, 1, 1, 1, 1, 1], [1, 1, 1, 1, 1, 1, -1, 1]
+    votes = [clean] * 850 + [junk] * 70 + [alone] * 2 + [foreign] * 3
+    rules = [(str(k), F.col("votes")[k] == 1, F.col("votes")[k] == -1) for k in range(8)]
+    df = spark.createDataFrame([(v,) for v in votes], "votes array<int>")
+    scored = df.distinct().withColumn("p", quality.posterior(quality.fit(df, 8), rules))
+    kept = {tuple(r.votes): r.p >= 0.5 for r in scored.collect()}
+    assert kept == {tuple(clean): True, tuple(junk): False, tuple(alone): True, tuple(foreign): True}
+
+
 def test_junk_is_rejected_and_prose_is_kept(spark):
     import random
 

@@ -96,3 +96,24 @@ def test_bound_never_exceeds_a_packing():
         bins, offsets, left = packing.best_fit_decreasing(lengths, 100)
         assert packing.lower_bound(np.bincount(lengths, minlength=101), 100) <= len(left)
         assert (np.bincount(bins, lengths) <= 100).all()
+
+
+def test_rows_of_one_id_never_share_a_place(spark):
+    """Ten times as many rows of one doc_id as a partition packs, and some under a null one."""
+    from .fixtures import SCHEMA
+
+    rng = random.Random(8)
+    rows = [(7, "a b " * 300, None, None, None, "", 0, "")] * 200 + [(None, "c d " * rng.randint(1, 900), None, None, None, "", 0, "") for _ in range(40)] + [(1 << 60, "e", None, None, None, "", 0, "")]
+    out = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(2), per_partition=20).collect()
+    by_seq = defaultdict(list)
+    for r in out:
+        by_seq[r.sequence_id].append(r)
+    for s in by_seq.values():
+        at = 0
+        for p in sorted(s, key=lambda r: r.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 2048
+    assert sum(r.piece == 0 for r in out) == len(rows) and any(r.doc_id == 1 << 60 for r in out)
+    groups = {(r.round, r.part): (r.bins, r.bound) for r in out}
+    assert all(bins >= bound > 0 for bins, bound in groups.values())
