@@ -26,30 +26,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_parts, slices, stash, unstash
-from .windows import PER_BLOCK, RUNS, Rolling, _BYTE, byte_units, cover, finish, marked, merged_rows, mix, per_text, repeated, run_rows, scan, with_marks
+from .windows import PER_BLOCK, RUNS, Rolling, _BYTE, byte_units, cover, finish, marked, mix, per_text, repeated, run_rows, scan, with_marks
 
 SIZE = 100
 GRAM = 28
 #: Bytes that one suffix array is built over.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 3 << 20
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``text`` ordered by at least the first ``depth`` bytes that follow."""
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of ``text`` ordered by at least the first ``depth`` bytes that follow.
+
+    With ``wanted`` (a flag per place) only these, and those that they are induced from.
+    """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     ends = np.r_[np.flatnonzero(text[1:] != text[:-1]), n - 1]  # last place of each run
     follow = np.r_[text[ends[1:]].astype(np.int16), -1]
-    rises = text[ends] < follow
     lengths = np.diff(np.r_[-1, ends])
-    direct = np.flatnonzero(np.repeat(rises, lengths))
+    rising = np.repeat(text[ends] < follow, lengths)
+    if wanted is None:
+        wanted = np.ones(n, bool)
+    else:  # whoever is not sorted directly needs its successors, up to one that is
+        stop = np.flatnonzero(wanted & np.r_[~wanted[1:], True])
+        direct = np.r_[np.flatnonzero(rising), n - 1]
+        reach = np.r_[direct, n - 1][np.searchsorted(direct, stop)]
+        change = np.bincount(stop, minlength=n + 1)[: n + 1] - np.bincount(reach, minlength=n + 1)[: n + 1]
+        wanted = wanted | (np.r_[0, np.cumsum(change)[: n - 1]] > 0)
+    direct = np.flatnonzero(rising & wanted)
     rows = np.lib.stride_tricks.sliding_window_view(np.r_[text, np.zeros(depth, np.uint8)], depth)
     order = direct[np.argsort(np.ascontiguousarray(rows[direct]).view(f"S{depth}").ravel(), kind="stable")] if len(direct) else direct
     firsts = text[order]
     bounds = np.searchsorted(firsts, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[-1]].append(np.array([n - 1]))  # the last suffix is larger than its (empty) successor
+    if wanted[-1]:
+        waiting[text[-1]].append(np.array([n - 1]))  # the last suffix is larger than its (empty) successor
     out = []
     for c in range(256):
         level = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
@@ -57,11 +69,14 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         while len(level):  # one, two, three ... times this byte, then a smaller one
             bucket.append(level)
             level = level[level > 0] - 1
-            level = level[text[level] == c]
+            level = level[(text[level] == c) & wanted[level]]
         bucket.append(order[bounds[c] : bounds[c + 1]])
         full = np.concatenate(bucket)
+        if not len(full):
+            continue
         out.append(full)
         before = full[full > 0] - 1
+        before = before[wanted[before]]
         chars = text[before]
         up = chars > c
         before, chars = before[up], chars[up]
@@ -72,16 +87,20 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         cuts = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
         for s, e in zip(cuts, [*cuts[1:], len(chars)], strict=True):
             waiting[chars[s]].append(before[s:e])
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def equal_neighbours(text: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-    """Whether the common prefix of each place with the one before is at least ``size``."""
-    rows = np.lib.stride_tricks.sliding_window_view(np.r_[text, np.zeros(size, np.uint8)], size)
+    """Whether the common prefix of each place with the one before is at least ``size``, by words of eight bytes."""
+    whole = -(-size // 8) * 8
+    rows = np.lib.stride_tricks.sliding_window_view(np.r_[text, np.zeros(whole, np.uint8)], whole)
     same = np.zeros(len(places), bool)
-    for k in range(1, len(places), 50_000):
-        to = min(len(places), k + 50_000)
-        same[k:to] = (rows[places[k:to]] == rows[places[k - 1 : to - 1]]).all(1)
+    for k in range(1, len(places), 20_000):
+        to = min(len(places), k + 20_000)
+        words = rows[places[k - 1 : to]].view("<u8")
+        if whole > size:
+            words[:, -1] &= np.uint64((1 << 8 * (8 - whole + size)) - 1)
+        same[k:to] = (words[1:] == words[:-1]).all(1)
     return same
 
 
@@ -107,28 +126,37 @@ def compare(rows: np.ndarray, around: list[bytes], size: int = SIZE) -> Iterator
     """
     text = np.frombuffer(b"".join(around), np.uint8)
     n = np.array([len(x) for x in around])
-    inside = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    owned = inside <= np.repeat(rows["p1"] - rows["p0"], n)
-    row = np.repeat(np.arange(len(rows)), n)
-    order = suffix_array(text, size)
+    begin = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+    inside = np.arange(len(text)) - begin[row]
+    owned = inside <= (rows["p1"] - rows["p0"])[row]
+    order = suffix_array(text, size, owned)
     order = order[owned[order]]
-    group = np.cumsum(~equal_neighbours(text, order, size)) - 1
-    at = row[order]
-    doc, fold, start = rows["id"][at], rows["fold"][at], rows["p0"][at] + inside[order]
-    by = np.lexsort((start, fold, doc, group))
-    group, doc, fold, start, order, at = (x[by] for x in (group, doc, fold, start, order, at))
-    first = np.r_[True, group[1:] != group[:-1]]
-    own = first | np.r_[True, (doc[1:] != doc[:-1]) | (fold[1:] != fold[:-1])]  # a row's first in its group
-    gone = (doc > doc[first][np.cumsum(first) - 1]) | (start > start[own][np.cumsum(own) - 1])
-    if gone.any():
-        i, f, a, b = merged_rows(rows[at[gone]], start[gone], start[gone] + size)
-        none = np.zeros(len(i), np.int64)
-        yield run_rows(none, none, i, f, a, b)
-    again = ~gone & (rows["split"][at] > 0)
-    if again.any():
-        where = order[again]
+    heads = np.flatnonzero(~equal_neighbours(text, order, size))
+    group = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(order)]))
+    doc = rows["id"][row[order]]
+    gone = doc > np.minimum.reduceat(doc, heads)[group]
+    # of strings that the smallest doc_id has more than once, the later ones in each of its rows
+    same = np.flatnonzero(~gone & (np.bincount(group, ~gone) > 1)[group])
+    if len(same):
+        of, start, fold = group[same], (rows["p0"][row] + inside)[order[same]], rows["fold"][row[order[same]]]
+        by = np.lexsort((start, fold, of))
+        of, start, fold = of[by], start[by], fold[by]
+        own = np.r_[True, (of[1:] != of[:-1]) | (fold[1:] != fold[:-1])]  # a row's first in its group
+        gone[same[by]] = start > start[own][np.cumsum(own) - 1]
+    marked_at = np.zeros(len(text) + 1, bool)
+    marked_at[order[gone]] = True
+    first = np.flatnonzero(marked_at[:-1] & ~np.r_[False, marked_at[:-2] & (row[1:] == row[:-1])])
+    if len(first):
+        last = np.flatnonzero(marked_at[:-1] & ~np.r_[marked_at[1:-1] & (row[1:] == row[:-1]), False])
+        at = row[first]
+        none = np.zeros(len(at), np.int64)
+        yield run_rows(none, none, rows["id"][at], rows["fold"][at], rows["p0"][at] + inside[first], rows["p0"][at] + inside[last] + size)
+    again = order[~gone & (rows["split"][row[order]] > 0)]
+    if len(again):
         roll, other = Rolling(_BYTE[text]), Rolling(mix(_BYTE[text]))
-        yield run_rows(roll.at(where, where + size), other.at(where, where + size), doc[again], fold[again], start[again], np.full(len(where), -1))
+        at = row[again]
+        yield run_rows(roll.at(again, again + size), other.at(again, again + size), rows["id"][at], rows["fold"][at], rows["p0"][at] + inside[again], np.full(len(again), -1))
 
 
 STRETCH = np.dtype([("split", "<i4"), ("id", "<i8"), ("fold", "<i8"), ("p0", "<i4"), ("p1", "<i4")])
@@ -176,13 +204,13 @@ def meet_again(found: DataFrame, size: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, size: int = SIZE, per_block: int = PER_BLOCK) -> tuple[DataFrame, list[DataFrame]]:
     """id, fold, start, end of runs of bytes that occur earlier, and the stashes behind them."""
-    marks = repeated(scan(docs, byte_units, GRAM, size, per_block), per_block)
+    marks = stash(repeated(scan(docs, byte_units, GRAM, size, per_block), per_block), "marks")
     around = with_marks(docs, marks).mapInArrow(_contexts(size), "h long, salt long, split int, id long, fold long, p0 int, p1 int, around binary")
     parts = shuffle_parts(docs.sparkSession) * 2
     dealt = around.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt")
     found = stash(dealt.mapInArrow(_blocks(size), RUNS), "blocks")
     runs = found.where("end >= 0").select("id", "fold", "start", "end").unionByName(meet_again(found, size))
-    return runs, [found]
+    return runs, [marks, found]
 
 
 def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:

@@ -129,12 +129,12 @@ def meet_again(found: DataFrame, size: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, size: int = SIZE, per_block: int = PER_BLOCK) -> tuple[DataFrame, list[DataFrame]]:
     """id, fold, start, end of runs of repeated words, and the stashes behind them."""
     gram = size // 4 + 1
-    marks = repeated(scan(docs, word_units, gram, size, per_block), per_block)
+    marks = stash(repeated(scan(docs, word_units, gram, size, per_block), per_block), "marks")
     level = with_marks(docs, marks).mapInArrow(extended(size, gram), "double long, salt long, split boolean, id long, fold long, p0 int, whole binary")
     dealt = level.repartition(shuffle_parts(docs.sparkSession), "double", "salt").sortWithinPartitions("double", "salt")
     found = stash(dealt.mapInArrow(_levels(size), RUNS), "doubled")
     runs = found.where("end >= 0").select("id", "fold", "start", "end").unionByName(meet_again(found, size))
-    return runs, [found]
+    return runs, [marks, found]
 
 
 def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:

@@ -58,6 +58,11 @@ def test_suffix_array_sorts():
         assert sorted(order.tolist()) == list(range(800))
         cut = [raw[i : i + 100] for i in order.tolist() if i <= 700]
         assert cut == sorted(cut)
+        for wanted in (rng.random(800) < 0.3, np.arange(800) % 40 < 7):
+            some = [i for i in suffixes.suffix_array(text, 100, wanted).tolist() if wanted[i]]
+            assert sorted(some) == np.flatnonzero(wanted).tolist()
+            cut = [raw[i : i + 100] for i in some if i <= 700]
+            assert cut == sorted(cut)
 
 
 def test_one_long_text_in_segments(monkeypatch):
