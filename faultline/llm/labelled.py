@@ -14,26 +14,26 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
 
 
-def sample_rows(labelled: DataFrame, label: str, per_label: int, max_labels: int) -> DataFrame:
-    """At most about ``per_label`` rows of each of the ``max_labels`` most frequent labels.
+def sample_rows(labelled: DataFrame, label: str, per_label: int, max_labels: int, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """About ``per_label`` rows of each label, at most 1.2 times as many.
 
-    Rows are chosen by a hash of doc_id against a threshold from the label's
-    count, so no label's rows meet in one task. Column ``order`` ranks them.
+    Rows are chosen by a hash of their ``key`` against a threshold from the
+    label's count, so no label's rows meet in one task. Column ``order`` ranks
+    them. The counts of at most ``max_labels`` labels are broadcast.
     """
-    counts = labelled.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(max_labels).collect()
     scale = 1 << 30
-    chance = F.lit(0).cast("long")
-    for r in counts:
-        chance = F.when(F.col(label) == r[label], F.lit(min(scale, int(scale * 1.2 * per_label / r["n"]) + 1))).otherwise(chance)
-    order = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale))
-    return labelled.withColumn("order", order).where(F.col("order") < chance)
+    share = F.least(F.lit(1.0), 1.2 * per_label / F.col("rows_"))
+    counts = labelled.groupBy(F.col(label).alias("label_")).agg(F.count("*").alias("rows_")).limit(max_labels).select("label_", (share * scale).cast("long").alias("chance_"))
+    order = F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(scale))
+    joined = labelled.withColumn("order", order).join(F.broadcast(counts), F.col(label) == F.col("label_"))
+    return joined.where(F.col("order") <= F.col("chance_")).drop("label_", "chance_")
 
 
 def first_of_each(rows: list, label: str, per_label: int) -> list:
-    """The collected rows with the lowest ``order``, ``per_label`` of each label."""
+    """The collected rows with the lowest ``order``, ``per_label`` of each label; ties go by ``tie``, a hash of the text."""
     taken: dict = {}
     out = []
-    for r in sorted(rows, key=lambda r: (r["order"], str(r[label]))):
+    for r in sorted(rows, key=lambda r: (r["order"], r["tie"], str(r[label]))):
         taken[r[label]] = taken.get(r[label], 0) + 1
         if taken[r[label]] <= per_label:
             out.append(r)

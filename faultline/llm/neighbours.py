@@ -9,7 +9,10 @@ blocks, and its nearest neighbours vote with weights that grow with similarity.
 Only the labelled sample is bounded (PER_CLASS rows of each label, a megabyte
 of vectors). A text without terms gets the sample's mean label. Null texts count
 as empty. Repeated rows are scored each; of several labels of one doc_id the
-smallest counts. Without labels every score is 0.5.
+smallest counts, and equal labelled rows are learned from once. Of neighbours
+with equal cosines those first in the sample's order (a hash of doc_id, then of
+the text) vote. Texts over PIECE bytes are counted in pieces, which may cut a
+word and the repeats across the cut. Without labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ DIMENSIONS = WORDS + SHAPES
 PER_CLASS = 1500
 RANK = 64
 NEIGHBOURS = 21
+PIECE = 4 << 20
 THRESHOLD = 0.7
 _CLASS = np.zeros(256, np.uint64)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 2
@@ -39,6 +43,8 @@ _CLASS[[33, 46, 44, 63, 58, 59]] = 4
 
 def counts(texts: list[bytes]) -> np.ndarray:
     """Texts by dimensions: how often each hashed term occurs."""
+    if len(texts) == 1 and len(texts[0]) > PIECE:
+        return sum(counts([texts[0][k : k + PIECE]]) for k in range(0, len(texts[0]), PIECE))
     data, start, end, hashes, doc = words(texts)
     n = len(texts) * DIMENSIONS
     if not len(start):
@@ -100,6 +106,17 @@ def randomised_svd(x: np.ndarray, rank: int, rounds: int = 4, seed: int = 0) ->
     return (y @ v.T)[:, :rank]
 
 
+def nearest(cos: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n largest values of each row; of equal ones the first."""
+    least = np.partition(cos, cos.shape[1] - n, axis=1)[:, cos.shape[1] - n, None]
+    more, equal = cos > least, cos == least
+    room = n - more.sum(1, keepdims=True)
+    tied = equal.sum(1) > room[:, 0]
+    if tied.any():
+        equal[tied] &= np.cumsum(equal[tied], axis=1) <= room[tied]
+    return np.nonzero(more | equal)[1].reshape(len(cos), n)
+
+
 class Model:
     def __init__(self, space: Space, vectors: np.ndarray, labels: np.ndarray) -> None:
         self.space, self.vectors, self.labels = space, vectors, labels
@@ -112,8 +129,7 @@ class Model:
             if not len(some):
                 continue
             cos = self.space.latent(tf[some]) @ self.vectors.T
-            n = min(NEIGHBOURS, cos.shape[1])
-            near = np.argpartition(-cos, n - 1, axis=1)[:, :n]
+            near = nearest(cos, min(NEIGHBOURS, cos.shape[1]))
             weight = np.maximum(np.take_along_axis(cos, near, 1), 1e-3).astype(np.float64) ** 4
             out[k + some] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return out
@@ -127,20 +143,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in slices(batch, 2):
+            for a, b, texts in slices(batch, 3):
                 for k, part in blocks(texts):
-                    tf = [row.astype(np.uint8).tobytes() for row in np.minimum(counts(part), 255)]
-                    at = slice(a + k, a + k + len(part))
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[at], batch.column(1)[at], pa.array(tf, pa.binary())], names=["quality", "order", "tf"])
+                    tf = counts(part)
+                    terms = [np.flatnonzero(row) for row in tf]
+                    cells = [pa.array([x.astype(dtype).tobytes() for x in xs], pa.binary()) for dtype, xs in (("<u2", terms), ("<u4", [row[t] for row, t in zip(tf, terms, strict=True)]))]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a + k, len(part)) for c in range(3)), *cells], names=["quality", "order", "tie", "terms", "counts"])
 
     joined = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(bound), F.col("doc_id") == F.col("label_id"))
-    made = joined.select("quality", "order", "text").mapInArrow(run, "quality int, order long, tf binary")
-    got = first_of_each(made.orderBy("order").limit(2 * PER_CLASS + PER_CLASS // 2).collect(), "quality", PER_CLASS)
+    each = joined.select("quality", "order", F.xxhash64("text").alias("tie"), "text").dropDuplicates(["quality", "order", "tie"])
+    made = each.mapInArrow(run, "quality int, order long, tie long, terms binary, counts binary")
+    got = first_of_each(made.orderBy("order", "tie").limit(2 * PER_CLASS + PER_CLASS // 2).collect(), "quality", PER_CLASS)
     if not got:
         return None
     n, df = document_counts(docs, present, DIMENSIONS)
     space = Space(np.log((1 + n) / (1 + df)) + 0.1)
-    tf = np.stack([np.frombuffer(r["tf"], np.uint8) for r in got]).astype(np.float32)
+    tf = np.zeros((len(got), DIMENSIONS), np.float32)
+    for row, r in zip(tf, got, strict=True):
+        row[np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["counts"], "<u4")
     space.basis = randomised_svd(space.weigh(tf), RANK).astype(np.float32)
     return Model(space, space.latent(tf).astype(np.float32), np.array([r["quality"] for r in got], float))
 
