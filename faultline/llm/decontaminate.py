@@ -8,11 +8,14 @@ latent space every passage meets every benchmark passage in blocked products.
 Copies are also looked up by runs of GRAM words, so they are candidates whatever
 their cosine. All candidates are compared word by word: the longest common
 subsequence must cover most of the benchmark passage, or, for paraphrases, a
-good part of it with the words of its answer (its last line or sentence).
-
-The benchmark is checked to be at most MAX_PASSAGES passages, for it is sent to
-all tasks. Null and empty texts hold nothing. A null doc_id is reported as null;
-rows that share a doc_id and an item are reported once, by their best match.
+good part of it with the words of its answer (its last line or sentence). An
+item of one sentence has no answer apart; there the good part is enough.
+
+The benchmark's texts are checked to be at most MOST_BYTES, for the driver cuts
+them into passages. Tasks get them in blocks of PASSAGES, each of which reads the
+documents once more. Null and empty texts hold nothing. Very long texts are read
+whole, alone in their step. A null doc_id is reported as null; rows that share a
+doc_id and an item are reported once, by their best match.
 """
 
 from __future__ import annotations
@@ -42,7 +45,10 @@ COSINE = 0.2
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.8
 #: Passages under so many words must be there whole.
 SHORT = 8
-MAX_PASSAGES = 100_000
+#: Bytes of a benchmark's texts, and passages that a task searches at once.
+MOST_BYTES, PASSAGES = 64 << 20, 4_096
+#: A benchmark passage: item_id, its words' hashes, and those of its item's answer, if it has one apart.
+Passage = tuple[int, np.ndarray, set[int]]
 
 
 def _dims(hashes: np.ndarray) -> np.ndarray:
@@ -169,22 +175,23 @@ class Grams:
         return word[near], p[near]
 
 
+def passages_of(items: list[tuple[int, str]]) -> list[Passage]:
+    """The items' words in passages of at most ITEM_WORDS, with their answers."""
+    out = []
+    for item, text in items:
+        _, _, _, hashes, _ = words([text.encode()], bare=True)
+        lines = [x for x in re.split(r"\n|(?<=[.!?])\s", text.strip()) if x.strip()]
+        answer = set(words([lines[-1].encode()], bare=True)[3].tolist()) if len(lines) > 1 else set()
+        for part in np.array_split(hashes, -(-len(hashes) // ITEM_WORDS)) if len(hashes) else []:
+            out.append((item, part, answer))
+    return out
+
+
 class Query:
-    """The benchmark's passages: words, term sets and answers."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.item, self.words, self.answer = [], [], []
-        for item, text in items:
-            raw = text.encode()
-            _, start, end, hashes, _ = words([raw], bare=True)
-            lines = [x for x in re.split(r"\n|(?<=[.!?])\s", text.strip()) if x.strip()]
-            answer = set(words([lines[-1].encode()], bare=True)[3].tolist()) if lines else set()
-            n = len(hashes)
-            cuts = max(1, -(-n // ITEM_WORDS))
-            for part in np.array_split(hashes, cuts) if n else []:
-                self.item.append(item)
-                self.words.append(part)
-                self.answer.append(answer)
+    """Benchmark passages: words, term sets and answers."""
+
+    def __init__(self, passages: list[Passage]) -> None:
+        self.item, self.words, self.answer = ([p[k] for p in passages] for k in range(3))
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.least = least_hits(self.size)
         self.terms = np.zeros((len(self.words), DIMENSIONS + 1), bool)
@@ -200,11 +207,13 @@ class Query:
         by = {n: [(k, w) for k, w in enumerate(self.words) if min(len(w), GRAM) == n] for n in range(1, GRAM + 1)}
         self.grams = [Grams(some, n) for n, some in by.items() if some]
 
-    def rows(self, idf: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.words), DIMENSIONS), np.float32)
-        for k, w in enumerate(self.words):
-            np.add.at(out[k], _dims(w), idf[_dims(w)])
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+def weighted(passages: list[Passage], idf: np.ndarray) -> np.ndarray:
+    """TF-IDF rows of benchmark passages, of length one."""
+    out = np.zeros((len(passages), DIMENSIONS), np.float32)
+    for row, (_, w, _) in zip(out, passages, strict=True):
+        np.add.at(row, _dims(w), idf[_dims(w)])
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def basis(sketched: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
@@ -255,10 +264,10 @@ def best_overlap(bits: dict[int, int], n: int, region: list[int]) -> tuple[float
 class Search:
     """What a task needs to search its documents."""
 
-    def __init__(self, query: Query, idf: np.ndarray, vectors: np.ndarray) -> None:
-        self.query, self.idf = query, _padded(idf)
+    def __init__(self, passages: list[Passage], idf: np.ndarray, vectors: np.ndarray) -> None:
+        self.query, self.idf = Query(passages), _padded(idf)
         self.table = _padded((vectors * idf[:, None]).astype(np.float32))
-        z = query.rows(idf) @ vectors
+        z = np.concatenate([weighted(passages[k : k + 512], idf) @ vectors for k in range(0, len(passages), 512)])
         self.vectors = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def candidates(self, dims: np.ndarray, hashes: np.ndarray, doc: np.ndarray, texts: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -352,7 +361,7 @@ class Search:
             share, at, length = best_overlap(self.query.bits[k], size, region)
             answer = self.query.answer[k]
             answered = bool(answer) and len(answer & set(region[at : at + length])) >= ANSWERED * len(answer)
-            if share == 1 or size >= SHORT and (share >= COPIED or share >= PARAPHRASED and answered):
+            if share == 1 or size >= SHORT and (share >= COPIED or share >= PARAPHRASED and (answered or not answer)):
                 yield d, self.query.item[k], int(lo - first[d]) + at, length, float(cos[s:e].max()), share, answered
 
 
@@ -396,31 +405,40 @@ def _sketch_all(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> tuple[in
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, at, n_words, cosine, overlap, answered: documents that hold benchmark passages."""
     spark = docs.sparkSession
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").limit(MAX_PASSAGES + 1).collect()
-    query = Query([(r["item_id"], r["text"]) for r in items])
-    if len(items) > MAX_PASSAGES or len(query.words) > MAX_PASSAGES:
-        raise ValueError(f"the benchmark has more than {MAX_PASSAGES} passages; search it in several calls")
-    if not query.words:
+    texts = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    size = texts.agg(F.sum(F.octet_length("text") + 16).alias("n")).collect()[0]["n"] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes, more than {MOST_BYTES}; search it in several calls")
+    passages = passages_of([(r["item_id"], r["text"]) for r in texts.collect()])
+    if not passages:
         return spark.createDataFrame([], _SCHEMA)
     n, df = document_counts(docs, present, DIMENSIONS)
     idf = (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)
-    rank = min(MOST_RANK, max(RANK, int(4 * len(query.words) ** 0.5)))
+    rank = min(MOST_RANK, max(RANK, int(4 * len(passages) ** 0.5)))
     omega = np.random.default_rng(0).standard_normal((DIMENSIONS, rank + OVERSAMPLE)).astype(np.float32)
-    passages, sketched = _sketch_all(docs, idf, omega)
-    own = query.rows(idf)
-    sketched = sketched + max(passages, 1) / len(own) * (own.T @ (own @ omega))
-    search = Search(query, idf, basis(sketched, omega, rank))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, texts in slices(batch, 1):
-                got = list(search.matches(texts))
-                if got:
-                    doc, *rest = zip(*got, strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=["doc_id", "item_id", "at", "n_words", "cosine", "overlap", "answered"])
-
-    found = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, _SCHEMA)
+    runs, sketched = _sketch_all(docs, idf, omega)
+    for k in range(0, len(passages), 512):
+        own = weighted(passages[k : k + 512], idf)
+        sketched += max(runs, 1) / len(passages) * (own.T @ (own @ omega))
+    vectors = basis(sketched, omega, rank)
+
+    def searching(some: list[Passage]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = Search(some, idf, vectors)
+            for batch in batches:
+                for a, b, texts in slices(batch, 1):
+                    got = list(search.matches(texts))
+                    if got:
+                        doc, *rest = zip(*got, strict=True)
+                        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=["doc_id", "item_id", "at", "n_words", "cosine", "overlap", "answered"])
+
+        return run
+
+    found = None
+    for k in range(0, len(passages), PASSAGES):
+        part = docs.select("doc_id", whole_text().alias("text")).mapInArrow(searching(passages[k : k + PASSAGES]), _SCHEMA)
+        found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("overlap", "cosine", -F.col("at"), "n_words", "answered")).alias("best")
     each = found.groupBy("doc_id", "item_id").agg(best)
     return each.select("doc_id", "item_id", (-F.col("best.col3")).alias("at"), "best.n_words", "best.cosine", "best.overlap", "best.answered")

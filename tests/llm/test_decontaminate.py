@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from faultline.llm import decontaminate as d
 from faultline.llm import queries
 
@@ -68,9 +71,9 @@ def test_planted_passages_are_found_and_clean_texts_left(spark, tmp_path):
 
 
 def test_candidates_without_shared_words_match_nothing():
-    query = d.Query([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")])
+    passages = d.passages_of([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")])
     idf = np.ones(d.DIMENSIONS, np.float32)
-    search = d.Search(query, idf, np.linalg.qr(np.random.default_rng(0).standard_normal((d.DIMENSIONS, 4)))[0])
+    search = d.Search(passages, idf, np.linalg.qr(np.random.default_rng(0).standard_normal((d.DIMENSIONS, 4)))[0])
     search.vectors[:] = 0
     search.table[:] = 0
     old, d.COSINE = d.COSINE, -1.0
@@ -84,9 +87,8 @@ def test_no_window_test_rejects_what_the_overlap_accepts():
     idf = np.ones(d.DIMENSIONS, np.float32)
     for n in (8, 20, 33, 40, 47, 64):
         item = [f"item{k}" for k in range(n)]
-        query = d.Query([(1, " ".join(item) + ".\n" + item[-1])])
         size = n + 1
-        search = d.Search(query, idf, np.zeros((d.DIMENSIONS, 1)))
+        search = d.Search(d.passages_of([(1, " ".join(item) + ".\n" + item[-1])]), idf, np.zeros((d.DIMENSIONS, 1)))
         search.vectors[:] = 1
         search.table[:-1] = 0.22 / 2 / d.HALF**0.5 / 2**0.5 * 2  # cosine 0.22 of every full window
         lost = size - int(np.ceil(d.PARAPHRASED * size))
@@ -102,8 +104,7 @@ def test_copies_are_found_whatever_their_cosine():
     vocab = ["".join(rng.choice("abcdefghik") for _ in range(6)) for _ in range(3000)] + ["the", "of", "and"] * 300
     sizes = [1, 2, 3, 7, 8, 10, 15, 33, 47, 64]
     items = [[rng.choice(vocab[:3000]) for _ in range(n)] for n in sizes * 30]
-    query = d.Query([(k, " ".join(w)) for k, w in enumerate(items)])
-    search = d.Search(query, np.ones(d.DIMENSIONS, np.float32), np.zeros((d.DIMENSIONS, 1)))
+    search = d.Search(d.passages_of([(k, " ".join(w)) for k, w in enumerate(items)]), np.ones(d.DIMENSIONS, np.float32), np.zeros((d.DIMENSIONS, 1)))
     for k, item in enumerate(items):
         part, n = list(item), len(item)
         if n >= d.SHORT and k >= len(sizes) * 10:  # a fifth of the words change
@@ -113,6 +114,66 @@ def test_copies_are_found_whatever_their_cosine():
         assert k in {g[1] for g in search.matches([b"x y", " ".join(text).encode()]) if g[0] == 1}, (k, n)
 
 
+def plain(text: str, item: str) -> bool:
+    """Whether a text holds an item of at most 64 words, by the table over every window."""
+    bare = lambda t: [w.strip(".!?,").lower() for w in t.split()]
+    a, b = bare(item), bare(text)
+    width = len(a) + len(a) // 2 + 1
+    lines = [x for x in re.split(r"\n|(?<=[.!?])\s", item.strip()) if x.strip()]
+    answer = set(bare(lines[-1])) if len(lines) > 1 else set()
+    for k in range(max(1, len(b) - width + 1)):
+        part = b[k : k + width]
+        if sum((Counter(a) & Counter(part)).values()) < d.PARAPHRASED * len(a):
+            continue
+        share = lcs(a, part) / len(a)
+        answered = not answer or len(answer & set(part)) >= d.ANSWERED * len(answer)
+        if share == 1 or len(a) >= d.SHORT and (share >= d.COPIED or share >= d.PARAPHRASED and answered):
+            return True
+    return False
+
+
+def paraphrases(seed: int, share: float):
+    """Items of one and of two sentences, and texts with an item of which a share of the words changed."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(rng.randint(3, 9))) for _ in range(900)] + ["the", "of", "and"] * 100
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = {i: say(rng.randint(18, 50)) for i in range(40)}
+    told = {i: " ".join(w) if i % 2 else " ".join(w[:-6]) + ". " + " ".join(w[-6:]) for i, w in items.items()}
+    texts = {}
+    for k in range(160):
+        words = say(rng.randint(0, 200))
+        if k % 2:
+            part = list(items[k % 40])
+            free = len(part) if k % 40 % 2 else len(part) - 6  # an answer apart stays
+            for j in rng.sample(range(free), int(share * free)):
+                part[j] = rng.choice(vocab)
+            cut = rng.randint(0, len(words))
+            words = words[:cut] + part + words[cut:]
+        texts[k] = " ".join(words)
+    return told, texts
+
+
+@pytest.mark.parametrize("share, least", [(0.1, 1.0), (0.2, 1.0), (0.3, 0.95), (0.4, 0.7)])
+def test_paraphrases_match_a_search_of_everything(spark, monkeypatch, share, least):
+    items, texts = paraphrases(int(share * 10), share)
+    want = {(k, i) for k, t in texts.items() for i, x in items.items() if plain(t, x)}
+    planted = {(k, k % 40) for k in texts if k % 2}
+    assert len(want & planted) >= least * len(planted)
+    docs = spark.createDataFrame([(k, t, None, None, None, "", 0, "") for k, t in texts.items()], SCHEMA)
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.find(docs, benchmark).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)
+    monkeypatch.setattr(d, "PASSAGES", 7)
+    assert {(r.doc_id, r.item_id) for r in d.find(docs, benchmark).collect()} == got
+
+
+def test_a_benchmark_beyond_its_bound_is_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b", None, None, None, "", 0, "")], SCHEMA)
+    monkeypatch.setattr(d, "MOST_BYTES", 20)
+    with pytest.raises(ValueError):
+        d.find(docs, spark.createDataFrame([(1, "some words of an item")], "item_id long, text string"))
+
+
 def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b", None, None, None, "", 0, "")], SCHEMA)
     none = spark.createDataFrame([], "item_id long, text string")
