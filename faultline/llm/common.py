@@ -16,6 +16,9 @@ SPACE = r"\x20\x09-\x0D"
 #: Text bytes that one vectorised step works on (longer documents go alone).
 CHUNK_BYTES = 2 << 20
 
+#: Stands for a null doc_id, which is the smallest.
+NULL_ID = -(1 << 63)
+
 _own_dir: list[str] = []
 
 
@@ -28,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="faultline-"))
     return f"file://{_own_dir[0]}"
@@ -78,13 +83,40 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``ids`` (null equals null)."""
-    name = "gone"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
-    gone = ids.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+#: Keys that a join sends to all tasks because they are the most frequent ones.
+HOT_KEYS = 1_000
+#: Row names (two longs each) that may be broadcast.
+FEW_ROWS = 200_000
+
+
+def join_hot(rows: DataFrame, small: DataFrame, on: list[str], uses: str) -> DataFrame:
+    """``rows`` joined with ``small``, a written table with unique keys and a count of their uses.
+
+    The HOT_KEYS most frequent keys are broadcast, so no key that is left has
+    more than that part of all rows.
+    """
+    hot = F.broadcast(small.orderBy(F.desc(uses), *on).limit(HOT_KEYS))
+    names = F.broadcast(hot.select(*on))
+    cold = rows.join(names, on, "left_anti").join(small.join(names, on, "left_anti"), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
+def doc_key() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
+
+
+def fold() -> Column:
+    """What tells the texts under one doc_id apart."""
+    return F.xxhash64(whole_text())
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows that ``gone`` names by id and fold; a short list is broadcast."""
+    names = stash(gone.select(F.col("id").alias("gone_id"), F.col("fold").alias("gone_fold")).distinct(), "gone")
+    few = names.count() <= FEW_ROWS
+    row = docs.select(F.struct(*docs.columns).alias("row"), doc_key().alias("id"), fold().alias("fold"))
+    left = row.join(F.broadcast(names) if few else names, (F.col("id") == F.col("gone_id")) & (F.col("fold") == F.col("gone_fold")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def slices(batch: pa.RecordBatch, col: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:

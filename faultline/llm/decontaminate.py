@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, shuffle_parts, slices, whole_text, without
+from .common import CHUNK_BYTES, doc_key, fold, shuffle_parts, slices, whole_text, without_rows
 from .terms import document_counts, words
 
 DIMENSIONS = 1 << 12
@@ -365,7 +365,7 @@ class Search:
                 yield d, self.query.item[k], int(lo - first[d]) + at, length, float(cos[s:e].max()), share, answered
 
 
-_SCHEMA = "doc_id long, item_id long, at long, n_words long, cosine double, overlap double, answered boolean"
+_SCHEMA = "doc_id long, fold long, item_id long, at long, n_words long, cosine double, overlap double, answered boolean"
 
 
 def _sketch_all(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> tuple[int, np.ndarray]:
@@ -402,8 +402,8 @@ def _sketch_all(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> tuple[in
     return n, out
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, at, n_words, cosine, overlap, answered: documents that hold benchmark passages."""
+def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every match: doc_id and fold of the row, item_id, at, n_words, cosine, overlap, answered."""
     spark = docs.sparkSession
     texts = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
     size = texts.agg(F.sum(F.octet_length("text") + 16).alias("n")).collect()[0]["n"] or 0
@@ -426,24 +426,31 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             search = Search(some, idf, vectors)
             for batch in batches:
-                for a, b, texts in slices(batch, 1):
+                for a, b, texts in slices(batch, 2):
                     got = list(search.matches(texts))
                     if got:
                         doc, *rest = zip(*got, strict=True)
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=["doc_id", "item_id", "at", "n_words", "cosine", "overlap", "answered"])
+                        rows = [batch.column(c).slice(a, b - a).take(pa.array(doc)) for c in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([*rows, *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=["doc_id", "fold", "item_id", "at", "n_words", "cosine", "overlap", "answered"])
 
         return run
 
     found = None
     for k in range(0, len(passages), PASSAGES):
-        part = docs.select("doc_id", whole_text().alias("text")).mapInArrow(searching(passages[k : k + PASSAGES]), _SCHEMA)
+        part = docs.select("doc_id", fold().alias("fold"), whole_text().alias("text")).mapInArrow(searching(passages[k : k + PASSAGES]), _SCHEMA)
         found = part if found is None else found.unionByName(part)
+    return found
+
+
+def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, at, n_words, cosine, overlap, answered: documents that hold benchmark passages."""
     best = F.max(F.struct("overlap", "cosine", -F.col("at"), "n_words", "answered")).alias("best")
-    each = found.groupBy("doc_id", "item_id").agg(best)
+    each = search(docs, benchmark).groupBy("doc_id", "item_id").agg(best)
     return each.select("doc_id", "item_id", (-F.col("best.col3")).alias("at"), "best.n_words", "best.cosine", "best.overlap", "best.answered")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark passage."""
-    return without(docs, find(docs, benchmark))
+    """``docs`` without the rows that hold a benchmark passage."""
+    found = search(docs, benchmark)
+    return without_rows(docs, found.select(doc_key().alias("id"), "fold"))

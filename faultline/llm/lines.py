@@ -5,7 +5,7 @@ first occurrence in the corpus (smallest doc_id, then line) stays; the lines of
 all later ones go, overlapping windows merged. Windows are compared by two
 64-bit hashes. Documents under three lines, and null texts, are left alone.
 Rows with the same doc_id and text count as one document; each is returned.
-A null doc_id is the smallest.
+A null doc_id is the smallest. The lines of a very long text are held at once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_hot, stash
+
 WINDOW = 3
 _KEY = ("id", "fold")
 
@@ -28,8 +30,9 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 def covered(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """id, fold, starts, ends: merged line runs that go, one row per document with any."""
     made = windows(docs, size)
-    first = made.groupBy("h1", "h2").agg(F.min(F.struct("id", "fold", "at")).alias("first"), F.max(F.struct("id", "fold", "at")).alias("last")).where("first <> last")
-    later = made.join(first, ["h1", "h2"]).where("NOT (first <=> struct(id, fold, at))")
+    place = F.struct("id", "fold", "at")
+    first = stash(made.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last"), "repeated")
+    later = join_hot(made, first, ["h1", "h2"], "n").where("NOT (first <=> struct(id, fold, at))")
     places = later.groupBy(*_KEY).agg(F.array_sort(F.collect_set("at")).alias("p"))
     starts = F.expr(f"filter(p, (x, i) -> i = 0 OR x - p[greatest(i - 1, 0)] > {size})")
     ends = F.expr(f"transform(filter(p, (x, i) -> i = size(p) - 1 OR p[least(i + 1, size(p) - 1)] - x > {size}), x -> x + {size})")

@@ -58,15 +58,15 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that rules look at, one row per document.
+def statistics(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """A carried column and the counts that rules look at, one row per document.
 
     Windows are compared by their 64-bit hash within one document. Only where a
     text has equal hashes at all are they sorted with their places.
     """
     spaces = r"[\x20\x09-\x0D]+"
     base = docs.select(
-        "doc_id",
+        carried,
         F.array_remove(F.split(whole_text(), spaces), "").alias("words"),
         F.filter(F.split(whole_text(), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.regexp_count(whole_text(), F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -74,7 +74,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.regexp_count(whole_text(), F.lit("!")).cast("long").alias("n_exclaims"),
     )
     hashed = base.select(
-        "doc_id",
+        carried,
         "n_symbols",
         "n_upper",
         "n_exclaims",
@@ -154,11 +154,19 @@ def posterior(classes: list[dict], rules: list[Rule]) -> Column:
     return 1 / odds
 
 
-def judge(docs: DataFrame, rules: Callable[[], list[Rule]] = default_rules, threshold: float = THRESHOLD) -> DataFrame:
-    """Statistics of each document with base_failed, posterior and kept."""
-    made = rules()
-    stats = stash(statistics(docs), "quality")
+def _judged(stats: DataFrame, made: list[Rule], threshold: float) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     fitted = fit(stats.select(votes(made).alias("votes")), len(made))
     out = stats.withColumn("base_failed", failed).withColumn("posterior", posterior(fitted, made))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
+def judge(docs: DataFrame, rules: Callable[[], list[Rule]] = default_rules, threshold: float = THRESHOLD) -> DataFrame:
+    """Statistics of each document with base_failed, posterior and kept."""
+    return _judged(stash(statistics(docs), "quality"), rules(), threshold)
+
+
+def clean(docs: DataFrame, rules: Callable[[], list[Rule]] = default_rules, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept. Rows travel with their statistics, so none is looked up by its id."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return _judged(stash(statistics(rows, "row"), "quality"), rules(), threshold).where("kept").select("row.*")

@@ -10,9 +10,14 @@ split again by the same rule on their remaining bits. Within a task the links
 are reduced to a spanning forest, and components come from alternating
 large-star and small-star steps over the links.
 
+``near_copies`` is the operator for corpora: texts whose sets of five-word
+shingles are similar by 0.8 or more. Its tries are dealt by shared shingles, its
+budget is as wide as that similarity needs, and each pair that a trie brings is
+checked on the whole sets.
+
 Null and empty texts have fingerprint zero and are linked like any other.
 Repeated rows are returned each. A null doc_id is never a component's name
-unless no other is there.
+unless no other is there. Very long texts are read whole, alone in their step.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash, unstash, without
+from .common import join_hot, shuffle_parts, slices, stash, unstash, without_rows
+from .windows import ANCHORS, PER_BLOCK, PLACE, Rolling, by_anchor, keyed, marked, mix, repeated, with_marks, word_units
 
 BUDGET = 3
 SHINGLE = 3
@@ -33,6 +39,12 @@ SHINGLE = 3
 MAX_GROUP = 20_000
 #: Node pairs that a step of the traversal holds at once.
 MAX_PAIRS = 1_000_000
+#: Words of a shingle and similarity of near copies.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Smallest shingle hashes of a set that tries are dealt by. Two sets of the similarity share none of them with a chance of 0.2^8.
+KEYS = 8
+#: Bits in which two sets of the similarity differ at most, but for one pair in a million (9.7 on average).
+NEAR_BUDGET = 24
 
 
 def fingerprint_bytes(text: bytes, size: int, digest) -> int:
@@ -117,14 +129,13 @@ class Forest:
             self.root[high[order][first]] = low[order][first]
 
 
-def trie_self_join(fps: np.ndarray, groups: np.ndarray, budget: int = BUDGET, max_pairs: int = MAX_PAIRS) -> np.ndarray:
-    """Root index of each of ``fps`` (sorted uint64 within equal ``groups``).
+def close_pairs(fps: np.ndarray, groups: np.ndarray, budget: int, max_pairs: int = MAX_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within the budget; ``fps`` are sorted uint64 within equal ``groups``.
 
     Nodes are runs of the sorted array; a pair of nodes (a, b) is four ends and
     the bits differing so far. Pairs of single fingerprints are settled at once.
     """
     n = len(fps)
-    forest = Forest(n)
     edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if n else np.zeros(1, np.int64)
     lo, hi = edges[:-1], edges[1:]
     big = hi - lo > 1
@@ -140,9 +151,14 @@ def trie_self_join(fps: np.ndarray, groups: np.ndarray, budget: int = BUDGET, ma
         if single.any():
             i, j = a[single], c[single]
             near = np.bitwise_count(fps[i] ^ fps[j]) <= budget
-            forest.union(i[near], j[near])
+            yield i[near], j[near]
             a, b, c, d, diff = (x[~single] for x in (a, b, c, d, diff))
-        if not len(a) or bit < 0:
+        if not len(a):
+            continue
+        if bit < 0:  # equal fingerprints: every pair of the two nodes
+            for w, x, y, z in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True):
+                i, j = np.repeat(np.arange(w, x), z - y), np.tile(np.arange(y, z), x - w)
+                yield i[i < j], j[i < j]
             continue
         if bit not in ones:
             ones[bit] = np.r_[0, np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)]
@@ -154,7 +170,14 @@ def trie_self_join(fps: np.ndarray, groups: np.ndarray, budget: int = BUDGET, ma
         live = (b > a) & (d > c) & (diff <= budget) & ~((a == c) & (b - a == 1))
         if live.any():
             stack.append((bit - 1, *(x[live] for x in (a, b, c, d, diff))))
-    return forest.find(np.arange(n))
+
+
+def trie_self_join(fps: np.ndarray, groups: np.ndarray, budget: int = BUDGET, max_pairs: int = MAX_PAIRS) -> np.ndarray:
+    """Root index of each of ``fps`` (distinct, sorted uint64 within equal ``groups``)."""
+    forest = Forest(len(fps))
+    for i, j in close_pairs(fps, groups, budget, max_pairs):
+        forest.union(i, j)
+    return forest.find(np.arange(len(fps)))
 
 
 def _links(keyed: DataFrame, parts: int, budget: int) -> DataFrame:
@@ -223,8 +246,8 @@ def components(edges: DataFrame, a: str = "fp", b: str = "other") -> DataFrame:
     while True:
         # large-star: larger neighbours and the node itself hang on the smallest neighbour
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "low")
+        large = join_hot(both.where("v > u"), low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stash(large, "large")
         # small-star: smaller neighbours hang on the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -232,8 +255,8 @@ def components(edges: DataFrame, a: str = "fp", b: str = "other") -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         small = stash(small.distinct(), "small")
         moved = small.join(pairs, ["u", "v"], "left_anti").limit(1).count() + pairs.join(small, ["u", "v"], "left_anti").limit(1).count()
-        unstash(large)
-        unstash(pairs)
+        for made in (low, large, pairs):
+            unstash(made)
         pairs = small
         if not moved:
             break
@@ -243,25 +266,226 @@ def components(edges: DataFrame, a: str = "fp", b: str = "other") -> DataFrame:
 
 def classes(docs: DataFrame, budget: int = BUDGET, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id per row of ``docs``."""
-    marked = stash(fingerprints(docs, size), "fingerprints")
-    nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    made = stash(fingerprints(docs, size), "fingerprints")
+    nodes = stash(made.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     found = components(links(nodes.select("fp"), budget))
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
     named = stash(named, "named")
     names = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    each = named.join(names, "label").select("fp", "component_id")
-    return marked.join(each, "fp").select("doc_id", "fp", "component_id")
+    each = stash(named.join(names, "label").select("fp", "n", "component_id"), "each")
+    return join_hot(made, each, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, budget: int = BUDGET, size: int = SHINGLE) -> DataFrame:
-    """``docs`` without the rows that are not their component's smallest doc_id.
+SKETCH = "id long, fold long, node long, keys binary"
+
+
+def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, sorted, and where each text's begin.
+
+    A shorter text has its whole sequence of words as one, a wordless text none.
+    """
+    units, bounds = word_units([t.lower() for t in texts])
+    n = np.diff(bounds)
+    roll = Rolling(units)
+    many = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
+    text = np.repeat(np.arange(len(texts)), many)
+    start = bounds[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    hashes = roll.at(start, np.minimum(start + size, bounds[1:][text]))
+    order = np.lexsort((hashes, text))
+    text, hashes = text[order], hashes[order]
+    new = np.r_[True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])][: len(text)]
+    text, hashes = text[new], hashes[new]
+    return hashes, np.searchsorted(text, np.arange(len(texts) + 1))
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the runs that begin ``at``; of empty ones 0."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0, dtype=values.dtype)])
+    return total[at[1:]] - total[at[:-1]]
+
+
+def _fps(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The majority's bits of each set; a million hashes at a time."""
+    set_bits = np.zeros((len(at) - 1, 64), np.int64)
+    for k in range(0, len(hashes), 200_000):
+        part = hashes[k : k + 200_000]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        cut = np.clip(at - k, 0, len(part))
+        set_bits += _sums(bits.astype(np.int32), cut)
+    made = np.packbits(set_bits * 2 > np.diff(at)[:, None], axis=1)
+    return np.ascontiguousarray(made).view(">u8").ravel().astype(np.uint64)
+
+
+def _nodes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each whole set."""
+    return mix(_sums(mix(hashes ^ np.uint64(0x5DEECE66D)), at) ^ mix(np.diff(at).astype(np.uint64))).view(np.int64)
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """id, fold, node (a hash of the shingle set) and its smallest hashes, per row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in slices(batch, 2):
+                hashes, at = shingle_sets(texts, size)
+                ends = np.minimum(at[:-1] + KEYS, at[1:])
+                keys = [hashes[x:y].tobytes() for x, y in zip(at[:-1].tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(_nodes(hashes, at)), pa.array(keys, pa.binary())], names=["id", "fold", "node", "keys"])
+
+    return keyed(docs).mapInArrow(run, SKETCH)
+
+
+def _dealt_by_keys(nodes: DataFrame, per_block: int) -> DataFrame:
+    """The first row of each distinct set under each of its keys, as ``windows.repeated`` reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).to_pylist()
+            if not keys:
+                continue
+            n = np.array([len(k) // 8 for k in keys])
+            places = np.zeros(int(n.sum()), PLACE)
+            for k, name in enumerate(("id", "fold")):
+                places[name] = np.repeat(batch.column(k).to_numpy(zero_copy_only=False), n)
+            if len(places):
+                yield by_anchor(np.frombuffer(b"".join(keys), np.uint64), places, per_block)
+
+    return nodes.select("first.id", "first.fold", "keys").mapInArrow(run, ANCHORS)
+
+
+def _whole_sets(size: int):
+    """What a trie's task needs of each set: node, fingerprint and the set, under each repeated key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts, marks, row in marked(batch):
+                hashes, at = shingle_sets(texts, size)
+                i = row - first
+                sets = [hashes[x:y].astype(np.uint32).tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                node, fp = _nodes(hashes, at), _fps(hashes, at).view(np.int64)
+                columns = [marks["h"], marks["salt"], marks["split"] > 0, node[i], fp[i]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array([sets[k] for k in i.tolist()], pa.binary())], names=["h", "salt", "split", "node", "fp", "members"])
+
+    return run
+
+
+def similar_roots(fps: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], similarity: float, budget: int) -> np.ndarray:
+    """Root index of each set within its group.
+
+    Of the pairs that the tries bring, one of each two trees is checked at a
+    time, so that members of one cluster are not compared all with all.
+    """
+    forest = Forest(len(fps))
+    for i, j in close_pairs(fps, groups, budget):
+        while len(i):
+            a, b = forest.find(i), forest.find(j)
+            apart = a != b
+            i, j, low, high = i[apart], j[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            if not len(i):
+                break
+            order = np.lexsort((low, high))
+            pick = np.zeros(len(i), bool)
+            pick[order[np.r_[True, high[order][1:] != high[order][:-1]]]] = True
+            alike = np.array([_similar(sets[x], sets[y], similarity) for x, y in zip(i[pick].tolist(), j[pick].tolist(), strict=True)], bool)
+            forest.union(i[pick][alike], j[pick][alike])
+            i, j = i[~pick], j[~pick]
+    return forest.find(np.arange(len(fps)))
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    if not len(a):
+        return True
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+NEAR = "fp long, other long, h long, sig long, members binary"
+
+
+def _joined(similarity: float, budget: int, last: bool):
+    """Links within blocks of sets that share a key; of split keys, one set of each tree to meet other blocks'."""
+
+    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h, salt, split, node, fp = (np.concatenate([x[k] for x in held]) for k in range(5))
+        members = [m for x in held for m in x[5]]
+        group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
+        order = np.lexsort((node, fp.view(np.uint64), group))
+        order = order[np.r_[True, (node[order][1:] != node[order][:-1]) | (group[order][1:] != group[order][:-1])]]  # equal rows once
+        sets = [np.sort(np.frombuffer(members[k], np.uint32)) for k in order.tolist()]
+        root = similar_roots(fp[order].view(np.uint64), group[order], sets, similarity, budget)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        none = pa.nulls(len(moved))
+        yield pa.RecordBatch.from_arrays([pa.array(node[order[moved]]), pa.array(node[order[root[moved]]]), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], names=["fp", "other", "h", "sig", "members"])
+        stay = [] if last else order[(root == np.arange(len(root))) & split[order]]
+        if len(stay):
+            yield pa.RecordBatch.from_arrays([pa.array(node[stay]), pa.nulls(len(stay)).cast(pa.int64()), pa.array(h[stay]), pa.array(fp[stay]), pa.array([members[k] for k in stay.tolist()], pa.binary())], names=["fp", "other", "h", "sig", "members"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, latest = 0, None
+        for batch in batches:
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)] + [batch.column(5).to_pylist()]
+            if not len(rows[0]):
+                continue
+            heads = np.flatnonzero(np.r_[(rows[0][0], rows[1][0]) != latest, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+            reach = np.r_[0, np.cumsum([len(m) + 64 for m in rows[5]])]
+            at = 0
+            for k in heads.tolist():
+                if size + reach[k] - reach[at] >= 8 << 20:
+                    held.append(tuple(x[at:k] for x in rows))
+                    yield from settle(held)
+                    held, size, at = [], 0, k
+            held.append(tuple(x[at:] for x in rows))
+            size += reach[-1] - reach[at]
+            latest = (rows[0][-1], rows[1][-1])
+        if held:
+            yield from settle(held)
+
+    return run
+
+
+def near_copies(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, budget: int = NEAR_BUDGET, per_block: int = PER_BLOCK) -> DataFrame:
+    """id, fold, first (id and fold): each row's group is named by its first row.
 
-    A doc_id that occurs in several rows keeps all of its rows.
+    Equal sets are merged first. A set is dealt to a trie under each of its KEYS
+    smallest shingle hashes that another set has too, the tries bring the pairs
+    within the budget, and the whole sets decide. A key of more than ``per_block``
+    different sets is dealt to blocks; one set of each tree of a block then meets
+    those of the key's other blocks.
     """
-    made = classes(docs, budget, size)
-    stay = made.where("doc_id <=> component_id").select("doc_id")
-    return without(docs, without(made.where("NOT (doc_id <=> component_id)"), stay))
+    made = stash(sketches(docs, size), "sketches")
+    nodes = stash(made.groupBy("node").agg(F.min(F.struct("id", "fold")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")), "nodes")
+    marks = stash(repeated(_dealt_by_keys(nodes, per_block), per_block), "marks")
+    parts = shuffle_parts(docs.sparkSession)
+    sets = with_marks(docs, marks).mapInArrow(_whole_sets(size), "h long, salt long, split boolean, node long, fp long, members binary")
+    found = stash(sets.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_joined(similarity, budget, False), NEAR), "near")
+    unstash(marks)
+    rest = found.where("other IS NULL").select("h", F.lit(0).cast("long").alias("salt"), F.lit(True).alias("split"), F.col("fp").alias("node"), F.col("sig").alias("fp"), "members")
+    met = stash(rest.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_joined(similarity, budget, True), NEAR), "met")
+    label = components(found.where("other IS NOT NULL").select("fp", "other").unionByName(met.select("fp", "other")))
+    named = stash(nodes.join(label.withColumnRenamed("node", "named"), F.col("node") == F.col("named"), "left").select("node", "first", "n", F.coalesce("label", "node").alias("label")), "named")
+    firsts = named.groupBy("label").agg(F.min("first").alias("first"))
+    each = stash(named.drop("first").join(firsts, "label").select("node", "n", "first"), "each")
+    return join_hot(made.select("id", "fold", "node"), each, ["node"], "n").select("id", "fold", "first")
+
+
+def keep_first(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near copies: that of the smallest doc_id (null is the smallest), then of the smallest text hash; of equal rows any one."""
+    made = stash(near_copies(docs, size, similarity), "copies")
+    stay = (F.col("first.id") == F.col("id")) & (F.col("first.fold") == F.col("fold"))
+    left = without_rows(docs, made.where(~stay).select("id", "fold"))
+    twice = made.where(stay).groupBy("id", "fold").agg(F.count("*").alias("n")).where("n > 1")
+    twice = stash(twice.select("id", "fold"), "twice")
+    if twice.isEmpty():
+        return left
+    row = keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), "row")
+    one = row.join(twice, ["id", "fold"], "left_semi").groupBy("id", "fold").agg(F.first("row").alias("row"))
+    return without_rows(left, twice).unionByName(one.select("row.*"))

@@ -25,13 +25,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, shuffle_parts, slices, whole_text
+from .common import CHUNK_BYTES, doc_key, fold, shuffle_parts, slices, whole_text
 
-#: Stands for a null doc_id, which is the smallest.
-NULL_ID = -(1 << 63)
 #: Places that a scanning task merges at once.
 MERGE_ROWS = 1_000_000
 #: Places of one anchor that one block takes.
@@ -180,35 +178,34 @@ def unpacked(column: pa.Array, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
-def doc_key() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-
-
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """id, fold and text of each row: what a row is known by, and whole texts."""
-    return docs.select(*more, doc_key().alias("id"), F.xxhash64(whole_text()).alias("fold"), whole_text().alias("text"))
+    return docs.select(*more, doc_key().alias("id"), fold().alias("fold"), whole_text().alias("text"))
 
 
-def scan(docs: DataFrame, units: Callable, gram: int, size: int, per_block: int = PER_BLOCK) -> DataFrame:
-    """h, salt, split, places: the packed places of each anchor within a task.
+ANCHORS = "h long, salt long, split boolean, places binary"
 
-    Blocks that one task fills have a salt; the rest of such an anchor, which may
-    be nothing, is ``split`` and meets that of other tasks under salt 0.
+
+def by_anchor(h: np.ndarray, places: np.ndarray, per_block: int) -> pa.RecordBatch:
+    """One row per anchor of a task. Blocks that the task fills have a salt; the
+    rest of such an anchor, which may be nothing, is ``split`` and meets that of
+    other tasks under salt 0.
     """
+    order = np.argsort(h, kind="stable")
+    h, places = h[order], places[order]
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    n = np.diff(np.r_[at, len(h)])
+    pieces = np.where(n > per_block, n // per_block + 1, 1)  # the rest, then full blocks
+    g = np.repeat(np.arange(len(at)), pieces)
+    j = np.arange(len(g)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = at[g] + np.where(j > 0, n[g] % per_block + (j - 1) * per_block, 0)
+    first = places[np.minimum(starts, len(places) - 1)]
+    salt = mix(first["id"].view(np.uint64) ^ mix(first["fold"].view(np.uint64) + first["p0"].astype(np.uint64))) | np.uint64(1)
+    return pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(np.where(j > 0, salt, np.uint64(0)).view(np.int64)), pa.array(pieces[g] > 1), binaries(places, np.r_[starts, len(h)])], names=["h", "salt", "split", "places"])
+
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h, places = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(h, kind="stable")
-        h, places = h[order], places[order]
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        n = np.diff(np.r_[at, len(h)])
-        pieces = np.where(n > per_block, n // per_block + 1, 1)  # the rest, then full blocks
-        g = np.repeat(np.arange(len(at)), pieces)
-        j = np.arange(len(g)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = at[g] + np.where(j > 0, n[g] % per_block + (j - 1) * per_block, 0)
-        first = places[np.minimum(starts, len(places) - 1)]
-        salt = mix(first["id"].view(np.uint64) ^ mix(first["fold"].view(np.uint64) + first["p0"].astype(np.uint64))) | np.uint64(1)
-        return pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(np.where(j > 0, salt, np.uint64(0)).view(np.int64)), pa.array(pieces[g] > 1), binaries(places, np.r_[starts, len(h)])], names=["h", "salt", "split", "places"])
+def scan(docs: DataFrame, units: Callable, gram: int, size: int, per_block: int = PER_BLOCK) -> DataFrame:
+    """h, salt, split, places: the packed places of each anchor within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -223,12 +220,12 @@ def scan(docs: DataFrame, units: Callable, gram: int, size: int, per_block: int
                 held.append((h, places))
                 rows += len(h)
                 if rows >= MERGE_ROWS:
-                    yield flush(held)
+                    yield by_anchor(*(np.concatenate(x) for x in zip(*held, strict=True)), per_block)
                     held, rows = [], 0
         if rows:
-            yield flush(held)
+            yield by_anchor(*(np.concatenate(x) for x in zip(*held, strict=True)), per_block)
 
-    return keyed(docs).mapInArrow(run, "h long, salt long, split boolean, places binary")
+    return keyed(docs).mapInArrow(run, ANCHORS)
 
 
 def repeated(rows: DataFrame, per_block: int = PER_BLOCK) -> DataFrame:

@@ -80,6 +80,29 @@ def groups(fps: dict[int, int], budget: int = 3) -> dict[int, int]:
     return {i: find(i) for i in ids}
 
 
+def near_copies(docs: dict[int, str | None], size: int = 5, similarity: float = 0.8) -> dict[int, int]:
+    """The smallest id of each group that links of the given shingle similarity connect."""
+    sets = {}
+    for d, t in docs.items():
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    ids = sorted(docs)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if a == b or len(a & b) >= similarity * len(a | b) - 1e-9 and a & b:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
 def substrings(docs: dict[int, str | None], size: int = 100) -> dict[int, tuple]:
     seen, out = set(), {}
     for d in sorted(docs):

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 
 from . import brute
-from .fixtures import frame, texts
+from .fixtures import SCHEMA, frame, texts
 
 
 def docs_table():
@@ -44,7 +44,7 @@ def test_stages(spark, tmp_path):
     assert all(not brute.quality(t)[-1] for t in kept.values())
     assert set(range(300, 450)) <= set(kept) and not set(range(450, 470)) & set(kept)
     assert {d: t or "" for d, t in rows["line_dedup"].items()} == brute.line_dedup(kept)
-    groups = brute.groups({d: brute.fingerprint(t) for d, t in rows["line_dedup"].items()})
+    groups = brute.near_copies(rows["line_dedup"])
     assert set(rows["simhash_near_dedup"]) == set(groups.values())
     leaked = {d for d, t in rows["simhash_near_dedup"].items() if any(x in (t or "") for x in items.values())}
     assert leaked and set(rows["benchmark_decontamination"]) == set(rows["simhash_near_dedup"]) - leaked
@@ -54,6 +54,22 @@ def test_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in entry.queries()["pipeline"](spark, str(tmp_path)).collect()) == want
 
 
+def test_rows_are_judged_by_themselves(spark, tmp_path):
+    """Rows under one null or repeated id stay or go for their own text."""
+    docs, items = docs_table()
+    good, other, junk = docs[300], docs[301], docs[450]
+    leak = docs[302] + "\n" + items[0]
+    rows = [(None, good), (None, junk), (None, leak), (7, other), (7, junk), (7, leak + " tail")] + [(i, docs[i]) for i in range(303, 420)]
+    df = spark.createDataFrame([(d, t, None, None, None, "", 0, "") for d, t in rows], SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = lambda out: sorted((r.doc_id or -1, r.text) for r in out.where("doc_id IS NULL OR doc_id < 10").collect())
+    kept = corpus_pipeline.quality_rules(spark, df, str(tmp_path))
+    assert left(kept) == sorted([(-1, good), (-1, leak), (7, other), (7, leak + " tail")])
+    clean = corpus_pipeline.decontamination(spark, df, str(tmp_path))
+    assert left(clean) == sorted([(-1, good), (-1, junk), (7, other), (7, junk)])
+
+
 def test_an_empty_corpus_passes_through(spark, tmp_path):
     frame(spark, {}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

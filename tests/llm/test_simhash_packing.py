@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from faultline.llm import packing, queries, simhash
 
 from . import brute
@@ -40,11 +41,61 @@ def test_links_survive_splits_of_large_groups(spark):
     assert got == {f & (1 << 64) - 1: c for f, c in want.items() if size[c] > 1}
 
 
-def test_keep_first_keeps_one_of_each_group(spark):
-    docs = texts()
-    want = brute.groups({d: brute.fingerprint(t) for d, t in docs.items()})
+def copies(seed: int) -> dict[int, str | None]:
+    """Texts and edited copies of theirs, from a word in hundred to a third changed; clusters too."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(600)]
+    docs = texts(30, seed)
+    license = " ".join(rng.choice(vocab) for _ in range(60))
+    for i in range(200, 320):
+        docs[i] = " ".join(rng.choice(vocab) for _ in range(rng.choice([8, 30, 120, 400]))) + (" " + license if i % 3 == 0 else "")
+    for i in range(320, 520):
+        words = docs[rng.randrange(200, i)].split()
+        for _ in range(int(len(words) * rng.choice([0, 0.005, 0.01, 0.02, 0.05, 0.3]))):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        docs[i] = " ".join(words) if i % 4 else " ".join(words).upper()
+    return docs
+
+
+@pytest.mark.parametrize("per_block", [2000, 6])
+def test_near_copies_match_brute_force(spark, per_block):
+    docs = copies(3)
+    want = brute.near_copies(docs)
+    assert 150 < len(set(want.values())) < 300
+    found = simhash.near_copies(frame(spark, docs), per_block=per_block).collect()
+    got = {r.id: r.first.id for r in found}
+    assert set(got) == set(docs)
+    if per_block == 2000:
+        assert got == want
+    else:  # blocks of a key meet by one set of each tree only; nothing is linked that should not be
+        assert all(want[r] == want[i] for i, r in got.items())
+        assert sum(got[i] != want[i] for i in docs) <= 0.02 * len(docs)
+
+
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    from .fixtures import SCHEMA
+
+    docs = copies(5)
+    want = brute.near_copies(docs)
     out = simhash.keep_first(frame(spark, docs))
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(want.values()))
+    t, u = ("alpha beta gamma delta epsilon zeta eta theta " * 3, "one two three four five six seven")
+    rows = [(None, t), (5, t), (5, t), (5, u), (5, u), (5, u), (6, u), (7, None), (8, ""), (None, "other words that stand alone here")]
+    out = simhash.keep_first(spark.createDataFrame([(d, x, None, None, None, "", 0, "") for d, x in rows], SCHEMA))
+    assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, "alpha beta gamma delta epsilon zeta eta theta " * 3), (-1, "other words that stand alone here"), (5, u), (7, "")]
+
+
+def test_close_pairs_match_every_pair():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 60, np.uint64)
+    fps = np.concatenate([fps, fps[:20] ^ np.uint64(5), fps[:10]])
+    groups = np.sort(rng.integers(0, 3, len(fps)))
+    order = np.lexsort((fps, groups))
+    fps, groups = fps[order], groups[order]
+    for budget in (0, 3, 24, 30):
+        got = [(min(a, b), max(a, b)) for i, j in simhash.close_pairs(fps, groups, budget, 50) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if groups[a] == groups[b] and int(fps[a] ^ fps[b]).bit_count() <= budget}
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_packing_is_whole_and_close_to_the_bound(spark, tmp_path):
