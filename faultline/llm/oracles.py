@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import ACCESS, HEX, MAX_OWNERS, RUN
+from .secrets import ACCESS, HEX, MAX_OWNERS, MAX_REPOSITORIES, RUN
 
 _DOCS = "d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)"
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -24,7 +24,7 @@ placed AS (SELECT doc_id, source, kind, whole[i] AS w, coalesce(list_sum(list_tr
 valued AS (SELECT *, start + length(w) AS stop, CASE WHEN kind = 0 THEN regexp_extract(w, {_quoted(_ASSIGN)}, 2) ELSE w END AS value FROM placed),
 kept AS (SELECT * FROM valued WHERE CASE kind WHEN 0 THEN length(value) >= 12 WHEN 1 THEN length(w) >= 18 WHEN 2 THEN length(w) >= 16 ELSE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[a-z]') END),
 owners AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM kept GROUP BY value),
-judged AS (SELECT *, owners > {MAX_OWNERS} AS copied FROM kept JOIN owners USING (value)),
+judged AS (SELECT *, owners > {min(MAX_OWNERS, MAX_REPOSITORIES)} AS copied FROM kept JOIN owners USING (value)),
 stay AS (SELECT * FROM judged a WHERE kind < 3 OR (NOT copied AND NOT EXISTS (SELECT 1 FROM judged b WHERE b.doc_id = a.doc_id AND b.kind < 3 AND b.start < a.stop AND a.start < b.stop))),
 named AS (SELECT *, concat(CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END, ':', CAST(start AS BIGINT), ':', CAST(stop AS BIGINT)) AS label FROM stay)
 SELECT d.doc_id, count(label) FILTER (kind = 0) AS n_assign, count(label) FILTER (kind = 1) AS n_access, count(label) FILTER (kind = 2) AS n_hex, count(label) FILTER (kind = 3) AS n_owned,

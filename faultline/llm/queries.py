@@ -12,6 +12,7 @@ from .common import table, whole_text
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source`` stands for both repository and owner, the table has no other column for either."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
     kinds = F.transform("spans", lambda s: s["kind"])

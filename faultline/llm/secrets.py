@@ -2,22 +2,25 @@
 
 ``scan`` finds credential-like spans in every whole text. Each candidate value
 is hashed, and the hashes are aggregated over the corpus by distinct
-repositories and owners: a value that many owners share is a copied example, a
-value of one owner is a live-looking credential. The same frequencies decide
-over the weaker candidates that only the method adds: long mixed tokens without
-a telling keyword, which become ``owned`` spans where few owners have them.
-
-A null text counts as empty. Rows are kept one for one, repeated rows too. A
-null repository or owner counts as one value of its own. Spans are code points,
-end exclusive. Other columns of the input are not read.
+repositories and owners: a value that many owners or many repositories have is
+a copied example, a value of few is a live-looking credential. The same
+frequencies decide over the weaker candidates that only the method adds: long
+mixed tokens without a telling keyword, which become ``owned`` spans unless they
+are copied.
+
+A text's matches and the gaps between them become rows, and running sums over
+them give the places, so a text of millions of matches costs no more a match
+than a short one. A null text counts as empty. Rows are kept one for one,
+repeated rows too. A null repository or owner counts as one value of its own.
+Spans are code points, end exclusive. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, whole_text
+from .common import join_hot, stash, whole_text
 
 #: Kinds in the order in which equal starts are listed; the last one is added.
 KINDS = ("assign", "access", "hex", "owned")
@@ -26,95 +29,72 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: A run of key characters, 24 or more (shorter ones are ordinary words).
 RUN = r"[A-Za-z0-9+/_-]{24,}"
-#: Values that more owners than this have are widely copied examples.
-MAX_OWNERS = 2
+#: Values that more owners or more repositories than these have are widely copied examples.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,whole>> of the leftmost non-overlapping matches.
+_HITS = "array<struct<kind:int,i:int,gap:int,n:int,good:boolean,hash:bigint>>"
 
-    The gaps between the matches come from a split by the same pattern, so a
-    running sum over gaps and matches gives each match its place.
-    """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,whole:string>>").alias("got"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["whole"])
-        return F.struct(end.alias("at"), F.concat(acc["got"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["whole"].alias("whole")))).alias("got"))
 
-    pairs = F.zip_with(gaps, whole, lambda g, w: F.struct(g.alias("gap"), w.alias("whole")))
-    return F.aggregate(F.filter(pairs, lambda p: p["whole"].isNotNull()), start, step, lambda acc: acc["got"])
-
-
-def _where_any(text: Column, pattern: str, found: Column) -> Column:
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    return F.when(text.rlike(pattern), found).otherwise(none)
+def _hits(kind: int, text: Column, pattern: str, group: int = 0, good=lambda whole, value: F.lit(True), where: str | None = None) -> Column:
+    """The leftmost non-overlapping matches, with the gap before each; none where the text has no match for ``where``."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), whole, lambda g, w: F.struct(F.length(g).alias("gap"), w.alias("whole")))
 
+    def hit(p: Column, i: Column) -> Column:
+        value = F.regexp_extract(p["whole"], pattern, group) if group else p["whole"]
+        parts = {"kind": F.lit(kind), "i": i, "gap": p["gap"], "n": F.length(p["whole"]), "good": good(p["whole"], value), "hash": F.xxhash64(value, F.length(value))}
+        return F.struct(*[x.alias(name) for name, x in parts.items()])
 
-def _span(kind: int, m: Column, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), value.alias("value"))
+    return F.when(text.rlike(where or pattern), F.transform(pairs, hit)).otherwise(F.array().cast(_HITS))
 
 
 def candidates(docs: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
-    """doc_id, repository, owner and the spans of each text, values hashed."""
+    """doc_id, repository, owner and all matches of each text, values hashed."""
     text = whole_text()
-    long_assign = ASSIGN.replace("]+)", "]{12,})")
-    assign = F.filter(_found(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["whole"], ASSIGN, 1)) >= 12)
+    mixed = lambda whole, value: whole.rlike("[0-9]") & whole.rlike("[A-Z]") & whole.rlike("[a-z]")
     parts = [
-        _where_any(text, long_assign, F.transform(assign, lambda m: _span(0, m, F.regexp_extract(m["whole"], ASSIGN, 1)))),
-        _where_any(text, r"AKIA[A-Z0-9]{14,}", F.transform(_found(text, r"AKIA[A-Z0-9]{14,}"), lambda m: _span(1, m, m["whole"]))),
-        _where_any(text, r"[0-9a-f]{16,}", F.transform(_found(text, r"[0-9a-f]{16,}"), lambda m: _span(2, m, m["whole"]))),
-        _where_any(
-            text,
-            RUN,
-            F.transform(
-                F.filter(_found(text, RUN), lambda m: m["whole"].rlike("[0-9]") & m["whole"].rlike("[A-Z]") & m["whole"].rlike("[a-z]")),
-                lambda m: _span(3, m, m["whole"]),
-            ),
-        ),
+        _hits(0, text, ASSIGN, 1, lambda whole, value: F.length(value) >= 12, ASSIGN.replace("]+)", "]{12,})")),
+        _hits(1, text, r"AKIA[A-Z0-9]{14,}"),
+        _hits(2, text, r"[0-9a-f]{16,}"),
+        _hits(3, text, RUN, good=mixed),
     ]
-    spans = F.array_sort(F.concat(*parts))  # by kind, then start
-    return docs.select(
-        "doc_id",
-        F.col(repository).cast("string").alias("repository"),
-        F.col(owner).cast("string").alias("owner"),
-        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"], F.length(s["value"])).alias("hash"))).alias("spans"),
-    )
+    return docs.select("doc_id", F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), F.concat(*parts).alias("hits"))
 
 
-def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """hash, repositories, owners, copied: one row per candidate value.
+def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """hash, repositories, owners, uses, copied: one row per candidate value.
 
     Distinct owners are made before they are counted, so a value that a third
     of all rows share reaches the last step as one row per owner and map task.
     """
-    each = found.select("repository", "owner", F.explode("spans.hash").alias("hash"))
-    pairs = each.groupBy("hash", "repository", "owner").agg(F.count("*").alias("n"))
-    per_owner = pairs.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("r"))
-    repos = pairs.groupBy("hash", "repository").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("repositories"))
-    owners = per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("uses"))
-    return owners.join(repos, "hash").withColumn("copied", F.col("owners") > max_owners)
+    each = found.select("repository", "owner", F.explode(F.filter("hits", lambda h: h["good"])["hash"]).alias("hash"))
+    pairs = stash(each.groupBy("hash", "repository", "owner").agg(F.count("*").alias("n")), "owners")
+    owners = pairs.groupBy("hash", "owner").agg(F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("uses"))
+    repos = pairs.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
+    return owners.join(repos, "hash").withColumn("copied", (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories))
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """doc_id and ``spans``, an array of (start, kind, end, owners, repositories, copied) by start, then kind.
 
-    Base kinds stay whatever their frequency; an ``owned`` candidate stays if
-    few owners have it and no base span of its document overlaps it.
+    Base kinds stay whatever their frequency; an ``owned`` candidate stays
+    unless it is copied or a base span of its document overlaps it.
     """
-    row = F.monotonically_increasing_id().alias("row")
-    found = stash(candidates(docs, repository, owner).select(row, "*"), "secrets")
-    known = ownership(found, max_owners)
-    each = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    judged = each.join(known, "hash")
-    out = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories", "copied"))).alias("all"))
-    base = F.filter("all", lambda s: s["kind"] < 3)
-    added = F.filter("all", lambda s: (s["kind"] == 3) & ~s["copied"] & ~F.exists(F.filter("all", lambda t: t["kind"] < 3), lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    found = stash(candidates(docs, repository, owner).select(F.monotonically_increasing_id().alias("row"), "*"), "secrets")
+    known = stash(ownership(found, max_owners, max_repositories), "known")
+    each = found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.*").repartition("row")
+    reach = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("row", "kind").orderBy("i"))
+    placed = each.select("row", "kind", "good", "hash", (reach - F.col("n")).cast("int").alias("start"), reach.cast("int").alias("end")).where("good")
+    judged = join_hot(placed, known, ["hash"], "uses")
+    base = F.col("kind") < 3
+    before = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("row").orderBy("start", "kind"))
+    after = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")))
+    apart = (F.coalesce("before", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
+    stay = judged.withColumns({"before": before, "after": after}).where(base | ~F.col("copied") & apart)
+    span = F.struct("start", "kind", "end", "owners", "repositories", "copied")
+    out = stay.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("kept"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,owners:bigint,repositories:bigint,copied:boolean>>")
-    out = out.select("row", F.array_sort(F.concat(base, added)).alias("kept"))
     return found.select("row", "doc_id").join(out, "row", "left").select("doc_id", F.coalesce("kept", none).alias("spans"))
 
 

@@ -26,6 +26,23 @@ def secrets(text: str | None) -> tuple:
     return n["assign"], n["access"], n["hex"], sha(joined)
 
 
+def owned(rows: list[tuple], max_owners: int = 2) -> dict[int, str]:
+    """All spans of each row as the query writes them; the fourth column is the owner."""
+    run = re.compile(r"[A-Za-z0-9+/_-]{24,}")
+    found, owners = {}, defaultdict(set)
+    for d, text, _, owner, *_ in rows:
+        found[d] = [(m.start(), k, m.end(), m[1] if kind == "assign" else m[0]) for k, (kind, p) in enumerate(BASE.items()) for m in p.finditer(text or "") if len(m[1] if kind == "assign" else m[0]) >= LEAST[kind]]
+        found[d] += [(m.start(), 3, m.end(), m[0]) for m in run.finditer(text or "") if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+        for *_, value in found[d]:
+            owners[value].add(owner)
+    out = {}
+    for d, spans in found.items():
+        base = [s for s in spans if s[1] < 3]
+        stay = base + [s for s in spans if s[1] == 3 and len(owners[s[3]]) <= max_owners and not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        out[d] = ",".join(f"{[*BASE, 'owned'][k]}:{a}:{b}" for a, k, b, _ in sorted(stay))
+    return out
+
+
 def quality(text: str | None) -> tuple:
     text = text or ""
     words = WORD.findall(text)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from faultline.llm import lines, queries, quality, secrets
 from pyspark.sql import functions as F
 
@@ -23,6 +25,43 @@ def test_owner_specific_values_are_told_from_copied_ones(spark):
     assert out[0] == [] and out[10] == []
 
 
+def test_copied_and_owned_spans_come_through_the_query(spark, tmp_path):
+    """Owned spans against plain sets of owners, also where base spans overlap them."""
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("abcXYZ0189") for _ in range(30)) + "aZ9" for _ in range(12)] + ["0123456789abcdef0123" + "Zz9" * 5]
+    rows = []
+    for i in range(80):
+        said = [rng.choice(["see", "key:", "token=", "é𝒳", "deadbeefdeadbeef01", "x"]) + rng.choice([" ", ""]) + rng.choice(keys[: 1 + i % 13]) for _ in range(rng.randint(0, 5))]
+        rows.append((i, " ".join(said) or None, None, rng.choice([None, "s1", "s2", "s3"]) if i % 13 < 6 else f"s{i % 2}", None, "", 0, ""))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in queries.op1_secret_scans(spark, str(tmp_path)).collect()}
+    want = brute.owned(rows)
+    assert {i: r.spans for i, r in out.items()} == want
+    assert any(r.n_copied for r in out.values()) and any("owned" in x for x in want.values())
+
+
+def test_repositories_count_too(spark):
+    key = "Zk9" + "aB3x" * 8
+    rows = [(i, f"see {key} here", f"repo{i}", "one owner", None, "", 0, "") for i in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert all(r.spans == [] for r in secrets.scan(df, repository="lang").collect())
+    assert all([s.repositories for s in r.spans] == [4] for r in secrets.scan(df.where("doc_id < 4"), repository="lang").collect())
+
+
+def test_many_matches_in_one_text(spark):
+    """Twice the matches take about twice the time, and all are found."""
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        df = spark.createDataFrame([(1, "deadbeefdeadbeef01 x " * n, None, None, None, "", 0, "")], SCHEMA)
+        began = time.time()
+        spans = secrets.scan(df).collect()[0].spans
+        took.append(time.time() - began)
+        assert len(spans) == n and spans[-1].start == 21 * (n - 1) and spans[-1].end == 21 * n - 3
+    assert took[1] < 10 * took[0] + 30
+
+
 def test_quality_statistics_match_brute_force(spark, tmp_path):
     docs = texts()
     for r in queries.op3_quality_rules(spark, save(spark, tmp_path, docs)).collect():
@@ -74,8 +113,6 @@ def test_rules_that_conflict_are_weighed(spark):
 
 
 def test_junk_is_rejected_and_prose_is_kept(spark):
-    import random
-
     rng = random.Random(1)
     say = lambda: " ".join(rng.choice(["the", "of", "and", "river", "stone", "green", "walk", "to", "in", "house", "light", "over", "seven", "paper"]) + ("." if i % 9 == 8 else "") for i in range(90)) + "."
     prose = [(i, " ".join(w + str(rng.randint(0, 99)) if k % 3 == 0 else w for k, w in enumerate(say().split())) + ".", None, None, None, "", 0, "") for i in range(120)]
