@@ -27,22 +27,36 @@ def with_baseline(files: DataFrame, baseline: DataFrame) -> DataFrame:
     return keyed.join(base, keyed["was"] == base["baseline_path"], "left").select("change_id", "path", F.col("was").alias("baseline_path"), "baseline_found", "baseline_hit")
 
 
+def _up_to(sorted_lines: Column, line: Column) -> Column:
+    """How many of an array's sorted lines are at most ``line``, by halving."""
+    begin = F.struct(F.lit(0).alias("low"), F.size(sorted_lines).alias("high"))
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = ((span["low"] + span["high"]) / 2).cast("int")
+        inside = span["low"] < span["high"]
+        up = inside & (F.get(sorted_lines, middle) <= line)
+        return F.struct(F.when(up, middle + 1).otherwise(span["low"]).alias("low"), F.when(inside & ~up, middle).otherwise(span["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_lines) + 2)).cast("int")), begin, halve, lambda span: span["low"].cast("long"))
+
+
 def changed_lines(ranges: DataFrame, lines: DataFrame, presence: DataFrame | None = None) -> DataFrame:
     """Changed, instrumented and hit lines of each changed file.
 
-    Ranges are opened into lines only where the path has a record, so the join is
-    an equi-join on path and line. ``presence`` adds files without any range.
+    A path's instrumented lines are one sorted array; a range costs two searches
+    in it, however long it is. ``presence`` adds files without any range.
     """
     real = ranges.where("span > 0")
-    total = real.groupBy("change_id", "path").agg(F.sum("span").alias("changed"))
+    hit_line = F.when(F.col("hits") > 0, F.col("line"))
+    known = lines.groupBy("path").agg(F.array_sort(F.collect_list("line")).alias("all"), F.array_sort(F.collect_list(hit_line)).alias("hit"))
     if presence is not None:
-        total = presence.select("change_id", "path").distinct().join(total, ["change_id", "path"], "left").withColumn("changed", F.coalesce("changed", F.lit(0).cast("long")))
-    known = lines.select("path").distinct()
-    opened = real.join(known, "path", "left_semi").select("change_id", "path", F.explode(F.sequence("start", F.expr("start + span - 1"))).alias("line"))
-    found = opened.join(lines.select("path", "line", "hits"), ["path", "line"]).groupBy("change_id", "path").agg(F.count("*").alias("found"), F.count_if(F.col("hits") > 0).alias("hit"))
-    out = total.join(found, ["change_id", "path"], "left").join(known.withColumn("known", F.lit(True)), "path", "left")
-    fill = lambda c: F.when(F.col("known"), F.coalesce(c, F.lit(0).cast("long"))).alias(c)
-    return out.select("change_id", "path", "changed", fill("found"), fill("hit"))
+        real = presence.select("change_id", "path").distinct().join(real.select("change_id", "path", "start", "span"), ["change_id", "path"], "left")
+    end = F.col("start") + F.col("span") - 1
+    within = lambda c: _up_to(F.col(c), end) - _up_to(F.col(c), F.col("start") - 1)
+    zero = F.lit(0).cast("long")
+    each = real.join(known, "path", "left").select("change_id", "path", F.coalesce(F.col("span").cast("long"), zero).alias("span"), *[F.when(F.col("all").isNotNull(), F.coalesce(within(c), zero)).alias(c) for c in ("all", "hit")])
+    out = each.groupBy("change_id", "path").agg(F.sum("span").alias("changed"), F.sum("all").alias("found"), F.sum("hit").alias("hit"))
+    return out.select("change_id", "path", "changed", "found", "hit")
 
 
 def record_issues(records: DataFrame, lines: DataFrame) -> DataFrame:
@@ -73,5 +87,6 @@ def concerns(rel: DataFrame, min_line: float = 80, min_changed: float = 80, max_
             F.when(measured & (F.col("changed_found") == 0), "no-measurable-changed-lines").when(measured & (changed < min_changed), "below-changed-line-threshold"),
         )
     )
-    out = rel.select("change_id", "path", half_up(line).alias("line_percent"), half_up(base).alias("baseline_percent"), half_up(line - base).alias("delta"), half_up(F.when(measured, changed)).alias("changed_percent"), reasons.alias("reasons"))
+    given = ("lines_found", "lines_hit", "baseline_found", "baseline_hit", "changed_count", "changed_found", "changed_hit")
+    out = rel.select("change_id", "path", *given, half_up(line).alias("line_percent"), half_up(base).alias("baseline_percent"), half_up(line - base).alias("delta"), half_up(F.when(measured, changed)).alias("changed_percent"), reasons.alias("reasons"))
     return out.where(F.size("reasons") > 0)

@@ -1,8 +1,10 @@
 """Cohort statistics over labelled analyses, per segment.
 
-A segment is one value of (stratum, split, scope, value): each case counts in
-its cohort, its language and, if complete, its change size. ``segmented`` opens
-cases that way once; every metric is then one aggregation over it.
+A segment is one value of (profile, configuration_digest, packs, stratum, split,
+scope, value), so cases that were analysed with different settings never share
+one. Each case counts in its cohort, its language and, if complete, its change
+size. ``segmented`` opens cases that way once; every metric is then one
+aggregation over it.
 """
 
 from __future__ import annotations
@@ -12,14 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import CLASSES, LIMITATION_CATEGORIES, TIERS, UNAVAILABLE_REASONS, change_size, limitation_category, ordinal, ratio
 
-SEGMENT = ("stratum", "split", "scope", "value")
+SETTINGS = ("profile", "configuration_digest", "packs")
+SEGMENT = (*SETTINGS, "stratum", "split", "scope", "value")
 #: Evaluated cases from which a segment's comparisons are sufficient.
 ENOUGH = 40
 
 
 def segmented(cases: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row per case and segment, with its label."""
-    joined = cases.join(labels, "case_id")
+    """A row per case and segment, with its label. Settings that cases don't tell count as empty."""
+    told = {c: F.coalesce(F.col(c), F.lit("")) if c in cases.columns else F.lit("") for c in SETTINGS}
+    joined = cases.withColumns(told).join(labels, "case_id")
     scope = lambda name, value: F.struct(F.lit(name).alias("scope"), value.alias("value"))
     size = F.when(F.col("status") == "complete", scope("change-size", change_size(F.col("files"), F.col("lines"))))
     opened = joined.withColumn("s", F.explode(F.array_compact(F.array(scope("cohort", F.lit("all")), scope("language", F.col("language")), size))))
@@ -27,6 +31,11 @@ def segmented(cases: DataFrame, labels: DataFrame) -> DataFrame:
     return opened.select("*", "s.scope", "s.value", actual.alias("actual")).drop("s")
 
 
+def configuration_digests(cases: DataFrame) -> DataFrame:
+    """The distinct configuration digests, as one sorted list."""
+    return cases.agg(F.array_sort(F.collect_set("configuration_digest")).alias("digests"))
+
+
 def evaluated(rows: DataFrame) -> DataFrame:
     return rows.where("status = 'complete' AND resolved IS NOT NULL")
 

@@ -6,10 +6,12 @@ frontiers, several seeds or changes at once, and cut their lineage per level.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut, is_empty
+from .ownership import ignore
 
 
 def construct(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -27,6 +29,16 @@ def from_imports(imports: DataFrame) -> DataFrame:
     return imports.where("resolution = 'internal' AND target_path IS NOT NULL").select(F.col("path").alias("src"), F.col("target_path").alias("dst")).distinct()
 
 
+def included(modules: DataFrame, references: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """P5: modules that no pattern matches, and their references less the internal ones whose target went."""
+    kept = ignore(modules, patterns) if patterns else modules
+    names = kept.select("path").distinct()
+    own = references.join(names, "path", "left_semi")
+    known = names.select(F.col("path").alias("known"))
+    lost = own.where("resolution = 'internal'").select("target_path").distinct().join(known, F.col("target_path") == F.col("known"), "left_anti").select(F.col("target_path").alias("lost"))
+    return kept, own.join(lost, (F.col("resolution") == "internal") & F.col("target_path").eqNullSafe(F.col("lost")), "left_anti")
+
+
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """fan_in and fan_out of every node. One aggregation over both ends."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("dst").alias("path"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src").alias("path"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e")).select("e.*")
@@ -77,9 +89,103 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
-def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def weak_components(edges: DataFrame) -> DataFrame:
+    """path and weak: a name for each set of nodes that edges connect either way, smallest member first.
+
+    Alternating large-star and small-star steps: the rounds grow with the
+    logarithm of the longest chain, not with its length.
+    """
+    pairs = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        new = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        moved = not is_empty(new.join(pairs, ["u", "v"], "left_anti")) or not is_empty(pairs.join(new, ["u", "v"], "left_anti"))
+        pairs = new
+        if not moved:
+            break
+    stars = pairs.groupBy("u").agg(F.min("v").alias("weak")).select(F.col("u").alias("path"), "weak")
+    return stars.unionByName(pairs.select(F.col("v").alias("path"), F.col("v").alias("weak")).distinct())
+
+
+#: Edges of a weak component that one task searches.
+EDGES_AT_ONCE = 2_000_000
+
+
+def _strong(sources: list[str], targets: list[str]) -> dict[str, str]:
+    """Component of each node, named by its smallest member: two depth-first passes without recursion."""
+    ahead: dict[str, list[str]] = {}
+    back: dict[str, list[str]] = {}
+    for s, t in zip(sources, targets, strict=True):
+        ahead.setdefault(s, []).append(t)
+        back.setdefault(t, []).append(s)
+    order, seen = [], set()
+    for start in ahead.keys() | back.keys():
+        if start in seen:
+            continue
+        seen.add(start)
+        stack = [(start, iter(ahead.get(start, ())))]
+        while stack:
+            node, rest = stack[-1]
+            for following in rest:
+                if following not in seen:
+                    seen.add(following)
+                    stack.append((following, iter(ahead.get(following, ()))))
+                    break
+            else:
+                order.append(node)
+                stack.pop()
+    out: dict[str, str] = {}
+    done: set[str] = set()
+    for start in reversed(order):
+        if start in done:
+            continue
+        done.add(start)
+        members, at = [start], 0
+        while at < len(members):
+            for before in back.get(members[at], ()):
+                if before not in done:
+                    done.add(before)
+                    members.append(before)
+            at += 1
+        name = min(members)
+        out |= dict.fromkeys(members, name)
+    return out
+
+
+def scc(nodes: DataFrame, edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """Path and component, named by its smallest member.
 
+    A graph of at most ``at_once`` edges is searched in one task, else each of its
+    weak components of that size in a task of its own; only larger ones are
+    coloured by frontier steps over the cluster.
+    """
+    all_nodes, real = nodes.select("path").distinct(), cut(edges.where("src <> dst").select("src", "dst").distinct())
+
+    def search(table: pa.Table) -> pa.Table:
+        found = _strong(table["src"].to_pylist(), table["dst"].to_pylist())
+        return pa.table({"path": pa.array(list(found), pa.string()), "component": pa.array(list(found.values()), pa.string())})
+
+    if real.count() <= at_once:
+        found = cut(real.withColumn("weak", F.lit(0)).groupBy("weak").applyInArrow(search, "path string, component string"))
+    else:
+        weak = cut(weak_components(real))
+        named = cut(real.join(weak, F.col("src") == F.col("path")).drop("path"))
+        large = cut(named.groupBy("weak").agg(F.count("*").alias("n")).where(F.col("n") > at_once).select("weak"))
+        found = named.join(large, "weak", "left_anti").groupBy("weak").applyInArrow(search, "path string, component string")
+        if not is_empty(large):
+            rest = cut(named.join(large, "weak", "left_semi").drop("weak"))
+            found = found.unionByName(coloured(rest.select(F.explode(F.array("src", "dst")).alias("path")).distinct(), rest))
+        found = cut(found)
+    return all_nodes.join(found, "path", "left").select("path", F.coalesce("component", "path").alias("component"))
+
+
+def coloured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components by colouring, for graphs beyond one task.
+
     Nodes without a predecessor or successor among the rest are components of
     their own and go first. Then every node gets the largest name that reaches it
     (its colour); the nodes that reach their colour's owner back within the

@@ -12,6 +12,9 @@ UNROLLED = 200
 #: A rule set above this many rows isn't broadcast.
 MAX_RULES = 10_000
 
+#: Pairs of a rule and a path of one change.
+MAX_MATCHES = 1_000_000
+
 Rule = tuple[str, list[str]]
 
 
@@ -38,12 +41,22 @@ def owners_of(path: Column, rules: list[Rule]) -> Column:
     return none if out is None else out.otherwise(none)
 
 
+def within_limit(files: DataFrame, rules: list[Rule], limit: int = MAX_MATCHES) -> None:
+    """V3: no change may have more pairs of a rule and a path than the limit."""
+    most = files.groupBy("change_id").agg((F.count_distinct("path") * len(rules)).alias("n")).agg(F.max("n")).collect()[0][0]
+    if (most or 0) > limit:
+        raise ValueError("owner match limit exceeded")
+
+
 def match(files: DataFrame, rules: list[Rule], unrolled: int = UNROLLED) -> DataFrame:
     """Path and owners for each distinct path of ``files``.
 
     Distinct paths are matched, not rows. Small rule sets stay inside code
-    generation; larger ones join a broadcast rule table of checked size.
+    generation; larger ones join a broadcast rule table of checked size. Files of
+    changes are held to the limit of one change.
     """
+    if "change_id" in files.columns and len(rules) > unrolled:
+        within_limit(files, rules)
     paths = files.select("path").distinct()
     if len(rules) <= unrolled:
         return paths.select("path", owners_of(F.col("path"), rules).alias("owners"))

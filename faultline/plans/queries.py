@@ -422,16 +422,7 @@ ORACLES["risk_classification"] = _recursive(f"{SCORED} SELECT classification, co
 ORACLES["gate"] = _recursive(f"{SCORED} SELECT change_id, CASE WHEN classification IN ('high', 'critical') THEN 2 ELSE 0 END AS exit_code FROM classed", *_scored)
 
 
-@query()
-def result_integrity(spark, sf_dir):
-    found = cut(_findings(spark, sf_dir))
-    contributed = cut(scoring.contributions(found))
-    return checks.result_integrity(found, contributed, scoring.scores(fact(spark, sf_dir, "changes"), contributed))
-
-
-ORACLES["result_integrity"] = "SELECT CAST(NULL AS VARCHAR) AS \"check\", CAST(NULL AS VARCHAR) AS key WHERE false"
-
-SEG = "stratum, split, scope, value"
+SEG = ", ".join(evaluation.SEGMENT)
 SIZE = "CASE WHEN files <= 5 AND lines <= 100 THEN 'small' WHEN files <= 20 AND lines <= 500 THEN 'medium' ELSE 'large' END"
 SEGMENTS = f"""joined AS (SELECT c.*, left_tier, right_tier, resolved, insufficient, CASE classification WHEN 'low' THEN 0 WHEN 'moderate' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 END AS actual FROM cases c JOIN labels_r USING (case_id)),
   seg AS (SELECT *, 'cohort' AS scope, 'all' AS value FROM joined UNION ALL SELECT *, 'language', language FROM joined UNION ALL SELECT *, 'change-size', {SIZE} FROM joined WHERE status = 'complete'),
@@ -456,7 +447,7 @@ def segments(spark, sf_dir):
     return evaluation.rates(_segmented(spark, sf_dir))
 
 
-_wilson = """SELECT stratum, split, scope, value, n, k, rate, {lower} AS lower, {upper} AS upper FROM (SELECT *, k / CAST(n AS DOUBLE) AS rate FROM (SELECT {seg}, count(*) AS n, count(*) FILTER (status = 'complete') AS k FROM seg GROUP BY {seg}))"""
+_wilson = """SELECT {seg}, n, k, rate, {lower} AS lower, {upper} AS upper FROM (SELECT *, k / CAST(n AS DOUBLE) AS rate FROM (SELECT {seg}, count(*) AS n, count(*) FILTER (status = 'complete') AS k FROM seg GROUP BY {seg}))"""
 _bound = lambda sign: f"greatest(0, least(1, (rate + {stats.Z} * {stats.Z} / (2 * n) {sign} {stats.Z} * sqrt(rate * (1 - rate) / n + {stats.Z} * {stats.Z} / (4 * n * CAST(n AS DOUBLE)))) / (1 + {stats.Z} * {stats.Z} / n)))"
 
 
@@ -466,8 +457,8 @@ def wilson(spark, sf_dir):
     return out.select(*evaluation.SEGMENT, "n", "k", *[six(F.col(f"w.{c}")).alias(c) for c in ("rate", "lower", "upper")])
 
 
-MATRIX = f"""tiers AS (SELECT unnest([0, 1, 2, 3]) AS t), matrix AS (SELECT s.stratum, s.split, s.scope, s.value, r.t AS resolved, a.t AS actual, count(d.case_id) AS n FROM (SELECT DISTINCT {SEG} FROM seg) s CROSS JOIN tiers r CROSS JOIN tiers a
-  LEFT JOIN done d ON d.stratum = s.stratum AND d.split = s.split AND d.scope = s.scope AND d.value = s.value AND d.resolved = r.t AND d.actual = a.t GROUP BY ALL)"""
+MATRIX = f"""tiers AS (SELECT unnest([0, 1, 2, 3]) AS t), matrix AS (SELECT {', '.join(f's.{c}' for c in evaluation.SEGMENT)}, r.t AS resolved, a.t AS actual, count(d.case_id) AS n FROM (SELECT DISTINCT {SEG} FROM seg) s CROSS JOIN tiers r CROSS JOIN tiers a
+  LEFT JOIN done d ON {' AND '.join(f'd.{c} = s.{c}' for c in evaluation.SEGMENT)} AND d.resolved = r.t AND d.actual = a.t GROUP BY ALL)"""
 
 
 @query(f"WITH {SEGMENTS}, {MATRIX} SELECT {SEG}, resolved, actual, n FROM matrix", *_eval)

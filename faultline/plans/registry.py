@@ -69,7 +69,7 @@ def create(plugins: list[Plugin]) -> Registry:
     adapters = [*BUILT_IN, *(a for p in plugins for a in p.adapters)]
     if len(rules) > MAX_ALL_RULES or len(adapters) > MAX_ALL_ADAPTERS:
         raise ValueError("plugin limits exceeded")
-    if any(not callable(r.evaluate) or not abs(r.weight) <= MAX_WEIGHT for r in rules) or any(not callable(a.imports) or not callable(a.resolve) for a in adapters):
+    if any(not callable(r.evaluate or r.shaped) or not abs(r.weight) <= MAX_WEIGHT for r in rules) or any(not callable(a.imports) or not callable(a.resolve) for a in adapters):
         raise ValueError("a plugin rule or adapter is invalid")
     _ids(rules, "rule")
     _ids(adapters, "adapter")

@@ -1,7 +1,7 @@
 """One result as JSON, terminal text, Markdown or HTML; ``render`` does a table.
 
-A result is a dict: base, head, score, classification, files, findings,
-contributions and limitations. Integral numbers print without a fraction.
+A result is a dict: base, head, score, classification, files, evidence,
+findings, contributions and limitations. Integral numbers print without a fraction.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ Result = Mapping[str, object]
 # Markdown escapes, and the sizes at which lists are cut.
 ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "|": "&#124;", "\\": "&#92;", "`": "&#96;", "*": "&#42;", "_": "&#95;", "[": "&#91;", "]": "&#93;"}
 FINDINGS_END, CONTRIBUTIONS_END, REPORT_END, PATHS_SHOWN = 52_000, 56_000, 60_000, 5
+# Fixed values too: the sentences of the reports below.
 NOTE = "_Heuristic review aid; this classification is not a safety guarantee._"
 
 
@@ -38,8 +39,13 @@ def _clean(value: object) -> object:
 
 
 def as_json(result: Result) -> str:
-    """K1."""
-    return json.dumps(_clean(result), indent=2, ensure_ascii=False) + "\n"
+    """K1; the data of evidence are objects, not text."""
+    opened = [{**e, "data": _data(e)} for e in result.get("evidence", ())]
+    return json.dumps(_clean({**result, **({"evidence": opened} if opened else {})}), indent=2, ensure_ascii=False) + "\n"
+
+
+def _data(evidence: Mapping) -> object:
+    return json.loads(evidence["data"]) if isinstance(evidence["data"], str) else evidence["data"]
 
 
 def terminal(result: Result) -> str:
@@ -121,15 +127,26 @@ def _svg(nodes: list[Mapping], edges: list[Mapping]) -> str:
 def page(result: Result, blast: Mapping | None = None) -> str:
     """K4: a page without scripts or outside references."""
     e = lambda x: html.escape(str(x))
-    part = lambda title, rows: f"<h2>{title}</h2><ul>{''.join(f'<li>{r}</li>' for r in rows)}</ul>" if rows else ""
+    listed = lambda rows: "".join(f"<li>{r}</li>" for r in rows)
+    part = lambda title, rows: f"<h2>{title}</h2><ul>{items}</ul>" if (items := listed(rows)) else ""
     most = max((abs(c["weight"]) for c in result["contributions"]), default=0) or 1
+    evidence = result.get("evidence", ())
+    number = {x["id"]: k for k, x in enumerate(evidence, 1)}
+
+    def finding(f: Mapping) -> str:
+        known = [f"<a href='#evidence-{number[x]}'>{e(x)}</a>" if x in number else e(x) for x in f["evidence_ids"]]
+        guidance = f"<br>Review guidance: {e(f['remediation'])}" if f.get("remediation") else ""
+        return f"<b>{e(f['severity'].upper())}</b> {e(f['title'])} ({signed(f['weight'])}): {e(f['explanation'])}<br>{e(', '.join(f['affected_paths']))}<br>Evidence: {' '.join(known)}{guidance}"
+
     body = [
         f"<h1>{e(result['classification'].upper())} ({plain(result['score'])})</h1><p>{e(result['base'])}..{e(result['head'])}</p>",
         part("Contributions", [f'{e(c["rule_id"])} {signed(c["weight"])} <meter min="0" max="1" value="{abs(c["weight"]) / most:.3f}"></meter>' for c in result["contributions"]]),
-        part("Findings", [f"<b>{e(f['severity'].upper())}</b> {e(f['title'])} ({signed(f['weight'])}): {e(f['explanation'])}<br>{e(', '.join(f['affected_paths']))}" for f in result["findings"]]),
-        part("Changed files", [f"{e(f['path'])} {e(f['status'])} +{f['additions']} -{f['deletions']}" for f in result["files"]]),
+        part("Findings", map(finding, result["findings"])),
+        part("Changed files", [f"<code>{e(f['path'])}</code> {e(f['status'])}{' from ' + e(f['previous_path']) if f.get('previous_path') else ''}{' · binary' if f.get('binary') else ''} [{e(', '.join(f.get('categories', ())))}] +{f['additions']} −{f['deletions']}" for f in result["files"]]),
+        part("Evidence", [f"<details id='evidence-{number[x['id']]}'><summary><code>{e(x['id'])}</code> {e(x['summary'])}</summary><p>{e(x['kind'])}: {e(', '.join(x.get('source_paths') or ()))}</p><pre>{e(json.dumps(_data(x), indent=2, ensure_ascii=False))}</pre></details>" for x in evidence]),
         part("Limitations", [e(x) for x in result["limitations"]]),
-        f"<h2>Blast radius</h2>{_svg(blast['nodes'], blast['edges'])}" if blast else "",
+        f"<h2>Blast radius</h2>{_svg(blast['nodes'], blast['edges'])}{'<p>This graph is incomplete.</p>' if blast.get('truncated') else ''}" if blast else "",
+        part("Changed source paths not indexed", [f"<code>{e(x)}</code>" for x in (blast or {}).get("unindexed", ())]),
     ]
     policy = "default-src 'none'; style-src 'unsafe-inline'"
     return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="{policy}"><title>Change risk report</title></head><body>{"".join(body)}</body></html>\n'

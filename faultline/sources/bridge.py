@@ -53,7 +53,8 @@ FACTS: dict[str, str] = {
     "cases": """
         SELECT c.change_id AS case_id, repository_id, CASE WHEN c.change_id % 2 = 0 THEN 'typescript' ELSE 'python' END AS language,
           CASE c.change_id % 3 WHEN 0 THEN 'development' WHEN 1 THEN 'forward-time' ELSE 'unseen-repository' END AS split,
-          CASE WHEN c.change_id % 4 = 0 THEN 'signal-enriched' ELSE 'representative' END AS stratum, c.change_id AS sequence_no, c.change_id % 50 AS duplicate_group,
+          CASE WHEN c.change_id % 4 = 0 THEN 'signal-enriched' ELSE 'representative' END AS stratum,
+          CASE WHEN c.change_id % 8 < 4 THEN 'standard' ELSE 'strict' END AS profile, concat('digest-', CAST(c.change_id % 16 % 3 AS STRING)) AS configuration_digest, CASE WHEN c.change_id % 16 < 8 THEN '' ELSE 'api,data' END AS packs, c.change_id AS sequence_no, c.change_id % 50 AS duplicate_group,
           CASE WHEN t.change_id IS NULL OR c.change_id % 11 = 0 THEN 'unavailable' ELSE 'complete' END AS status,
           CASE WHEN t.change_id IS NULL THEN 'revision-unavailable' WHEN c.change_id % 11 = 0 THEN CASE c.change_id % 3 WHEN 0 THEN 'resource-limit' WHEN 1 THEN 'invalid-result' ELSE 'operational-error' END END AS reason,
           CAST(t.lines % 101 AS BIGINT) AS score,

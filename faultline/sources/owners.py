@@ -8,7 +8,7 @@ from ..functions.patterns import owner_regex
 from .texts import ParseError
 
 # Limits and what an owner looks like.
-LIMITS = {"bytes": 1_000_000, "lines": 100_000, "line_length": 50_000, "pattern": 1_000, "owners": 100, "owner": 200, "rules": 10_000, "matches": 1_000_000}
+LIMITS = {"bytes": 1_000_000, "lines": 100_000, "line_length": 50_000, "pattern": 1_000, "owners": 100, "owner": 200, "rules": 10_000}
 OWNER = re.compile(r"@[A-Za-z0-9][A-Za-z0-9_.-]*(?:/[A-Za-z0-9_.-]+)?|[^\s@]+@[^\s@]+")
 MAX_ISSUES = 100
 

@@ -2,7 +2,8 @@
 
 A parser takes one artifact's text and returns rows, or raises ``ParseError``
 with its issues. ``parse`` applies it to a table of artifacts. Evidence is all or
-nothing: an artifact with an issue gives issues only.
+nothing: an artifact with an issue gives issues only, unless its parser says which
+rows it found all the same.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from ..plans.cut import cut
 
 
 class ParseError(ValueError):
-    """issues: (kind, line or None)."""
+    """issues: (kind, line or None), and rows that stand in spite of them."""
 
-    def __init__(self, *issues: tuple[str, int | None]) -> None:
+    def __init__(self, *issues: tuple[str, int | None], rows: Iterable[tuple] = ()) -> None:
         super().__init__(", ".join(f"{k}:{n}" if n else k for k, n in issues))
-        self.issues = list(issues)
+        self.issues, self.rows = list(issues), list(rows)
 
 
 Parser = Callable[..., Iterable[tuple]]
@@ -41,6 +42,7 @@ def parse(artifacts: DataFrame, key: str, parser: Parser, schema: str, columns:
                     out += [(one, None, None, *row) for row in parser(*values, **options)]
                 except ParseError as error:
                     out += [(one, kind, line, *[None] * len(names)) for kind, line in error.issues]
+                    out += [(one, None, None, *row) for row in error.rows]
             yield pd.DataFrame(out, columns=["key", "issue", "issue_line", *names], dtype=object)
 
     made = cut(artifacts.select(F.col(key).cast("string"), *columns).mapInPandas(run, full))

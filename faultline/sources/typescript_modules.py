@@ -67,12 +67,23 @@ def _template(source: str, at: int) -> int:
     raise ParseError(("parse-error", None))
 
 
-def tokens(source: str) -> list[Token]:
+def tokens(source: str, faults: list[int] | None = None) -> list[Token]:
+    """The tokens of a source. What can't be read is an error or, with ``faults``, noted there by its place and passed over."""
     out: list[Token] = []
     at, fresh, stack = 0, True, []
+
+    def fault(place: int) -> None:
+        if faults is None:
+            raise ParseError(("parse-error", None))
+        faults.append(place)
+
     while at < len(source):
         if source[at] == "`":
-            end, kind = _template(source, at), "template"
+            try:
+                end, kind = _template(source, at), "template"
+            except ParseError:
+                fault(at)
+                end, kind = at + 1, "op"
         elif source[at] == "/" and source[at + 1 : at + 2] not in ("/", "*") and (not out or out[-1].text in _BEFORE_REGEX) and (m := _REGEX.match(source, at)):
             end, kind = m.end(), "regex"
         else:
@@ -86,14 +97,20 @@ def tokens(source: str) -> list[Token]:
         if kind == "op":
             if text in _OPEN:
                 stack.append(_OPEN[text])
-            elif text in _CLOSE and (not stack or stack.pop() != text):
-                raise ParseError(("parse-error", None))
+            elif text in _CLOSE:
+                if text in stack and (faults is not None or stack[-1] == text):
+                    if stack.pop() != text:
+                        fault(at)
+                        while stack.pop() != text:
+                            pass
+                else:
+                    fault(at)
             elif text in "'\"":
-                raise ParseError(("parse-error", None))
+                fault(at)
         out.append(Token((text, kind, fresh)))
         at, fresh = end, False
     if stack:
-        raise ParseError(("parse-error", None))
+        fault(len(source))
     return out
 
 
@@ -128,8 +145,12 @@ def _only_types(clause: list[Token]) -> bool:
 
 
 def imports(path: str, source: str) -> list[tuple]:
-    """(path, ordinal, specifier, kind, type_only), in source order."""
-    return [(path, n, *row) for n, row in enumerate(_references(tokens(source)))]
+    """(path, ordinal, specifier, kind, type_only), in source order; a source with faults keeps what could be read."""
+    faults: list[int] = []
+    rows = [(path, n, *row) for n, row in enumerate(_references(tokens(source, faults)))]
+    if faults:
+        raise ParseError(("parse-error", source.count("\n", 0, faults[0]) + 1), rows=rows)
+    return rows
 
 
 def _substitutions(template: str) -> list[Token]:
@@ -137,7 +158,7 @@ def _substitutions(template: str) -> list[Token]:
     out, at = [], template.find("${")
     while at >= 0:
         end = _substitution_end(template, at + 2)
-        out += tokens(template[at + 2 : end])
+        out += tokens(template[at + 2 : end], [])
         at = template.find("${", end)
     return out
 

@@ -23,7 +23,7 @@ def plain(value):
     return None if value is None else f"{value:.5f}" if isinstance(value, float) else str(value)
 
 
-QUICK = [q for q in ORACLES if q not in ("findings", "contributions", "gate", "risk_classification", "result_integrity", "scc", "blast_radius")]
+QUICK = [q for q in ORACLES if q not in ("findings", "contributions", "gate", "risk_classification", "result_integrity", "blast_radius")]
 
 
 @pytest.mark.parametrize("name", QUICK)

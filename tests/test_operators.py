@@ -212,3 +212,45 @@ def test_integrity(spark):
     scores = scoring.scores(found, contributed)
     assert checks.result_integrity(found, contributed, scores).count() == 0
     assert {r.check for r in checks.result_integrity(found, contributed.where("rule_id = 'a'"), scores).collect()} == {"finding-without-contribution", "score-differs"}
+
+
+def test_components_of_a_long_chain(spark):
+    """A chain of 5,000 nodes takes seconds, in one task and beyond; the cycle at its end is one component."""
+    import time
+
+    n = 5_000
+    edges = [(f"n{i:05}", f"n{i + 1:05}") for i in range(n - 1)] + [(f"n{n - 1:05}", f"n{n - 5:05}"), ("n00007", "n00007")]
+    nodes = spark.createDataFrame([(f"n{i:05}",) for i in range(n)] + [("alone",)], "path string")
+    began = time.time()
+    got = {r.path: r.component for r in graph.scc(nodes, spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert time.time() - began < 60
+    last = {f"n{i:05}": f"n{n - 5:05}" for i in range(n - 5, n)}
+    assert got == {f"n{i:05}": f"n{i:05}" for i in range(n - 5)} | last | {"alone": "alone"}
+
+
+def test_components_of_large_graphs_match_one_task(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(f"a{rng.randrange(30)}", f"a{rng.randrange(30)}") for _ in range(45)] + [(f"b{i}", f"b{(i + 1) % 6}") for i in range(6)] + [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("c4", "c4")]
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    nodes = spark.createDataFrame([(p,) for p in sorted({x for e in edges for x in e} | {"z"})], "path string")
+    run = lambda most: {r.path: r.component for r in graph.scc(nodes, frame, most).collect()}
+    whole = run(1_000)
+    assert run(10) == whole  # some weak components in a task each, the large one coloured
+    assert whole["b3"] == "b0" and whole["c2"] == "c1" and whole["z"] == "z"
+
+
+def test_ranges_are_looked_up_in_sorted_lines(spark):
+    import random
+
+    rng = random.Random(5)
+    lines = [(p, k, rng.randint(0, 1)) for p in "ab" for k in sorted(rng.sample(range(1, 400), 120))]
+    ranges = [(c, rng.choice("abc"), rng.randint(1, 420), rng.randint(0, 90)) for c in range(60)]
+    out = coverage.changed_lines(spark.createDataFrame(ranges, "change_id int, path string, start long, span long"), spark.createDataFrame(lines, "path string, line long, hits long"))
+    got = {r.change_id: (r.path, r.changed, r.found, r.hit) for r in out.collect()}
+    for c, p, start, span in ranges:
+        if span:
+            inside = [h for q, k, h in lines if q == p and start <= k < start + span]
+            assert got.pop(c) == (p, span, None if p == "c" else len(inside), None if p == "c" else sum(h > 0 for h in inside))
+    assert not got

@@ -85,6 +85,28 @@ def test_markdown_stays_bounded():
     assert "exceeded the safe size" in reports.markdown(base | {"findings": [finding], "limitations": ["x" * 70_000]})
 
 
+def test_page_tells_evidence_and_guidance():
+    finding = {"id": "r:1:finding", "severity": "high", "rule_id": "r", "title": "<t>", "explanation": "e", "remediation": "do & see", "affected_paths": ["p"], "evidence_ids": ["r:1:evidence", "gone"], "weight": 2.0}
+    evidence = {"id": "r:1:evidence", "kind": "file-category", "summary": "1 file", "data": '{"fileCount": 1}', "source_paths": ["p"]}
+    file = {"path": "p", "previous_path": "o", "status": "renamed", "additions": 1, "deletions": 2, "categories": ["source", "test"]}
+    result = {"base": "b", "head": "h", "score": 2.0, "classification": "low", "files": [file], "findings": [finding], "evidence": [evidence], "contributions": [], "limitations": []}
+    out = reports.page(result, {"nodes": [{"path": "p", "distance": 0}], "edges": [], "truncated": True, "unindexed": ["u.ts"]})
+    for part in ("&lt;t&gt;", "do &amp; see", "#evidence-1", "gone", "1 file", "&quot;fileCount&quot;: 1", "source, test", "from o", "u.ts", "incomplete"):
+        assert part in out, part
+    assert json.loads(reports.as_json(result))["evidence"][0]["data"] == {"fileCount": 1}
+
+
+def test_results_carry_their_evidence(spark):
+    files = spark.createDataFrame([(1, "package.json", "modified", 1, 1), (1, "src/a.ts", "added", 900, 0)], "change_id int, path string, status string, additions long, deletions long")
+    changes = spark.createDataFrame([(1, "b", "h"), (2, "b", "h")], "change_id int, base string, head string")
+    out = {r.change_id: r for r in analyze(changes, rules.Facts(files)).collect()}
+    one = out[1]
+    assert [e.id for e in one.evidence] == [i for f in one.findings for i in f.evidence_ids] == ["dependency-manifest:1:evidence", "large-change:1:evidence"]
+    assert all(f.explanation.endswith(".") and f.remediation.endswith(".") for f in one.findings)
+    assert json.loads(one.evidence[1].data) == {"fileCount": 2, "lineCount": 902, "maxFiles": 20, "maxLines": 500}
+    assert out[2].evidence == [] and out[2].findings == []
+
+
 def test_stream_of_changes(spark, tmp_path):
     schema = "change_id int, path string, status string, additions long, deletions long"
     for k in range(2):

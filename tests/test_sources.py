@@ -193,7 +193,19 @@ def test_trees(spark, tmp_path):
         at = tmp_path / "tree" / p
         at.parent.mkdir(parents=True, exist_ok=True)
         at.write_text("text of " + p)
-    found, more = trees.discover(spark, str(tmp_path / "tree"))
-    assert {r.path: r.text for r in found.collect()} == {"src/a.ts": "text of src/a.ts", "src/e.d.mts": "text of src/e.d.mts"} and not more
-    found, more = trees.discover(spark, str(tmp_path / "tree"), "python", 1)
-    assert [r.path for r in found.collect()] == ["src/c.py"] and not more
+    (tmp_path / "tree" / "src" / "link.ts").symlink_to(tmp_path / "tree" / "src" / "a.ts")
+    look = lambda *args, **more: [sorted(map(tuple, x.collect())) for x in trees.discover(spark, str(tmp_path / "tree"), *args, **more)]
+    link = ("symlink-skipped", "src/link.ts")
+    assert look() == [[("src/a.ts", "text of src/a.ts"), ("src/e.d.mts", "text of src/e.d.mts")], [link]]
+    assert look("python", 1) == [[("src/c.py", "text of src/c.py")], [link]]
+    assert look(max_files=1) == [[("src/a.ts", "text of src/a.ts")], [("file-limit", None), link]]
+    assert look(max_entries=2) == [[("src/a.ts", "text of src/a.ts")], [("entry-limit", None), link]]
+
+
+def test_sources_with_faults_keep_their_imports():
+    source = "import a from 'a';\nfunction f( {\nimport b from './b';\n}\nconst s = 'open\nexport * from 'c'\n`never closed ${x"
+    with pytest.raises(ParseError) as error:
+        typescript_modules.imports("x.ts", source)
+    assert error.value.issues[0][0] == "parse-error"
+    assert [r[2] for r in error.value.rows] == ["a", "./b", "c"]
+    assert [r[2] for r in typescript_modules.imports("x.ts", "import a from 'a'\nexport { b } from './b'")] == ["a", "./b"]
