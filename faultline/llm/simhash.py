@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, shuffle_parts, slices, stash, unstash, without_rows
+from .common import HOT_KEYS, join_hot, shuffle_parts, slices, stash, unstash, without_rows
 from .windows import ANCHORS, PER_BLOCK, PLACE, Rolling, by_anchor, keyed, marked, mix, repeated, with_marks, word_units
 
 BUDGET = 3
@@ -459,7 +459,7 @@ def near_copies(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = S
     smallest shingle hashes that another set has too, the tries bring the pairs
     within the budget, and the whole sets decide. A key of more than ``per_block``
     different sets is dealt to blocks; one set of each tree of a block then meets
-    those of the key's other blocks.
+    those of the key's other blocks, again in blocks of that size.
     """
     made = stash(sketches(docs, size), "sketches")
     nodes = stash(made.groupBy("node").agg(F.min(F.struct("id", "fold")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")), "nodes")
@@ -468,8 +468,11 @@ def near_copies(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = S
     sets = with_marks(docs, marks).mapInArrow(_whole_sets(size), "h long, salt long, split boolean, node long, fp long, members binary")
     found = stash(sets.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_joined(similarity, budget, False), NEAR), "near")
     unstash(marks)
-    rest = found.where("other IS NULL").select("h", F.lit(0).cast("long").alias("salt"), F.lit(True).alias("split"), F.col("fp").alias("node"), F.col("sig").alias("fp"), "members")
-    met = stash(rest.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_joined(similarity, budget, True), NEAR), "met")
+    rest = found.where("other IS NULL").select("h", F.lit(True).alias("split"), F.col("fp").alias("node"), F.col("sig").alias("fp"), "members")
+    crowded = rest.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > per_block).orderBy(F.desc("n"), "h").limit(HOT_KEYS)
+    dealt = rest.join(F.broadcast(crowded), "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / per_block)), F.lit(0).cast("long")))
+    dealt = dealt.select("h", "salt", "split", "node", "fp", "members").repartition(parts, "h", "salt").sortWithinPartitions("h", "salt")
+    met = stash(dealt.mapInArrow(_joined(similarity, budget, True), NEAR), "met")
     label = components(found.where("other IS NOT NULL").select("fp", "other").unionByName(met.select("fp", "other")))
     named = stash(nodes.join(label.withColumnRenamed("node", "named"), F.col("node") == F.col("named"), "left").select("node", "first", "n", F.coalesce("label", "node").alias("label")), "named")
     firsts = named.groupBy("label").agg(F.min("first").alias("first"))
