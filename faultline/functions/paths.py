@@ -44,3 +44,11 @@ def valid_path(path: Column, longest: int = 1_000, dots: bool = False) -> Column
     parts = F.split(path, "/", -1)
     bad = ("", "..") if dots else ("", ".", "..")
     return path.isNotNull() & utf16_length(path).between(1, longest) & ~path.contains("\\") & ~path.contains("\0") & ~F.exists(parts, lambda s: s.isin(*bad))
+
+
+def valid_module_path(path: Column, root: bool = False) -> Column:
+    """P14 for graphs: relative and in normal form (a closing slash and a single dot stay); ``root`` permits the empty path."""
+    inner = F.regexp_replace(path, r"/\z", "")
+    normal = path.isin(".", "./") | (inner != "") & ~F.exists(F.split(inner, "/", -1), lambda s: s.isin("", ".", ".."))
+    ok = path.isNotNull() & ~path.contains("\\") & ~path.contains("\0") & normal
+    return ok | (path == "") if root else ok

@@ -10,12 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import valid_module_path
 from ..plans.cut import cut, is_empty
 from .ownership import ignore
 
 
-def construct(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """G1: distinct edges; unknown endpoints and duplicate nodes are errors."""
+def construct(nodes: DataFrame, edges: DataFrame, max_nodes: int | None = None, max_edges: int | None = None) -> DataFrame:
+    """G1: distinct edges; invalid paths, unknown endpoints, duplicate nodes and graphs beyond their limits are errors."""
+    for rows, most, what in ((nodes, max_nodes, "node"), (edges, max_edges, "edge")):
+        if most is not None and rows.limit(most + 1).count() > most:
+            raise ValueError(f"graph {what} limit exceeded")
+    if not is_empty(nodes.where(~F.coalesce(valid_module_path(F.col("path")), F.lit(False)))):
+        raise ValueError("graph nodes must be valid paths")
     if not is_empty(nodes.groupBy("path").count().where("count > 1")):
         raise ValueError("graph nodes must be unique")
     ends = edges.select(F.col("src").alias("path")).union(edges.select("dst"))
@@ -24,6 +30,11 @@ def construct(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["src", "dst"])
 
 
+def listed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph's nodes and edges in path order."""
+    return nodes.select("path").orderBy("path"), edges.select("src", "dst").orderBy("src", "dst")
+
+
 def from_imports(imports: DataFrame) -> DataFrame:
     """An edge per internal import with a target."""
     return imports.where("resolution = 'internal' AND target_path IS NOT NULL").select(F.col("path").alias("src"), F.col("target_path").alias("dst")).distinct()

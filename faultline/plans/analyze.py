@@ -30,6 +30,12 @@ def issue_limitations(issues: DataFrame, what: str) -> DataFrame:
     return issues.select(F.col("key").alias("change_id"), F.concat(F.lit(f"{what} unavailable: "), "issue", line, F.lit(".")).alias("limitation"))
 
 
+def module_limitations(issues: DataFrame, what: str = "Language analysis issue") -> DataFrame:
+    """limitation for issues of modules (issue and, where there is one, path)."""
+    path = F.when(F.col("path").isNotNull(), F.concat(F.lit(" ("), "path", F.lit(")"))).otherwise("")
+    return issues.select(*[c for c in issues.columns if c not in ("issue", "path")], F.concat(F.lit(f"{what}: "), "issue", path, F.lit(".")).alias("limitation"))
+
+
 def prepared(files: DataFrame, config: Config) -> DataFrame:
     """Changed files without the ignored ones, classified."""
     kept = ownership.ignore(files, list(config.ignore)) if config.ignore else files

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import valid_path
+from ..functions.paths import valid_module_path, valid_path
 from ..operators import checks, coverage, evaluation, graph, ownership, rules, scoring
 from ..sinks import reports
 from ..sources import coverage as lcov_files
@@ -18,7 +18,7 @@ from ..sources import diffs, owners, typescript_modules
 from ..sources.bridge import fact
 from ..sources.texts import parse
 from . import queries as base
-from .analyze import LIMITATIONS, analyze, index
+from .analyze import LIMITATIONS, analyze, index, issue_limitations, module_limitations
 from .queries import DEPTH, FAN_IN, FILES, HAS, METRICS, ORACLES, _recursive, query
 from .surface import public_surface
 
@@ -496,9 +496,31 @@ def owners_of_changes(spark, sf_dir):
     return ownership.match(base.files(spark, sf_dir), [("/docs/", ["@docs"])], unrolled=0).select("path", F.array_join("owners", ",").alias("owners"))
 
 
-@query("SELECT path, NOT EXISTS (SELECT 1 FROM graph_edges e WHERE e.src = m.path AND e.dst NOT IN (SELECT path FROM modules)) AS known FROM modules m", "modules", "graph_edges")
+@query("SELECT src, dst FROM graph_edges", "graph_edges")
 def graph_construction(spark, sf_dir):
-    """A graph's nodes and edges, checked."""
+    """A graph's edges, checked against its nodes."""
     nodes = fact(spark, sf_dir, "modules").select("path")
-    edges = graph.construct(nodes, fact(spark, sf_dir, "graph_edges"))
-    return nodes.join(edges.select(F.col("src").alias("path")).distinct().withColumn("k", F.lit(True)), "path", "left").select("path", F.lit(True).alias("known"))
+    made = fact(spark, sf_dir, "graph_edges")
+    return graph.listed(nodes, graph.construct(nodes, made.unionByName(made)))[1]
+
+
+NORMAL = ["a/b", "a/b/", ".", "./", "./a", "a/./b", "a/../b", "..", "../a", "/a", "", "a//b", "a\\b", "a" * 2_000]
+NORMAL_OK = [True, True, True, True, False, False, False, False, False, False, False, False, False, True]
+
+
+@query("SELECT c.change_id, k, v AS valid FROM (SELECT change_id FROM changes WHERE change_id % 100 = 1) c, (SELECT unnest(range(0, " + str(len(NORMAL)) + ")) AS k, unnest([" + ", ".join(str(x).lower() for x in NORMAL_OK) + "]) AS v)", "changes")
+def module_path_validity(spark, sf_dir):
+    """P14, for graphs."""
+    paths = spark.createDataFrame(list(enumerate(NORMAL)), "k int, p string")
+    rows = fact(spark, sf_dir, "changes").where("change_id % 100 = 1").select("change_id").crossJoin(F.broadcast(paths))
+    return rows.select("change_id", "k", valid_module_path(F.col("p")).alias("valid"))
+
+
+@query(f"WITH {TS_MODULES} SELECT path, concat('Language analysis issue: parse-error (', path, ').') AS limitation FROM ts WHERE part_key % 5 = 0 UNION ALL SELECT folder, concat('Coverage evidence unavailable: summary-mismatch (line 5).') FROM (SELECT DISTINCT split_part(path, '/', 1) AS folder FROM modules)", "modules")
+def limitations(spark, sf_dir):
+    """What parse issues become in a result."""
+    issues = _index(spark, sf_dir).issues.select(F.split("key", "\x1f")[1].alias("at"), F.split("key", "\x1f")[1].alias("path"), "issue")
+    language = module_limitations(issues).select(F.col("at").alias("path"), "limitation")
+    folders = fact(spark, sf_dir, "modules").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).distinct()
+    _, broken = parse(folders.select("folder", F.lit(LCOV_FAULTS[4][0]).alias("text")), "folder", lcov_files.lcov, "path string, lines_found long, lines_hit long, line_no long, hits long")
+    return language.unionByName(issue_limitations(broken, "Coverage evidence").select(F.col("change_id").alias("path"), "limitation"))

@@ -11,9 +11,10 @@ from ..sources import typescript_modules
 from ..sources.texts import parse
 from .cut import cut
 
-#: Bytes of a source that is read at a revision.
+# Bytes of a source that is read at a revision, and what limitations say.
 MAX_BYTES = 4_000_000
 SCOPE = "Public-surface comparison is limited to changed conventional index modules."
+BROKEN = "Public-surface comparison issue: %s (%s)."
 UNREAD = "Public-surface source could not be read at an analyzed revision (%s)."
 _SEPARATOR = "\x1f"
 
@@ -36,8 +37,10 @@ def public_surface(files: DataFrame, snapshots: DataFrame, max_bytes: int = MAX_
     rows, issues = parse(read.where("text IS NOT NULL").select(key.alias("k"), "path", "text"), "k", typescript_modules.exports, typescript_modules.EXPORTS, ("path", "text"))
     part = lambda n: F.split("key", _SEPARATOR)[n]
     change_id = part(0).cast(files.schema["change_id"].dataType).alias("change_id")
-    unread = read.where("text IS NULL").select("change_id", "path")
-    lost = unread.unionByName(issues.select(change_id, part(2).alias("path"))).distinct()
+    unread = read.where("text IS NULL").select("change_id", "path").distinct()
+    broken = issues.select(change_id, part(2).alias("path"), "issue").distinct()
+    lost = unread.unionByName(broken.drop("issue")).distinct()
     found = rows.select(change_id, part(1).alias("side"), "path", "name", "signature").join(lost, ["change_id", "path"], "left_anti")
-    notes = lost.select("change_id", F.format_string(UNREAD, "path").alias("limitation"))
+    notes = unread.select("change_id", F.format_string(UNREAD, "path").alias("limitation"))
+    notes = notes.unionByName(broken.select("change_id", F.format_string(BROKEN, "issue", "path").alias("limitation")))
     return export_changes(found), notes.unionByName(files.select("change_id").distinct().select("change_id", F.lit(SCOPE).alias("limitation")))
