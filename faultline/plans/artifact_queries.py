@@ -14,11 +14,12 @@ from ..functions.paths import valid_module_path, valid_path
 from ..operators import checks, coverage, evaluation, graph, ownership, rules, scoring
 from ..sinks import reports
 from ..sources import coverage as lcov_files
-from ..sources import diffs, owners, typescript_modules
+from ..sources import diffs, owners, records, typescript_modules
 from ..sources.bridge import fact
 from ..sources.texts import parse
 from . import queries as base
 from .analyze import LIMITATIONS, analyze, index, issue_limitations, module_limitations
+from .cut import shared_folder
 from .queries import DEPTH, FAN_IN, FILES, HAS, METRICS, ORACLES, _recursive, query
 from .surface import public_surface
 
@@ -258,7 +259,7 @@ RESULTS = """found AS (SELECT DISTINCT case_id AS change_id, rule_id, concat(rul
   UNION ALL SELECT 'finding-without-contribution', f.finding_id FROM findings f WHERE NOT EXISTS (SELECT 1 FROM contributions c WHERE c.change_id = f.change_id AND c.rule_id = f.rule_id AND c.finding_id = f.finding_id)
   UNION ALL SELECT 'contribution-without-finding', c.finding_id FROM contributions c WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE c.change_id = f.change_id AND c.rule_id = f.rule_id AND c.finding_id = f.finding_id)
   UNION ALL SELECT 'score-differs', CAST(s.change_id AS VARCHAR) FROM scores s LEFT JOIN (SELECT change_id, sum(weight) AS t FROM contributions GROUP BY change_id) USING (change_id) WHERE abs(score - coalesce(t, 0)) > 1e-9""", "case_findings")
-def seeded_result_integrity(spark, sf_dir):
+def result_integrity(spark, sf_dir):
     found = fact(spark, sf_dir, "case_findings").select(F.col("case_id").alias("change_id"), "rule_id").distinct().withColumn("finding_id", F.concat("rule_id", F.lit(":1:finding")))
     findings = found.unionByName(found.where("change_id % 11 = 0 AND rule_id = 'migration'"))
     renamed = F.when(F.col("change_id") % 17 == 0, "another").otherwise(F.col("rule_id"))
@@ -267,16 +268,6 @@ def seeded_result_integrity(spark, sf_dir):
     return checks.result_integrity(findings, contributed, scored)
 
 
-@query(f"""{base.with_clause(*base._scored).replace("WITH ", "WITH RECURSIVE ", 1)}, {base.SCORED}
-  SELECT 'score-differs' AS "check", CAST(change_id AS VARCHAR) AS key FROM (SELECT s.change_id, s.score, coalesce(sum(c.weight), 0) AS t FROM scores s LEFT JOIN contributions c USING (change_id) GROUP BY s.change_id, s.score) WHERE abs(score - t) > 1e-9
-  UNION ALL SELECT 'duplicate-finding', concat(change_id, '/', finding_id) FROM findings GROUP BY change_id, finding_id HAVING count(*) > 1""")
-def result_integrity(spark, sf_dir):
-    """The engine's own results account for themselves: no row on either side."""
-    found = base.cut(base._findings(spark, sf_dir))
-    contributed = base.cut(scoring.contributions(found))
-    return checks.result_integrity(found, contributed, scoring.scores(fact(spark, sf_dir, "changes"), contributed))
-
-
 # V8: label records with faults, seeded by the case's number
 LABELS = """labels_s AS (SELECT case_id, left_tier, right_tier, insufficient, CASE WHEN case_id % 5 = 0 THEN (left_tier + 2) % 4 WHEN case_id % 31 = 0 THEN NULL ELSE resolved END AS resolved,
   'r1' AS left_reviewer, CASE WHEN case_id % 9 = 0 THEN 'r1' ELSE 'r2' END AS right_reviewer,
@@ -297,7 +288,7 @@ LABEL_FAULTS = {
 
 
 @query(f"WITH {LABELS} " + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", CAST(case_id AS VARCHAR) AS key FROM labels_s WHERE {w}" for k, w in LABEL_FAULTS.items()), "labels_r")
-def seeded_label_checks(spark, sf_dir):
+def label_checks(spark, sf_dir):
     rows = spark.sql("SELECT * FROM (" + LABELS.split(" AS (", 1)[1][:-1].replace("FROM labels_r", "FROM {labels_r}") + ")", labels_r=fact(spark, sf_dir, "labels_r"))
     return checks.labels(rows)
 
@@ -320,7 +311,7 @@ CASE_FAULTS = {
 
 
 @query(f"WITH {CASES} " + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", CAST(case_id AS VARCHAR) AS key FROM cases_s WHERE {w}" for k, w in CASE_FAULTS.items()) + " UNION ALL SELECT 'limitation-too-long', CAST(case_id AS VARCHAR) FROM case_limitations WHERE case_id % 8 = 0", "cases", "case_limitations")
-def seeded_case_checks(spark, sf_dir):
+def case_checks(spark, sf_dir):
     rows = spark.sql("SELECT * FROM (" + CASES.split(" AS (", 1)[1][:-1].replace("FROM cases", "FROM {cases}") + ")", cases=fact(spark, sf_dir, "cases"))
     said = fact(spark, sf_dir, "case_limitations").withColumn("limitation", F.when(F.col("case_id") % 8 == 0, F.repeat(F.lit("x"), 5_000)).otherwise(F.col("limitation")))
     return checks.cases(rows, fact(spark, sf_dir, "case_findings"), said)
@@ -350,7 +341,7 @@ FACT_FAULTS = f"""owned AS (SELECT change_id, path, CASE WHEN change_id % 9 = 0
   UNION ALL SELECT 'coverage-missing', path FROM eligible WHERE change_id % 5 = 0
   UNION ALL SELECT 'coverage-unexpected', path FROM (SELECT DISTINCT change_id, path FROM files EXCEPT SELECT change_id, path FROM eligible) WHERE change_id % 7 = 0
   UNION ALL SELECT 'area-invalid', 'empty'""", "changed_files", "changes", "coverage_records")
-def seeded_fact_checks(spark, sf_dir):
+def fact_checks(spark, sf_dir):
     files = base.files(spark, sf_dir)
     records = fact(spark, sf_dir, "coverage_records")
     good = coverage.with_records(coverage.eligible(files), records).where("change_id % 5 <> 0")
@@ -438,6 +429,26 @@ def _reports(spark, sf_dir, formatter) -> DataFrame:
     return reports.render(results, formatter).select(F.col("change_id").cast("long").alias("change_id"), "report")
 
 
+@query(f"""WITH {FILES} SELECT change_id, CASE WHEN n > 0 THEN 25 ELSE 0 END AS score, CASE WHEN n > 0 THEN 'moderate' ELSE 'low' END AS classification, coalesce(k, 0) AS files, ps AS paths, CASE WHEN n > 0 THEN n END AS counted, CASE WHEN n > 0 THEN 'migration:1:finding' END AS finding, 2 AS limitations
+  FROM (SELECT DISTINCT change_id FROM changes) c LEFT JOIN (SELECT change_id, count(*) AS k, count(*) FILTER ({HAS('migration')}) AS n, string_agg(path, ',' ORDER BY path) FILTER ({HAS('migration')}) AS ps FROM files GROUP BY change_id) USING (change_id)""", "changed_files", "changes")
+def json_reports(spark, sf_dir):
+    """K1: the report read back."""
+    kind = "struct<score: long, classification: string, files: array<struct<path: string>>, evidence: array<struct<id: string, data: struct<fileCount: long>>>, findings: array<struct<id: string, affected_paths: array<string>>>, limitations: array<string>>"
+    read = _reports(spark, sf_dir, reports.as_json).select("change_id", F.from_json("report", kind).alias("r"))
+    first = lambda c: F.get(F.col(c), 0)
+    return read.select("change_id", F.col("r.score").cast("int").alias("score"), "r.classification", F.size("r.files").cast("long").alias("files"), F.array_join(first("r.findings")["affected_paths"], ",").alias("paths"), first("r.evidence")["data"]["fileCount"].alias("counted"), first("r.findings")["id"].alias("finding"), F.size("r.limitations").alias("limitations"))
+
+
+@query(f"""WITH {FILES} SELECT change_id, CASE WHEN n > 0 THEN 'MODERATE (25)' ELSE 'LOW (0)' END AS head, CASE WHEN n > 0 THEN concat(n, ' changed file(s) matched migration') ELSE '' END AS evidence, coalesce(ps, '') AS files
+  FROM (SELECT DISTINCT change_id FROM changes) c LEFT JOIN (SELECT change_id, count(*) FILTER ({HAS('migration')}) AS n, string_agg(concat('<code>', path, '</code> ', status, ' [', array_to_string(categories, ', '), '] +', additions, ' −', deletions), '|' ORDER BY path) AS ps FROM files GROUP BY change_id) USING (change_id)""", "changed_files", "changes")
+def html_pages(spark, sf_dir):
+    """K4: the parts of the page that tell the class, the evidence and the files."""
+    read = _reports(spark, sf_dir, reports.page)
+    part = lambda pattern: F.regexp_extract("report", pattern, 1)
+    files = F.regexp_replace(part("<h2>Changed files</h2><ul><li>(.*?)</li></ul>"), "</li><li>", "|")
+    return read.select("change_id", part("<h1>(.*?)</h1>").alias("head"), part("evidence</code> (.*?)</summary>").alias("evidence"), files.alias("files"))
+
+
 _escaped = lambda c: f"replace(replace({c}, '_', '&#95;'), '*', '&#42;')"
 
 
@@ -524,3 +535,55 @@ def limitations(spark, sf_dir):
     folders = fact(spark, sf_dir, "modules").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).distinct()
     _, broken = parse(folders.select("folder", F.lit(LCOV_FAULTS[4][0]).alias("text")), "folder", lcov_files.lcov, "path string, lines_found long, lines_hit long, line_no long, hits long")
     return language.unionByName(issue_limitations(broken, "Coverage evidence").select(F.col("change_id").alias("path"), "limitation"))
+
+
+@query(
+    """WITH f AS (SELECT case_id, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM case_findings GROUP BY case_id), l AS (SELECT case_id, count(*) AS n FROM case_limitations GROUP BY case_id)
+  SELECT CAST(c.case_id AS VARCHAR) AS case_id, CAST(repository_id AS VARCHAR) AS repository_id, sequence_no, language, profile, packs, configuration_digest, stratum, split, status, reason, score, classification, CASE WHEN status = 'complete' THEN files END AS files, CASE WHEN status = 'complete' THEN lines END AS lines,
+    left_tier, right_tier, CASE WHEN insufficient THEN NULL ELSE resolved END AS resolved, insufficient, CASE WHEN status = 'complete' THEN coalesce(rules, '') ELSE '' END AS rules, CASE WHEN status = 'complete' THEN coalesce(n, 0) ELSE 0 END AS notes
+  FROM (SELECT * REPLACE (CASE WHEN status = 'complete' THEN score END AS score, CASE WHEN status = 'complete' THEN classification END AS classification) FROM cases) c JOIN labels_r USING (case_id) LEFT JOIN f ON f.case_id = c.case_id LEFT JOIN l ON l.case_id = c.case_id""",
+    "cases", "labels_r", "case_findings", "case_limitations",
+)
+def evaluation_corpus(spark, sf_dir):
+    """A corpus of JSON lines, written from the cases and read back."""
+    from ..functions.stats import TIERS
+
+    made: dict[str, DataFrame] = {}
+    cases, labels = fact(spark, sf_dir, "cases", made), fact(spark, sf_dir, "labels_r", made)
+    found = fact(spark, sf_dir, "case_findings", made).groupBy("case_id").agg(F.collect_list(F.struct("rule_id")).alias("findings"))
+    said = fact(spark, sf_dir, "case_limitations", made).groupBy("case_id").agg(F.collect_list("limitation").alias("limitations"))
+    names = F.array(*map(F.lit, TIERS))
+    tier = lambda c: F.get(names, F.col(c))
+    label = lambda who, c, lacking: F.struct(F.lit(who).alias("reviewer_id"), tier(c).alias("tier"), lacking.alias("insufficient"))
+    one = F.struct(F.col("lines").alias("additions"), F.lit(0).cast("long").alias("deletions"))
+    none = F.struct(F.lit(0).cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
+    files = F.concat(F.array(one), F.array_repeat(none, (F.col("files") - 1).cast("int")))
+    complete = F.col("status") == "complete"
+    result = F.when(complete, F.struct(F.col("score").cast("double").alias("score"), "classification", files.alias("changed_files"), "findings", "limitations"))
+    rows = cases.join(labels, "case_id").join(found, "case_id", "left").join(said, "case_id", "left")
+    packs = F.filter(F.split("packs", ","), lambda p: p != "")
+    line = F.struct(F.col("case_id").cast("string").alias("id"), F.col("repository_id").cast("string").alias("repository_id"), F.col("sequence_no").alias("sequence"), "language", "profile", packs.alias("policy_packs"), F.col("stratum").alias("sampling_stratum"), "split", "configuration_digest", "status", "reason", result.alias("result"), F.array(label("a", "left_tier", F.col("insufficient")), label("b", "right_tier", F.lit(False))).alias("labels"), tier("resolved").alias("resolved_tier"))
+    at = shared_folder(spark, "corpus")
+    rows.select(F.to_json(line).alias("value")).write.text(at)
+    cases, labels, found, said = records.corpus(spark, at)
+    rule = found.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
+    notes = said.groupBy("case_id").agg(F.count("*").alias("notes"))
+    out = cases.drop("duplicate_group", "base", "head").withColumn("score", F.col("score").cast("long")).join(labels, "case_id").join(rule, "case_id", "left").join(notes, "case_id", "left")
+    return out.withColumns({"rules": F.coalesce("rules", F.lit("")), "notes": F.coalesce("notes", F.lit(0).cast("long"))})
+
+
+@query("SELECT CAST(change_id AS VARCHAR) AS head, CASE WHEN change_id % 3 = 0 THEN CAST(change_id AS BIGINT) END AS number, change_id % 3 = 0 AND change_id % 2 = 0 AS same_repository FROM changes WHERE change_id % 5 <> 0", "changes")
+def ci_events(spark, sf_dir):
+    """Pull-request and push events; those without revisions are left out."""
+    rows = fact(spark, sf_dir, "changes").select("change_id")
+    head = F.col("change_id").cast("string")
+    bad = F.col("change_id") % 5 == 0
+    repo = lambda name: F.struct(name.alias("full_name"))
+    other = F.when(F.col("change_id") % 2 == 0, "o/r").otherwise("f/r")
+    pull = F.struct(F.struct(F.when(~bad, F.lit("b")).alias("sha"), repo(F.lit("o/r")).alias("repo")).alias("base"), F.struct(head.alias("sha"), repo(other).alias("repo")).alias("head"))
+    is_pull = F.col("change_id") % 3 == 0
+    event = F.struct(F.when(is_pull, F.col("change_id")).alias("number"), F.when(~is_pull & ~bad, F.lit("b")).alias("before"), F.when(~is_pull, head).alias("after"), F.when(is_pull, pull).alias("pull_request"))
+    at = shared_folder(spark, "events")
+    # a file is one JSON value, here an array of at most a thousand events
+    rows.groupBy(F.floor(F.col("change_id") / 1000).alias("k")).agg(F.to_json(F.collect_list(event)).alias("value")).write.partitionBy("k").text(at)
+    return records.events(spark, at, "o/r")[0].select("head", "number", "same_repository")

@@ -352,11 +352,6 @@ ORACLES["blast_radius"] = _recursive(
 )
 
 
-@query()
-def blast_radius_budgeted(spark, sf_dir):
-    return _blast(spark, sf_dir, max_depth=3, max_nodes=5, max_edges=3)[2].select("change_id", "changed", "graph_nodes", "graph_edges", "truncated")
-
-
 EXPORTS = """sides AS (SELECT coalesce(b.change_id, h.change_id) AS change_id, coalesce(b.path, h.path) AS path, coalesce(b.name, h.name) AS name,
   CASE WHEN b.name IS NULL THEN 'added' WHEN h.name IS NULL THEN 'removed' WHEN b.signature <> h.signature THEN 'modified' END AS change
   FROM (SELECT * FROM exports WHERE side = 'base') b FULL OUTER JOIN (SELECT * FROM exports WHERE side = 'head') h ON b.change_id = h.change_id AND b.path = h.path AND b.name = h.name),
@@ -545,14 +540,6 @@ def corpus_checks(spark, sf_dir):
     return checks.corpus(fact(spark, sf_dir, "cases", made), fact(spark, sf_dir, "labels_r", made))
 
 
-@query("""SELECT 'insufficient-but-resolved' AS "check", CAST(case_id AS VARCHAR) AS key FROM labels_r WHERE insufficient AND resolved IS NOT NULL
-  UNION ALL SELECT 'one-tier-disagreement-elsewhere', CAST(case_id AS VARCHAR) FROM labels_r WHERE abs(left_tier - right_tier) = 1 AND resolved NOT IN (left_tier, right_tier)
-  UNION ALL SELECT 'matching-tiers-changed', CAST(case_id AS VARCHAR) FROM labels_r WHERE left_tier = right_tier AND resolved <> left_tier
-  UNION ALL SELECT 'unresolved', CAST(case_id AS VARCHAR) FROM labels_r WHERE NOT insufficient AND resolved IS NULL""", "labels_r")
-def label_checks(spark, sf_dir):
-    return checks.labels(fact(spark, sf_dir, "labels_r"))
-
-
 @query(f"WITH {FILES}, {ELIGIBLE}, given AS (SELECT DISTINCT change_id, path FROM eligible JOIN coverage_records USING (path)) SELECT 'missing' AS \"check\", path AS key FROM (SELECT DISTINCT change_id, path FROM eligible EXCEPT SELECT * FROM given)", "changed_files", "coverage_records")
 def coverage_completeness(spark, sf_dir):
     want = coverage.eligible(files(spark, sf_dir)).select("change_id", "path")

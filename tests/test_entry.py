@@ -5,7 +5,8 @@ import os
 import __spark_entry__ as entry
 import duckdb
 import pytest
-from faultline.plans.queries import ORACLES, QUERIES
+from faultline.plans.artifact_queries import ORACLES
+from faultline.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
@@ -23,7 +24,7 @@ def plain(value):
     return None if value is None else f"{value:.5f}" if isinstance(value, float) else str(value)
 
 
-QUICK = [q for q in ORACLES if q not in ("findings", "contributions", "gate", "risk_classification", "result_integrity", "blast_radius")]
+QUICK = [q for q in ORACLES if q not in ("findings", "contributions", "gate", "risk_classification", "blast_radius")]
 
 
 @pytest.mark.parametrize("name", QUICK)
