@@ -533,6 +533,7 @@ def rule_cooccurrence(spark, sf_dir):
   UNION ALL SELECT 'unseen-repository-seen', CAST(repository_id AS VARCHAR) FROM repos WHERE unseen AND splits > 1
   UNION ALL SELECT 'forward-before-development', CAST(repository_id AS VARCHAR) FROM repos WHERE f <= d
   UNION ALL SELECT 'duplicate-case', CAST(case_id AS VARCHAR) FROM cases GROUP BY case_id HAVING count(*) > 1
+  UNION ALL SELECT 'too-many-cases', CAST(count(*) AS VARCHAR) FROM cases HAVING count(*) > 10000
   UNION ALL SELECT 'duplicate-sequence', concat(repository_id, '/', sequence_no) FROM cases GROUP BY repository_id, sequence_no HAVING count(*) > 1
   UNION ALL SELECT 'case-without-label', CAST(case_id AS VARCHAR) FROM cases WHERE case_id NOT IN (SELECT case_id FROM labels_r)""", *_eval)
 def corpus_checks(spark, sf_dir):
