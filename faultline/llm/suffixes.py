@@ -13,7 +13,8 @@ Every byte covered by a string of ``size`` bytes that also starts earlier goes:
 under a smaller doc_id, or earlier in the same row. Rows that share a doc_id
 are documents of their own, none of them earlier than the other, so of strings
 that only such rows share all stay. A null text is empty. A null doc_id is the
-smallest.
+smallest. Very long texts are scanned in segments; a text's places are held at
+once.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ extended again, now to whole windows, and what repeats there goes.
 Every word of every repeated window goes, its first occurrence too. A null text
 has no words. Each row is a document of its own, repeated rows and rows that
 share a doc_id too: a window that two equal rows have starts twice, so it goes
-from both. Level hashes have 64 bits.
+from both. Level hashes have 64 bits. Very long texts are scanned in segments; a
+text's words and places are held at once. A null doc_id is a doc_id like others.
 """
 
 from __future__ import annotations

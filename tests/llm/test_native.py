@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from faultline.llm import lines, queries, quality, secrets
+from faultline.llm import common, lines, queries, quality, secrets
 from pyspark.sql import functions as F
 
 from . import brute
@@ -133,5 +133,15 @@ def test_lines_match_brute_force(spark):
 
 def test_empty_tables(spark, tmp_path):
     none = save(spark, tmp_path, {})
-    for q in (queries.op1_secret_scans, queries.op3_quality_rules, queries.op6_line_dedup, queries.op2_best_fit_packing, queries.op10_simhash_near_dedup):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for q in queries.queries().values():
         assert q(spark, none).count() == 0
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    rows = spark.createDataFrame([(i, i % 3 if i < 60 else i) for i in range(90)], "row int, k int")
+    small = rows.where("k <> 61").groupBy("k").agg(F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(small, "k").select("row", "k", "n").collect()))
+    assert sorted(map(tuple, common.join_hot(rows, small, ["k"], "n").select("row", "k", "n").collect())) == want
