@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,6 +75,16 @@ def unstash(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the shuffle files behind tables that are written by now.
+
+    They go when the driver collects the plans that refer to them, which it would
+    otherwise do at some later time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_text(col: str = "text") -> Column:
     """A null text counts as the empty one."""
     return F.coalesce(F.col(col), F.lit(""))

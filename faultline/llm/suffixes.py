@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, slices, stash, unstash
+from .common import release, shuffle_parts, slices, stash, unstash
 from .windows import PER_BLOCK, RUNS, Rolling, _BYTE, byte_units, cover, finish, marked, mix, per_text, repeated, run_rows, scan, with_marks
 
 SIZE = 100
@@ -206,6 +206,7 @@ def meet_again(found: DataFrame, size: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, size: int = SIZE, per_block: int = PER_BLOCK) -> tuple[DataFrame, list[DataFrame]]:
     """id, fold, start, end of runs of bytes that occur earlier, and the stashes behind them."""
     marks = stash(repeated(scan(docs, byte_units, GRAM, size, per_block), per_block), "marks")
+    release(docs.sparkSession)
     around = with_marks(docs, marks).mapInArrow(_contexts(size), "h long, salt long, split int, id long, fold long, p0 int, p1 int, around binary")
     parts = shuffle_parts(docs.sparkSession) * 2
     dealt = around.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt")
@@ -220,6 +221,7 @@ def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     runs = stash(runs, "runs")
     for x in made:
         unstash(x)
+    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, slices, stash, unstash
+from .common import release, shuffle_parts, slices, stash, unstash
 from .windows import PER_BLOCK, RUNS, Rolling, binaries, cover, finish, marked, merged_rows, per_text, repeated, run_rows, scan, with_marks, word_units
 
 SIZE = 35
@@ -131,6 +131,7 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, per_block: int = PER_BLOCK)
     """id, fold, start, end of runs of repeated words, and the stashes behind them."""
     gram = size // 4 + 1
     marks = stash(repeated(scan(docs, word_units, gram, size, per_block), per_block), "marks")
+    release(docs.sparkSession)
     level = with_marks(docs, marks).mapInArrow(extended(size, gram), "double long, salt long, split boolean, id long, fold long, p0 int, whole binary")
     dealt = level.repartition(shuffle_parts(docs.sparkSession), "double", "salt").sortWithinPartitions("double", "salt")
     found = stash(dealt.mapInArrow(_levels(size), RUNS), "doubled")
@@ -144,6 +145,7 @@ def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     runs = stash(runs, "runs")
     for x in made:
         unstash(x)
+    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
