@@ -320,12 +320,20 @@ def _whole(found: DataFrame) -> DataFrame:
 
 
 def _of_shape(files: DataFrame, chosen: list[tuple[Rule, float, Options]]) -> DataFrame:
-    """Matches of all rules that look at a change's files, from one aggregation."""
-    entries = []
-    for rule, weight, options in chosen:
-        condition, columns = rule.shaped(options)
-        entries.append(F.when(condition, F.struct(F.lit(rule.id).alias("rule_id"), F.lit(weight).alias("weight"), *columns)))
-    return shape(files).select("change_id", F.explode(F.array_compact(F.array(*entries))).alias("m")).select("m.rule_id", "m.weight", "change_id", *[f"m.{c}" for c in MATCH])
+    """Matches of all rules that look at a change's files, from one aggregation.
+
+    A row is opened into the rules that it meets first, so that columns which
+    nobody reads are not made.
+    """
+    made = {rule.id: (weight, *rule.shaped(options)) for rule, weight, options in chosen}
+    met = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, (_, condition, _) in made.items()]))
+    rows = shape(files).withColumn("rule_id", F.explode(met))
+
+    def of_rule(values: dict[str, Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("rule_id") == name, value) for name, value in values.items()])
+
+    weight = of_rule({name: F.lit(w) for name, (w, *_) in made.items()}).alias("weight")
+    return rows.select("rule_id", weight, "change_id", *[of_rule({name: columns[k] for name, (*_, columns) in made.items()}).alias(c) for k, c in enumerate(MATCH)])
 
 
 def evaluate(facts: Facts, rules: tuple[Rule, ...] = DEFAULT_RULES, settings: Mapping[str, Setting] | None = None) -> DataFrame:
