@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -79,9 +80,11 @@ def release(spark: SparkSession) -> None:
     """Delete the shuffle files behind tables that are written by now.
 
     They go when the driver collects the plans that refer to them, which it would
-    otherwise do at some later time.
+    otherwise do at some later time. The bridge to the JVM gives up its references
+    in a thread that looks every second.
     """
     gc.collect()
+    time.sleep(2.5)
     spark.sparkContext._jvm.System.gc()
 
 
