@@ -32,7 +32,7 @@ from .windows import PER_BLOCK, RUNS, Rolling, _BYTE, byte_units, cover, finish,
 SIZE = 100
 GRAM = 28
 #: Bytes that one suffix array is built over.
-ARRAY_BYTES = 3 << 20
+ARRAY_BYTES = 2 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, doc_key, fold, shuffle_parts, slices, whole_text
 
 #: Places that a scanning task merges at once.
-MERGE_ROWS = 1_000_000
+MERGE_ROWS = 400_000
 #: Places of one anchor that one block takes.
 PER_BLOCK = 2_000
 #: A place as the scan packs it, and as the block's deal hands it to its text.
