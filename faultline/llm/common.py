@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +16,9 @@ SPACE = r"\x20\x09-\x0D"
 #: Text bytes that one vectorised step works on (longer documents go alone).
 CHUNK_BYTES = 2 << 20
 
+#: Has Spark delete the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Stands for a null doc_id, which is the smallest.
 NULL_ID = -(1 << 63)
 
@@ -50,11 +51,17 @@ def stash(df: DataFrame, label: str = "stash") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     It cuts the lineage, survives the loss of executors and keeps an
-    intermediate result that several branches read from being made twice.
+    intermediate result that several branches read from being made twice. Shuffle
+    files of the write go when it ends, not when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     atexit.register(_quietly_remove, spark, path)
@@ -76,18 +83,6 @@ def unstash(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the shuffle files behind tables that are written by now.
-
-    They go when the driver collects the plans that refer to them, which it would
-    otherwise do at some later time. The bridge to the JVM gives up its references
-    in a thread that looks every second.
-    """
-    gc.collect()
-    time.sleep(2.5)
-    spark.sparkContext._jvm.System.gc()
-
-
 def whole_text(col: str = "text") -> Column:
     """A null text counts as the empty one."""
     return F.coalesce(F.col(col), F.lit(""))

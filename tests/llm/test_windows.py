@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
-from faultline.llm import queries, suffixes, windows, word_windows
+from faultline.llm import common, queries, suffixes, windows, word_windows
 
 from . import brute
 from .fixtures import frame, save, texts
@@ -113,3 +114,21 @@ def test_block_sizes_do_not_change_places(spark, monkeypatch):
     for r in runs.collect():
         got.setdefault(r.id, set()).update(range(r.start, r.end))
     assert {d: len(got.get(d, ())) for d in docs} == dict.fromkeys(docs, 40)
+
+
+def test_a_stash_leaves_no_shuffle_files(spark):
+    """They count as disk until they go; the driver's garbage collection may be long in coming."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> set[str]:
+        files = disk.getAllFiles()
+        return {f for k in range(files.size()) if (f := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    setting = spark.conf.get(common.CLEANUP, None)
+    made = common.stash(spark.range(10_000).repartition(4, "id"), "shuffled")
+    end = time.time() + 10
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(common.CLEANUP, None) == setting
+    assert made.count() == 10_000
