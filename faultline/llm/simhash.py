@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, join_hot, shuffle_parts, slices, stash, unstash, without_rows
+from .common import join_hot, shuffle_parts, slices, stash, unstash, without_rows
 from .windows import ANCHORS, PER_BLOCK, PLACE, Rolling, by_anchor, keyed, marked, mix, repeated, with_marks, word_units
 
 BUDGET = 3
@@ -39,6 +39,8 @@ SHINGLE = 3
 MAX_GROUP = 20_000
 #: Node pairs that a step of the traversal holds at once.
 MAX_PAIRS = 1_000_000
+#: Pairs that two nodes make at most where the near copies' tries end; their budget cuts little below.
+LEAF = 64
 #: Words of a shingle and similarity of near copies.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Smallest shingle hashes of a set that tries are dealt by. Two sets of the similarity share none of them with a chance of 0.2^8.
@@ -129,17 +131,23 @@ class Forest:
             self.root[high[order][first]] = low[order][first]
 
 
-def close_pairs(fps: np.ndarray, groups: np.ndarray, budget: int, max_pairs: int = MAX_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(fps: np.ndarray, groups: np.ndarray, budget: int, max_pairs: int = MAX_PAIRS, sides: np.ndarray | None = None, leaf: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places within the budget; ``fps`` are sorted uint64 within equal ``groups``.
 
     Nodes are runs of the sorted array; a pair of nodes (a, b) is four ends and
-    the bits differing so far. Pairs of single fingerprints are settled at once.
+    the bits differing so far. Nodes that make at most ``leaf`` pairs are settled at once.
+    With ``sides`` (0 or 1, and sorted by them first) a group of two sides gives
+    the pairs between them only.
     """
     n = len(fps)
-    edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if n else np.zeros(1, np.int64)
+    run = groups if sides is None else 2 * groups + sides
+    edges = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True]) if n else np.zeros(1, np.int64)
     lo, hi = edges[:-1], edges[1:]
-    big = hi - lo > 1
-    stack = [(63, lo[big], hi[big], lo[big], hi[big], np.zeros(int(big.sum()), np.int8))]
+    two = groups[lo[1:]] == groups[lo[:-1]]  # this run and the next are sides of one group
+    one = np.flatnonzero((hi - lo > 1) & ~(np.r_[two, False] | np.r_[False, two])[: len(lo)])
+    two = np.flatnonzero(two)
+    first, second = np.r_[one, two], np.r_[one, two + 1]
+    stack = [(63, lo[first], hi[first], lo[second], hi[second], np.zeros(len(first), np.int8))]
     ones: dict[int, np.ndarray] = {}
     while stack:
         bit, a, b, c, d, diff = stack.pop()
@@ -147,12 +155,19 @@ def close_pairs(fps: np.ndarray, groups: np.ndarray, budget: int, max_pairs: int
             half = len(a) // 2
             stack += [(bit, a[:half], b[:half], c[:half], d[:half], diff[:half]), (bit, a[half:], b[half:], c[half:], d[half:], diff[half:])]
             continue
-        single = (b - a == 1) & (d - c == 1) & (a != c)
-        if single.any():
-            i, j = a[single], c[single]
-            near = np.bitwise_count(fps[i] ^ fps[j]) <= budget
-            yield i[near], j[near]
-            a, b, c, d, diff = (x[~single] for x in (a, b, c, d, diff))
+        small = ((b - a) * (d - c) <= leaf) & (a != c)
+        if small.any():
+            leaves, step = np.flatnonzero(small), max(1, max_pairs // leaf)
+            for s in range(0, len(leaves), step):
+                at = leaves[s : s + step]
+                wide = d[at] - c[at]
+                n = (b[at] - a[at]) * wide
+                k, inside = np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                wide = np.repeat(wide, n)
+                i, j = a[k] + inside // wide, c[k] + inside % wide
+                near = np.bitwise_count(fps[i] ^ fps[j]) <= budget
+                yield i[near], j[near]
+            a, b, c, d, diff = (x[~small] for x in (a, b, c, d, diff))
         if not len(a):
             continue
         if bit < 0:  # equal fingerprints: every pair of the two nodes
@@ -367,20 +382,44 @@ def _whole_sets(size: int):
                 i = row - first
                 sets = [hashes[x:y].astype(np.uint32).tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 node, fp = _nodes(hashes, at), _fps(hashes, at).view(np.int64)
-                columns = [marks["h"], marks["salt"], marks["split"] > 0, node[i], fp[i]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array([sets[k] for k in i.tolist()], pa.binary())], names=["h", "salt", "split", "node", "fp", "members"])
+                columns = [marks["h"], marks["salt"], marks["split"] > 0, node[i], fp[i], node[i]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array([sets[k] for k in i.tolist()], pa.binary())], names=["h", "salt", "flag", "node", "fp", "label", "members"])
 
     return run
 
 
-def similar_roots(fps: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], similarity: float, budget: int) -> np.ndarray:
-    """Root index of each set within its group.
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Whether a set has an odd number of members in each of 512 bins, packed. Two sets differ in at least as many members as bins."""
+    size = np.array([len(x) for x in sets], np.int64)
+    out = np.empty((len(sets), 8), np.uint64)
+    for k in range(0, len(sets), 2_000):
+        n = size[k : k + 2_000]
+        bins = (np.concatenate([*sets[k : k + 2_000], np.zeros(0, np.uint32)]) % 512).astype(np.int64)
+        count = np.bincount(np.repeat(np.arange(len(n)) * 512, n) + bins, minlength=len(n) * 512)
+        out[k : k + 2_000] = np.packbits((count & 1).astype(np.uint8).reshape(-1, 512), axis=1).view(np.uint64)
+    return out
+
+
+def similar_roots(fps: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], similarity: float, budget: int, sides: np.ndarray | None = None, labels: np.ndarray | None = None) -> np.ndarray:
+    """Root index of each set within its group; sets of one of its ``labels`` are one tree to begin with.
 
-    Of the pairs that the tries bring, one of each two trees is checked at a
-    time, so that members of one cluster are not compared all with all.
+    Of the pairs that the tries bring, those whose sizes and parities allow the
+    similarity are left, and a few of each tree are checked at a time, so that
+    members of one cluster are not compared all with all.
     """
     forest = Forest(len(fps))
-    for i, j in close_pairs(fps, groups, budget):
+    if labels is not None:
+        order = np.lexsort((labels, groups))
+        same = (labels[order][1:] == labels[order][:-1]) & (groups[order][1:] == groups[order][:-1])
+        head = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0))
+        forest.union(order, order[head])
+    size, parity = np.array([len(x) for x in sets], np.int64), _parities(sets)
+    for i, j in close_pairs(fps, groups, budget, sides=sides, leaf=LEAF):
+        apart = (forest.find(i) != forest.find(j)) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        i, j = i[apart], j[apart]
+        differ = sum((np.bitwise_count(parity[i, k] ^ parity[j, k]).astype(np.int32) for k in range(8)), np.zeros(len(i), np.int32))
+        near = differ <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        i, j, many = i[near], j[near], 1
         while len(i):
             a, b = forest.find(i), forest.find(j)
             apart = a != b
@@ -388,16 +427,18 @@ def similar_roots(fps: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], s
             if not len(i):
                 break
             order = np.lexsort((low, high))
+            at = np.arange(len(order))
+            rank = at - np.maximum.accumulate(np.where(np.r_[True, high[order][1:] != high[order][:-1]], at, 0))
             pick = np.zeros(len(i), bool)
-            pick[order[np.r_[True, high[order][1:] != high[order][:-1]]]] = True
+            pick[order[rank < many]] = True
             alike = np.array([_similar(sets[x], sets[y], similarity) for x, y in zip(i[pick].tolist(), j[pick].tolist(), strict=True)], bool)
             forest.union(i[pick][alike], j[pick][alike])
-            i, j = i[~pick], j[~pick]
+            i, j, many = i[~pick], j[~pick], 2 * many
     return forest.find(np.arange(len(fps)))
 
 
 def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
         return False
     if not len(a):
         return True
@@ -408,23 +449,27 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 NEAR = "fp long, other long, h long, sig long, members binary"
+#: Blocks of sets that a task compares with as many others, where the blocks of one key meet.
+MEETING = 4
 
 
-def _joined(similarity: float, budget: int, last: bool):
-    """Links within blocks of sets that share a key; of split keys, one set of each tree to meet other blocks'."""
+def _joined(similarity: float, budget: int, meeting: bool):
+    """Links within blocks of sets that share a key, and all sets of split keys; ``meeting``, links between the labels of two blocks' sets."""
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h, salt, split, node, fp = (np.concatenate([x[k] for x in held]) for k in range(5))
-        members = [m for x in held for m in x[5]]
+        h, salt, flag, node, fp, label = (np.concatenate([x[k] for x in held]) for k in range(6))
+        members = [m for x in held for m in x[6]]
         group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
-        order = np.lexsort((node, fp.view(np.uint64), group))
+        order = np.lexsort((node, fp.view(np.uint64), flag & meeting, group))
         order = order[np.r_[True, (node[order][1:] != node[order][:-1]) | (group[order][1:] != group[order][:-1])]]  # equal rows once
         sets = [np.sort(np.frombuffer(members[k], np.uint32)) for k in order.tolist()]
-        root = similar_roots(fp[order].view(np.uint64), group[order], sets, similarity, budget)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        none = pa.nulls(len(moved))
-        yield pa.RecordBatch.from_arrays([pa.array(node[order[moved]]), pa.array(node[order[root[moved]]]), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], names=["fp", "other", "h", "sig", "members"])
-        stay = [] if last else order[(root == np.arange(len(root))) & split[order]]
+        known = (flag[order].astype(np.int64), label[order]) if meeting else (None, None)
+        root = similar_roots(fp[order].view(np.uint64), group[order], sets, similarity, budget, *known)
+        links = np.stack([label[order], label[order[root]]], axis=1)
+        links = np.unique(links[links[:, 0] != links[:, 1]], axis=0)
+        none = pa.nulls(len(links))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, 0])), pa.array(np.ascontiguousarray(links[:, 1])), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], names=["fp", "other", "h", "sig", "members"])
+        stay = [] if meeting else order[flag[order]]
         if len(stay):
             yield pa.RecordBatch.from_arrays([pa.array(node[stay]), pa.nulls(len(stay)).cast(pa.int64()), pa.array(h[stay]), pa.array(fp[stay]), pa.array([members[k] for k in stay.tolist()], pa.binary())], names=["fp", "other", "h", "sig", "members"])
 
@@ -432,11 +477,11 @@ def _joined(similarity: float, budget: int, last: bool):
         held: list[tuple] = []
         size, latest = 0, None
         for batch in batches:
-            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)] + [batch.column(5).to_pylist()]
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [batch.column(6).to_pylist()]
             if not len(rows[0]):
                 continue
             heads = np.flatnonzero(np.r_[(rows[0][0], rows[1][0]) != latest, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
-            reach = np.r_[0, np.cumsum([len(m) + 64 for m in rows[5]])]
+            reach = np.r_[0, np.cumsum([len(m) + 64 for m in rows[6]])]
             at = 0
             for k in heads.tolist():
                 if size + reach[k] - reach[at] >= 8 << 20:
@@ -452,29 +497,52 @@ def _joined(similarity: float, budget: int, last: bool):
     return run
 
 
+def _meetings(rows: DataFrame, per_meeting: int) -> DataFrame:
+    """The sets of split keys in every two blocks of ``per_meeting`` that must meet.
+
+    ``rows`` tell the group (label) that a set has by then. Sets of a key's largest
+    group meet all others, which also meet each other; those of one group don't.
+    """
+    of = rows.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h")
+    of = of.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    of = of.select("h", "main", F.ceil(F.col("most") / per_meeting).alias("a"), F.ceil((F.col("n") - F.col("most")) / per_meeting).alias("b"))
+    of = stash(of, "crowded")  # fewer than the places of split keys by a block's size
+    dealt = rows.join(F.broadcast(of), "h").withColumn("main", F.col("label") == F.col("main")).withColumn("hash", F.xxhash64("node"))
+    dealt = dealt.withColumn("block", F.when(F.col("main"), F.pmod("hash", "a")).otherwise(F.col("a") + F.pmod("hash", "b")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.when(F.col("main"), F.col("a")).otherwise(F.lit(0).cast("long")), F.col("a") + F.col("b") - 1)))
+    salt = F.least("block", "with") * (F.col("a") + F.col("b")) + F.greatest("block", "with")
+    return dealt.select("h", salt.alias("salt"), (F.col("block") > F.col("with")).alias("flag"), "node", "fp", "label", "members")
+
+
 def near_copies(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, budget: int = NEAR_BUDGET, per_block: int = PER_BLOCK) -> DataFrame:
     """id, fold, first (id and fold): each row's group is named by its first row.
 
     Equal sets are merged first. A set is dealt to a trie under each of its KEYS
     smallest shingle hashes that another set has too, the tries bring the pairs
     within the budget, and the whole sets decide. A key of more than ``per_block``
-    different sets is dealt to blocks; one set of each tree of a block then meets
-    those of the key's other blocks, again in blocks of that size.
+    different sets is dealt to blocks; what these leave in different groups then
+    meets in every two blocks, so that no pair of the key is left out.
     """
     made = stash(sketches(docs, size), "sketches")
     nodes = stash(made.groupBy("node").agg(F.min(F.struct("id", "fold")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")), "nodes")
     marks = stash(repeated(_dealt_by_keys(nodes, per_block), per_block), "marks")
     parts = shuffle_parts(docs.sparkSession)
-    sets = with_marks(docs, marks).mapInArrow(_whole_sets(size), "h long, salt long, split boolean, node long, fp long, members binary")
-    found = stash(sets.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_joined(similarity, budget, False), NEAR), "near")
+
+    def joined(sets: DataFrame, meeting: bool) -> DataFrame:
+        return sets.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_joined(similarity, budget, meeting), NEAR)
+
+    sets = with_marks(docs, marks).mapInArrow(_whole_sets(size), "h long, salt long, flag boolean, node long, fp long, label long, members binary")
+    found = stash(joined(sets, False), "near")
     unstash(marks)
-    rest = found.where("other IS NULL").select("h", F.lit(True).alias("split"), F.col("fp").alias("node"), F.col("sig").alias("fp"), "members")
-    crowded = rest.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > per_block).orderBy(F.desc("n"), "h").limit(HOT_KEYS)
-    dealt = rest.join(F.broadcast(crowded), "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / per_block)), F.lit(0).cast("long")))
-    dealt = dealt.select("h", "salt", "split", "node", "fp", "members").repartition(parts, "h", "salt").sortWithinPartitions("h", "salt")
-    met = stash(dealt.mapInArrow(_joined(similarity, budget, True), NEAR), "met")
-    label = components(found.where("other IS NOT NULL").select("fp", "other").unionByName(met.select("fp", "other")))
+    label = components(found.where("other IS NOT NULL").select("fp", "other"))
     named = stash(nodes.join(label.withColumnRenamed("node", "named"), F.col("node") == F.col("named"), "left").select("node", "first", "n", F.coalesce("label", "node").alias("label")), "named")
+    rest = found.where("other IS NULL").select("h", F.col("fp").alias("node"), F.col("sig").alias("fp"), "members")
+    if not rest.isEmpty():
+        rows = stash(rest.join(named.select("node", "label"), "node"), "rest")
+        met = stash(joined(_meetings(rows, MEETING * per_block), True), "met")
+        unstash(rows)
+        more = components(met.select("fp", "other")).select(F.col("node").alias("label"), F.col("label").alias("wider"))
+        named = stash(named.join(more, "label", "left").select("node", "first", "n", F.coalesce("wider", "label").alias("label")), "named")
     firsts = named.groupBy("label").agg(F.min("first").alias("first"))
     each = stash(named.drop("first").join(firsts, "label").select("node", "n", "first"), "each")
     return join_hot(made.select("id", "fold", "node"), each, ["node"], "n").select("id", "fold", "first")

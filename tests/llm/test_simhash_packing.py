@@ -168,3 +168,29 @@ def test_rows_of_one_id_never_share_a_place(spark):
     assert sum(r.piece == 0 for r in out) == len(rows) and any(r.doc_id == 1 << 60 for r in out)
     groups = {(r.round, r.part): (r.bins, r.bound) for r in out}
     assert all(bins >= bound > 0 for bins, bound in groups.values())
+
+
+@pytest.mark.parametrize("seed, per_block", [(3, 6), (4, 2), (5, 1)])
+def test_blocks_of_a_frequent_key_lose_no_link(spark, seed, per_block):
+    docs = copies(seed)
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(200)]
+    for i in range(600, 700):  # a chain: neighbours are near copies, most others share keys only
+        words[rng.randrange(200)] = f"x{i}"
+        docs[i] = " ".join(words)
+    want = brute.near_copies(docs)
+    assert {r.id: r.first.id for r in simhash.near_copies(frame(spark, docs), per_block=per_block).collect()} == want
+
+
+def test_pairs_between_two_sides():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 63, 80, np.uint64)
+    groups, sides = rng.integers(0, 4, 80), rng.integers(0, 2, 80)
+    sides[groups == 2] = 1
+    order = np.lexsort((fps, sides, groups))
+    fps, groups, sides = fps[order], groups[order], sides[order]
+    for budget, leaf in ((24, 1), (30, 16), (64, 64)):
+        got = [(min(a, b), max(a, b)) for i, j in simhash.close_pairs(fps, groups, budget, 50, sides, leaf) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        meet = lambda a, b: groups[a] == groups[b] and (sides[a] != sides[b] or groups[a] == 2)
+        want = {(a, b) for a in range(80) for b in range(a + 1, 80) if meet(a, b) and int(fps[a] ^ fps[b]).bit_count() <= budget}
+        assert len(got) == len(set(got)) and set(got) == want
