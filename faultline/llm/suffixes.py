@@ -195,11 +195,15 @@ def _blocks(size: int):
 
 
 def meet_again(found: DataFrame, size: int) -> DataFrame:
-    """Runs that go because another block of their anchor has the string earlier."""
-    stay = found.where("end < 0").groupBy("w1", "w2", "id", "fold").agg(F.collect_set("start").alias("starts"))
-    least = stay.groupBy("w1", "w2").agg(F.min("id").alias("least"))
+    """Runs that go because another block of their anchor has the string earlier.
+
+    Most strings around a frequent anchor occur once; only the others are joined.
+    """
+    stay = found.where("end < 0").select("w1", "w2", "id", "fold", "start")
+    least = stay.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = stay.join(least, ["w1", "w2"]).groupBy("w1", "w2", "id", "fold", "least").agg(F.collect_set("start").alias("starts"))
     later = F.filter("starts", lambda x: (F.col("id") > F.col("least")) | (x > F.array_min("starts")))
-    each = stay.join(least, ["w1", "w2"]).select("id", "fold", F.explode(later).alias("start"))
+    each = rows.select("id", "fold", F.explode(later).alias("start"))
     return each.select("id", "fold", "start", (F.col("start") + size).alias("end"))
 
 

@@ -132,3 +132,31 @@ def test_a_stash_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not shuffled() - before and spark.conf.get(common.CLEANUP, None) == setting
     assert made.count() == 10_000
+
+
+def join_rows(plan) -> int:
+    """Rows that the joins of an executed plan made."""
+    below = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    return own + sum(join_rows(below.apply(k)) for k in range(below.size()))
+
+
+def test_only_strings_that_occur_again_are_joined(spark):
+    """Of what split blocks leave most occurs once; rows of one id are not earlier than each other."""
+    rng = random.Random(8)
+    once = [(k, -k, k % 50, 0, k % 97) for k in range(2_000)]
+    again = [(-1 - rng.randint(0, 9), 7, rng.randint(0, 3), rng.randint(0, 1), rng.randint(0, 40)) for _ in range(60)]
+    rows = once + again + again[:5]  # equal rows of documents leave equal places
+    found = spark.createDataFrame([(*r, -1) for r in rows] + [(0, 0, 1, 0, 5, 300)], windows.RUNS)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        runs = suffixes.meet_again(found, 100)
+        got = [tuple(r) for r in runs.collect()]
+        made = join_rows(runs._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    least = {w: min(d for v, _, d, *_ in again if v == w) for w, *_ in again}
+    first = {(w, d, f): min(s for v, _, e, g, s in again if (v, e, g) == (w, d, f)) for w, _, d, f, _ in again}
+    want = {(w, d, f, s) for w, _, d, f, s in again if d > least[w] or s > first[w, d, f]}
+    assert sorted(got) == sorted((d, f, s, s + 100) for _, d, f, s in want)
+    assert 0 < made <= len(again) + 5
