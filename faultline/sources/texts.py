@@ -28,12 +28,18 @@ class ParseError(ValueError):
 
 Parser = Callable[..., Iterable[tuple]]
 
+#: Rows after which a task hands over what it has parsed.
+ROWS = 50_000
+
 
 def parse(artifacts: DataFrame, key: str, parser: Parser, schema: str, columns: tuple[str, ...] = ("text",), **options) -> tuple[DataFrame, DataFrame]:
     """(rows, issues) of all artifacts. ``columns`` are the parser's arguments."""
     names = T.StructType.fromDDL(schema).names
     full = f"key string, issue string, issue_line int, {schema}"
 
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "issue", "issue_line", *names], dtype=object)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
@@ -43,7 +49,10 @@ def parse(artifacts: DataFrame, key: str, parser: Parser, schema: str, columns:
                 except ParseError as error:
                     out += [(one, kind, line, *[None] * len(names)) for kind, line in error.issues]
                     out += [(one, None, None, *row) for row in error.rows]
-            yield pd.DataFrame(out, columns=["key", "issue", "issue_line", *names], dtype=object)
+                if len(out) >= ROWS:
+                    yield table(out)
+                    out = []
+            yield table(out)
 
     made = cut(artifacts.select(F.col(key).cast("string"), *columns).mapInPandas(run, full))
     return made.where("issue IS NULL").drop("issue", "issue_line"), made.where("issue IS NOT NULL").select("key", "issue", F.col("issue_line").alias("line"))
