@@ -28,3 +28,12 @@ def test_coverage_files_beyond_the_limits_keep_every_record(spark, tmp_path):
     want = duck(at).execute(f"SELECT {each} FROM ({ORACLES['lcov_records']}) GROUP BY path").fetchall()
     assert len(want) > 30 and sum(r[1] for r in want) > 1_000_000
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_owner_files_beyond_the_limits_keep_every_rule(spark, tmp_path):
+    # 10,050 rules of one brand, 50 of none, and paths that stand more than once
+    at = parts(spark, tmp_path, "SELECT id % 10000 AS p_partkey, CASE WHEN id < 10050 THEN 'b' END AS p_brand, 1 AS p_size FROM range(10100)")
+    columns = "brand, ordinal, pattern, owners"
+    got = QUERIES["owner_rules"](spark, at).select(*columns.split(", ")).collect()
+    want = duck(at).execute(f"SELECT {columns} FROM ({ORACLES['owner_rules']})").fetchall()
+    assert len(want) == 10_100 and sorted(map(tuple, got), key=str) == sorted(want, key=str)
