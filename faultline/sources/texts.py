@@ -3,7 +3,8 @@
 A parser takes one artifact's text and returns rows, or raises ``ParseError``
 with its issues. ``parse`` applies it to a table of artifacts. Evidence is all or
 nothing: an artifact with an issue gives issues only, unless its parser says which
-rows it found all the same.
+rows it found all the same. Who doesn't look at the issues asks for ``strict``, where
+one fails the job.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ Parser = Callable[..., Iterable[tuple]]
 ROWS = 50_000
 
 
-def parse(artifacts: DataFrame, key: str, parser: Parser, schema: str, columns: tuple[str, ...] = ("text",), **options) -> tuple[DataFrame, DataFrame]:
-    """(rows, issues) of all artifacts. ``columns`` are the parser's arguments."""
+def parse(artifacts: DataFrame, key: str, parser: Parser, schema: str, columns: tuple[str, ...] = ("text",), strict: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """(rows, issues) of all artifacts. ``columns`` are the parser's arguments; with ``strict`` an issue is an error."""
     names = T.StructType.fromDDL(schema).names
     full = f"key string, issue string, issue_line int, {schema}"
 
@@ -47,6 +48,8 @@ def parse(artifacts: DataFrame, key: str, parser: Parser, schema: str, columns:
                 try:
                     out += [(one, None, None, *row) for row in parser(*values, **options)]
                 except ParseError as error:
+                    if strict:
+                        raise ValueError(f"artifact {one!r} cannot be read: {error}") from error
                     out += [(one, kind, line, *[None] * len(names)) for kind, line in error.issues]
                     out += [(one, None, None, *row) for row in error.rows]
                 if len(out) >= ROWS:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 from faultline.plans.artifact_queries import ORACLES
 from faultline.plans.queries import QUERIES
+from faultline.sources import coverage, texts
+from pyspark.errors import PythonException
 
 
 def parts(spark, folder, rows: str) -> str:
@@ -37,3 +40,19 @@ def test_owner_files_beyond_the_limits_keep_every_rule(spark, tmp_path):
     got = QUERIES["owner_rules"](spark, at).select(*columns.split(", ")).collect()
     want = duck(at).execute(f"SELECT {columns} FROM ({ORACLES['owner_rules']})").fetchall()
     assert len(want) == 10_100 and sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_strict_parsing_fails_for_what_cannot_be_read(spark):
+    good = "SF:a\nLF:0\nLH:0\nend_of_record\n"
+    schema = "path string, lines_found long, lines_hit long, line long, hits long"
+    table = spark.createDataFrame([("good", good), ("bad", good + "XX:1\n")], "artifact string, text string")
+    assert texts.parse(table.where("artifact = 'good'"), "artifact", coverage.lcov, schema, strict=True)[0].count() == 1
+    with pytest.raises(PythonException, match="artifact 'bad' cannot be read: unsupported-record:5"):
+        texts.parse(table, "artifact", coverage.lcov, schema, strict=True)
+
+
+@pytest.mark.parametrize(("size", "issue"), [("1000000", "file-size-limit"), ("CAST(NULL AS INT)", "invalid-record")])
+def test_coverage_files_that_cannot_be_read_fail_the_query(spark, tmp_path, size, issue):
+    at = parts(spark, tmp_path, f"SELECT id AS p_partkey, 'b' AS p_brand, CASE WHEN id = 1 THEN {size} ELSE 1 END AS p_size FROM range(8)")
+    with pytest.raises(PythonException, match=issue):
+        QUERIES["lcov_records"](spark, at).count()
